@@ -20,7 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    # With its file system, so that Python readers and writers find the one Spark means.
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return uri.replace("file:/", "file:///", 1).replace("file://///", "file:///", 1).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -160,3 +163,14 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows, kind="stable")
         out, rows = out[order], rows[order]
     return out, rows
+
+
+def pieces(column, limit: int = 4 << 20):
+    """Slices (first row, column) of a string column of about ``limit`` bytes each, so that work
+    space does not follow the size of a batch. A longer text is a slice of its own."""
+    _, offsets = text_bytes(column)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        yield a, column.slice(a, b - a)
+        a = b

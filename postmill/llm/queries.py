@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, sharding
+from . import lm, mixing, pii, sharding, toxicity, warc
 from .common import table, word_count
 
 
@@ -27,6 +27,32 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def _fold(folds: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``folds`` (a null id: of the empty text)."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by their index."""
+    index = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a classifier that learned from labels outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by counts of those outside fold 2 of 7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.LanguageModel(docs.filter(_fold(7) != 2))
+    out = model.score(docs.select(F.col("doc_id").alias("id"), "text"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score").select("doc_id", (_fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1, repeating."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
@@ -34,7 +60,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op4_pii, op8_mix)}
+    return {f.__name__: f for f in (op1_shard, op3_warc, op4_pii, op7_toxicity, op8_mix, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
