@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, mixing, pii, sharding, toxicity, warc
+from . import ann, lm, mixing, neardup, pii, sharding, toxicity, warc
 from .common import table, word_count
 
 
@@ -38,6 +38,17 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicates among all documents; the smallest doc_id of a class is kept."""
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth, among all vectors."""
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a classifier that learned from labels outside fold 0 of 5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,7 +71,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op3_warc, op4_pii, op7_toxicity, op8_mix, op10_lm)}
+    return {f.__name__: f for f in (op1_shard, op3_warc, op4_pii, op5_neardup, op6_ann, op7_toxicity, op8_mix, op10_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
