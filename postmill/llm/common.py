@@ -58,6 +58,8 @@ def word_count(text: Column) -> Column:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +109,7 @@ class Words:
     """Words of a batch: ``start``, ``end`` (byte offsets), ``doc`` (row), ``hash`` (uint64 of
     the word, lower-cased over A-Z if asked). Work space is bounded by the chunk, not the batch."""
 
-    def __init__(self, column, lower: bool = False):
+    def __init__(self, column, lower: bool = False, strip: bool = False):
         self.data, self.offsets = text_bytes(column)
         n = len(self.data)
         solid = ~_SPACE[self.data]
@@ -125,6 +127,10 @@ class Words:
         self.end = np.flatnonzero(solid & (after | opens[1:])) + 1
         self.count = np.diff(np.searchsorted(self.start, self.offsets))
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
+        if strip:  # up to three marks at either end, but never all of a word
+            for _ in range(3):
+                self.end -= _MARK[self.data[self.end - 1]] & (self.end - self.start > 1)
+                self.start += _MARK[self.data[self.start]] & (self.end - self.start > 1)
         self.hash = self._hash(_LOWER[self.data] if lower else self.data)
 
     def _hash(self, data: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ def signatures(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, rows: int,
     latest, arrival = np.full(rows, np.inf), 0
     while len(doc):
         arrival += 1
-        h = mix(seed + np.uint64(arrival) * np.uint64(0xD1342543DE82EF95))
+        h = mix(seed + np.uint64(arrival * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
         at = at - np.log(((h >> np.uint64(11)).astype(float) + 1) * 2.0**-53) / rate
         live = at < latest[doc]
         seed, at, doc, rate, name, h = seed[live], at[live], doc[live], rate[live], name[live], h[live]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm, mixing, neardup, pii, sharding, toxicity, warc
+from . import ann, decontam, lm, mixing, neardup, pii, secrets, sharding, toxicity, warc
 from .common import table, word_count
 
 
@@ -27,6 +27,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each secret found in a document; the source stands for the path."""
+    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source")
+    return out.select("doc_id", F.explode("secrets").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.rule", "s.score", "s.sha256")
+
+
 def _fold(folds: int) -> Column:
     """crc32 of the doc_id as text, modulo ``folds`` (a null id: of the empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
@@ -56,6 +62,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item found in a document."""
+    out = decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.item_id", "x.share", "x.cosine", "x.answer")
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by counts of those outside fold 2 of 7."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,8 +82,15 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, F.array("source"), [F.col("doc_id")], size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline`` over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op3_warc, op4_pii, op5_neardup, op6_ann, op7_toxicity, op8_mix, op10_lm)}
+    return {f.__name__: f for f in (op1_shard, op2_secrets, op3_warc, op4_pii, op5_neardup, op6_ann, op7_toxicity, op8_mix, op9_decontam, op10_lm, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
