@@ -19,7 +19,7 @@ from .common import _LOWER, _SPACE, text_bytes, written
 SIZES = (3, 4, 5)
 BITS = 20
 #: Labelled rows of each class that the fit uses at most (those of smallest hash), and features kept.
-TRAINING_ROWS = 10_000
+TRAINING_ROWS = 4_000
 FEATURES = 2048
 SEED = 3
 _PIECE = 1 << 20
@@ -72,21 +72,21 @@ def _distinct(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None =
     return pairs >> 20, pairs & ((1 << 20) - 1)
 
 
-def _fit(rows: list[tuple[int, np.ndarray]], ratios: np.ndarray, weights: tuple[float, float], steps: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the logistic regression on presence times ratio; Adam over all rows."""
-    y = np.array([label for label, _ in rows], float)
+def _fit(label: np.ndarray, n: np.ndarray, feature: np.ndarray, ratios: np.ndarray, weights: tuple[float, float], steps: int = 300, penalty: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression on presence times ratio; Adam over all rows.
+    Row i has the next ``n[i]`` of the features."""
+    y, rows = label.astype(float), len(label)
     cw = np.where(y > 0, weights[1], weights[0])
     cw /= cw.sum()
-    at = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    feature = np.concatenate([f for _, f in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-    x = ratios[feature]
+    at = np.repeat(np.arange(rows, dtype=np.int32), n)
+    x = ratios[feature].astype(np.float32)
     w, m, v = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
     p1 = min(max(float((cw * y).sum()), 1e-3), 1 - 1e-3)
     w[-1] = np.log(p1 / (1 - p1))
     for t in range(1, steps + 1):
-        z = np.bincount(at, w[feature] * x, len(rows)) + w[-1]
+        z = np.bincount(at, w[feature] * x, rows) + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cw
-        grad = np.append(np.bincount(feature, g[at] * x, len(ratios)) + penalty / len(ratios) * w[:-1] * 100, g.sum())
+        grad = np.append(np.bincount(feature, g[at] * x, len(ratios)) + penalty / len(ratios) * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
     return w[:-1] * ratios, float(w[-1])
@@ -132,13 +132,14 @@ class ToxicityModel:
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 row, feature = _distinct(*text_bytes(batch.column(0)), chosen)
-                cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                lists = pa.LargeListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(1), lists], ["label", "features"])
+                n = np.bincount(row, minlength=batch.num_rows)
+                parts = [np.array(batch.column(1)).astype(np.int32), n.astype(np.int32), feature.astype(np.uint16)]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["label", "n", "features"])
 
-        rows = [(r["label"], np.array(r["features"], np.int64)) for r in sample.mapInArrow(select, "label int, features array<int>").collect()]
+        packed = sample.mapInArrow(select, "label binary, n binary, features binary").collect()
+        label, n, feature = (np.concatenate([np.frombuffer(r[c], t) for r in packed]) for c, t in (("label", np.int32), ("n", np.int32), ("features", np.uint16)))
         counts = counts or {0: docs[0], 1: docs[1]}
-        self.weights, self.intercept = _fit(rows, ratio[best], (counts[0] / docs[0], counts[1] / docs[1]))
+        self.weights, self.intercept = _fit(label, n, feature.astype(np.int32), ratio[best], (counts[0] / docs[0], counts[1] / docs[1]))
 
     def probability(self, spark: SparkSession, text: Column) -> Column:
         """The score of a text column; null is an empty text."""
