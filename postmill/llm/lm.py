@@ -25,6 +25,8 @@ from .common import Words, mix, pieces, written
 PROBES, BITS, ROUND_BYTES = 4, 8, 192 << 20
 #: Words with at least this share of all tokens are broadcast.
 HEAD = 1e-6
+#: Rows whose sums move together: two to this power.
+CHUNK = 12
 #: Weight of the unigram model in tokens.
 MU = 300.0
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -103,12 +105,11 @@ def _places(key: np.ndarray, level, kind: int, size) -> Iterator[np.ndarray]:
 class Filter:
     """Parts by the leading bits of the n-gram's hash, each a bit array of its own size."""
 
-    def __init__(self, bits: int, parts: dict[int, bytes]):
+    def __init__(self, bits: int, sizes: np.ndarray, data: bytes):
         self.bits = bits
-        sizes = np.array([len(parts.get(p, b"")) for p in range(1 << bits)], np.int64)
         self.size = (sizes * 8).astype(np.uint64)
         self.first = np.cumsum(sizes * 8) - sizes * 8
-        self.data = np.frombuffer(b"".join(parts[p] for p in sorted(parts)), np.uint8)
+        self.data = np.frombuffer(data, np.uint8)
 
     def covers(self, key: np.ndarray) -> np.ndarray:
         return self.size[self._part(key)] > 0
@@ -141,13 +142,17 @@ def count_ngrams(docs: DataFrame, bits: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams: tuple[list, list] = ([], [])
-            for _, column in pieces(batch.column(0)):
+            for _, column in pieces(batch.column(0), 1 << 20):
                 token, before, _ = _tokens(column)
                 grams[0].append(token)
                 grams[1].append(_bigram(before, token))
             rows = []
             for kind in (0, 1):
-                key, n = np.unique(np.concatenate(grams[kind]), return_counts=True) if grams[kind] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                key = np.concatenate(grams[kind]) if grams[kind] else np.zeros(0, np.uint64)
+                grams[kind].clear()
+                key.sort()
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                n, key = np.diff(np.append(first, len(key))), key[first]
                 rows += [(part, kind, _planes(key[s]), n[s].astype(np.uint32).tobytes()) for part, s in _split(key, bits)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["part", "kind", "key", "n"])
 
@@ -204,7 +209,9 @@ class LanguageModel:
         rows = self.counts.filter(F.col("kind") == kind).select("part", "bits")
         if parts is not None:
             rows = rows.filter(F.col("part").between(min(parts, default=0), max(parts, default=0)))
-        return self.spark.sparkContext.broadcast(Filter(self.bits, {r["part"]: bytes(r["bits"]) for r in rows.toLocalIterator()}))
+        held = {r["part"]: bytes(r["bits"]) for r in rows.toLocalIterator()}
+        sizes = np.array([len(held.get(p, b"")) for p in range(1 << self.bits)], np.int64)
+        return self.spark.sparkContext.broadcast((self.bits, sizes, b"".join(held[p] for p in sorted(held))))
 
     def head(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of at least ``HEAD`` of all tokens, 1 / HEAD at most: sorted hashes and counts."""
@@ -240,13 +247,13 @@ class LanguageModel:
             docs = written(docs, "lm-rounds")  # rounds must see the same row numbers
         kind_id = docs.schema["id"].dataType.simpleString()
 
-        def probed(token, before, at, bigrams: Filter, size: int) -> np.ndarray:
+        def probed(token, before, at, singles: Filter, bigrams: Filter, size: int) -> np.ndarray:
             """Sums of log10 probabilities of the tokens whose bigrams this round's filter holds."""
             both = _bigram(before, token)
             here = bigrams.covers(both)
             token, before, at, both = token[here], before[here], at[here], both[here]
             word, place = np.unique(np.concatenate([token, before]), return_inverse=True)
-            c = VALUES[0][unigrams.value.level(word, 0)]
+            c = VALUES[0][singles.level(word, 0)]
             c[word == _START] = n_docs
             c_word, c_before = c[place[: len(token)]], c[place[len(token) :]]
             c_both = VALUES[1][bigrams.level(both, 1)]
@@ -256,14 +263,15 @@ class LanguageModel:
         def first_round(bigrams):
             def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 """Of each piece: a row per text, and by part the occurrences of words outside the head."""
+                filters = Filter(*unigrams.value), Filter(*bigrams.value)
                 for batch in batches:
-                    for a, column in pieces(batch.column(1)):
+                    for a, column in pieces(batch.column(1), 1 << 20):
                         n, ids, number = len(column), batch.column(0).slice(a, len(column)), batch.column(2).slice(a, len(column))
                         token, before, at = _tokens(column)
                         order = np.argsort(token, kind="stable")
                         c = np.zeros(len(token), np.int64)
                         c[order] = _find(token[order], *head.value)
-                        score = probed(token, before, at, bigrams.value, n)
+                        score = probed(token, before, at, *filters, n)
                         order = order[c[order] == 0]
                         rare, rare_at = token[order], np.array(number)[at[order]].astype(np.uint64)
                         rows = [(p, _planes(rare[s]), _planes(rare_at[s])) for p, s in _split(rare, bits)]
@@ -278,9 +286,10 @@ class LanguageModel:
 
         def further_round(bigrams):
             def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                filters = Filter(*unigrams.value), Filter(*bigrams.value)
                 for batch in batches:
-                    for a, column in pieces(batch.column(1)):
-                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, len(column)), pa.array(probed(*_tokens(column), bigrams.value, len(column)))], ["row", "score"])
+                    for a, column in pieces(batch.column(1), 1 << 20):
+                        yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, len(column)), pa.array(probed(*_tokens(column), *filters, len(column)))], ["row", "score"])
 
             return docs.mapInArrow(scan, "row long, score double")
 
@@ -295,11 +304,23 @@ class LanguageModel:
                     logs.append(np.log10(c[c > 0] + 1.0))
                 number, place, count = np.unique(np.concatenate(at), return_inverse=True, return_counts=True)
                 out = [number, np.bincount(place, np.concatenate(logs), len(number)), count]
-            return pa.Table.from_arrays([pa.array(out[0].astype(np.int64)), pa.array(out[2].astype(np.int64)), pa.array(out[1].astype(float))], names=["row", "n_known", "logs"])
+            number = out[0].astype(np.int64)
+            chunk, first = np.unique(number >> CHUNK, return_index=True)
+            spans = list(zip(first, np.append(first[1:], len(number))))
+            packed = [[x[a:b].tobytes() for a, b in spans] for x in (number, out[2].astype(np.int64), out[1].astype(float))]
+            return pa.Table.from_arrays([pa.array(chunk.astype(np.int64)), *[pa.array(x, pa.binary()) for x in packed]], names=["chunk", "at", "n", "logs"])
+
+        def fold(group: pa.Table) -> pa.Table:
+            start = group.column("chunk")[0].as_py() << CHUNK
+            at, n, logs = (np.concatenate([np.frombuffer(x.as_py(), t) for x in group.column(c)]) for c, t in (("at", np.int64), ("n", np.int64), ("logs", float)))
+            known = np.bincount(at - start, n)
+            hit = np.flatnonzero(known)
+            return pa.Table.from_arrays([pa.array(hit + start), pa.array(known[hit].astype(np.int64)), pa.array(np.bincount(at - start, logs)[hit])], names=["row", "n_known", "logs"])
 
         first = written(first_round(self._broadcast(1, self.rounds[0])), "lm-scores")
         words = self.counts.filter("kind = 0").select("part", "key", "n")
-        tail = first.filter("part is not null").select("part", "key", "at").groupBy("part").cogroup(words.groupBy("part")).applyInArrow(meet, "row long, n_known long, logs double")
+        tail = first.filter("part is not null").select("part", "key", "at").groupBy("part").cogroup(words.groupBy("part")).applyInArrow(meet, "chunk long, at binary, n binary, logs binary")
+        tail = tail.groupBy("chunk").applyInArrow(fold, "row long, n_known long, logs double")
         parts = first.filter("part is null").select("row", "id", "n_tokens", "n_known", "logs", "score").unionByName(tail, allowMissingColumns=True)
         for group in self.rounds[1:]:
             parts = parts.unionByName(further_round(self._broadcast(1, group)), allowMissingColumns=True)
