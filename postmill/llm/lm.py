@@ -105,14 +105,15 @@ def _places(key: np.ndarray, level, kind: int, size) -> Iterator[np.ndarray]:
 class Filter:
     """Parts by the leading bits of the n-gram's hash, each a bit array of its own size."""
 
-    def __init__(self, bits: int, sizes: np.ndarray, data: bytes):
-        self.bits = bits
+    def __init__(self, bits: int, sizes: np.ndarray, data: bytes, low: int = 0, high: int = 1 << 16):
+        self.bits, self.low, self.high = bits, low, high  # parts from low to high are here, high excluded
         self.size = (sizes * 8).astype(np.uint64)
         self.first = np.cumsum(sizes * 8) - sizes * 8
-        self.data = np.frombuffer(data, np.uint8)
+        self.data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
 
     def covers(self, key: np.ndarray) -> np.ndarray:
-        return self.size[self._part(key)] > 0
+        part = self._part(key)
+        return (part >= self.low) & (part < self.high)
 
     def _part(self, key: np.ndarray) -> np.ndarray:
         return (key >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
@@ -196,22 +197,24 @@ class LanguageModel:
         by = self.counts.select("part", "kind", "types", "tokens", F.octet_length("bits").alias("bytes")).collect()
         self.tokens = sum(r["tokens"] for r in by if r["kind"] == 0)
         self.types = sum(r["types"] for r in by if r["kind"] == 0)
-        room, self.rounds, used = round_bytes, [[]], 0
-        for r in sorted((r for r in by if r["kind"] == 1), key=lambda r: r["part"]):
-            need = r["bytes"]
-            if used + need > room and self.rounds[-1]:
-                self.rounds.append([])
+        # Each round is a range of parts; together they are all parts.
+        bytes_of = {r["part"]: r["bytes"] for r in by if r["kind"] == 1}
+        starts, used = [0], 0
+        for part in range(1 << self.bits):
+            need = bytes_of.get(part, 0)
+            if used and used + need > round_bytes:
+                starts.append(part)
                 used = 0
-            self.rounds[-1].append(r["part"])
             used += need
+        self.rounds = list(zip(starts, [*starts[1:], 1 << self.bits]))
 
-    def _broadcast(self, kind: int, parts: list[int] | None = None):
+    def _broadcast(self, kind: int, parts: tuple[int, int] | None = None):
         rows = self.counts.filter(F.col("kind") == kind).select("part", "bits")
-        if parts is not None:
-            rows = rows.filter(F.col("part").between(min(parts, default=0), max(parts, default=0)))
+        low, high = parts or (0, 1 << self.bits)
+        rows = rows.filter((F.col("part") >= low) & (F.col("part") < high))
         held = {r["part"]: bytes(r["bits"]) for r in rows.toLocalIterator()}
         sizes = np.array([len(held.get(p, b"")) for p in range(1 << self.bits)], np.int64)
-        return self.spark.sparkContext.broadcast((self.bits, sizes, b"".join(held[p] for p in sorted(held))))
+        return self.spark.sparkContext.broadcast((self.bits, sizes, b"".join(held[p] for p in sorted(held)), low, high))
 
     def head(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of at least ``HEAD`` of all tokens, 1 / HEAD at most: sorted hashes and counts."""
