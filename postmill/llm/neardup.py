@@ -29,17 +29,17 @@ SPREAD = 256
 #: Members of a block of a family, and the share of equal slots from which a pair is verified there:
 #: three standard errors below the similarity asked for.
 BLOCK, LOOKS = 2048, 0.695
-_GRAM = np.uint64((1 << 44) - 1)
+_GRAM = np.uint64((1 << 32) - 1)
 
 
 def weighted_shingles(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle, occurrences) of distinct five-word shingles, 44 bits each, by row, then shingle."""
+    """(row, shingle, occurrences) of distinct five-word shingles, 32 bits each, by row, then shingle."""
     gram, row = shingles(Words(column), WORDS)
-    both = np.sort((row.astype(np.uint64) << np.uint64(44)) | (gram & _GRAM))
+    both = np.sort((row.astype(np.uint64) << np.uint64(32)) | (gram & _GRAM))
     first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(both)))
     both = both[first]
-    return (both >> np.uint64(44)).astype(np.int64), both & _GRAM, count
+    return (both >> np.uint64(32)).astype(np.int64), both & _GRAM, count
 
 
 def signatures(row: np.ndarray, gram: np.ndarray, weight: np.ndarray, rows: int, slots: int) -> np.ndarray:
@@ -133,11 +133,12 @@ def _verify(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 row, gram, count = weighted_shingles(column)
                 cuts = np.searchsorted(row, np.arange(len(column) + 1))
                 ids = batch.column(0).slice(first, len(column))
-                grams = [gram[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                grams = [gram[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:])]
                 counts = [np.minimum(count[a:b], 65535).astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(grams, pa.large_binary()), pa.array(counts, pa.large_binary()), batch.column(2).slice(first, len(column))], ["id", "grams", "counts", "to"])
 
-    shingled = texts.join(wanted, "id").select("id", "text", "to").mapInArrow(emit, "id long, grams binary, counts binary, to array<struct<a:bigint,salt:int,role:int>>")
+    # A merge join at any size, as most texts of a corpus of copies are wanted.
+    shingled = texts.join(wanted.hint("merge"), "id").select("id", "text", "to").mapInArrow(emit, "id long, grams binary, counts binary, to array<struct<a:bigint,salt:int,role:int>>")
     dealt = shingled.select("id", "grams", "counts", F.explode("to").alias("to")).select("to.a", "to.salt", "to.role", "id", "grams", "counts")
     dealt = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
@@ -146,7 +147,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             out = []
             for a, role, b, grams, counts in zip(batch.column(0), batch.column(2), batch.column(3), batch.column(4), batch.column(5)):
-                grams = np.frombuffer(grams.as_buffer(), np.uint64)
+                grams = np.frombuffer(grams.as_buffer(), np.uint32)
                 own = (grams, np.frombuffer(counts.as_buffer(), np.uint16))
                 if role.as_py() == 0:
                     held_id, held = a.as_py(), own
@@ -191,7 +192,7 @@ def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: Da
                     [
                         batch.column(0).slice(first, len(column)),
                         pa.array([mix(s).astype(np.uint8).tobytes() for s in sig], pa.binary()),
-                        pa.array([gram[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([gram[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
                         pa.array([np.minimum(count[a:b], 65535).astype(np.uint16).tobytes() for a, b in spans], pa.binary()),
                         batch.column(2).slice(first, len(column)),
                     ],
@@ -203,7 +204,7 @@ def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: Da
         ids, comp, to_leader, block = (column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "similarity", "block"))
         sketch = np.frombuffer(b"".join(x.as_py() for x in column("sketch")), np.uint8).reshape(len(ids), -1)
         grams, counts = column("grams"), column("counts")
-        sets = lambda i: (np.frombuffer(grams[int(i)].as_buffer(), np.uint64), np.frombuffer(counts[int(i)].as_buffer(), np.uint16))
+        sets = lambda i: (np.frombuffer(grams[int(i)].as_buffer(), np.uint32), np.frombuffer(counts[int(i)].as_buffer(), np.uint16))
         crossed = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         _, root = np.unique(comp, return_inverse=True)
         found = []
