@@ -288,7 +288,7 @@ def digest_summary(spark, sf_dir):
     return B.digest(rows, "user_id")
 
 
-@query("WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS t_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS k FROM events), f AS (SELECT user_id, k, t_ms, t_ms AS last, true AS sent, 1::BIGINT AS n FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t_ms, CASE WHEN e.t_ms - f.last >= 86400000 THEN e.t_ms ELSE f.last END, e.t_ms - f.last >= 86400000, CASE WHEN f.sent THEN 1 ELSE f.n + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, t_ms::BIGINT AS sent_at, n::BIGINT AS n FROM f WHERE sent")
+@query("WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events), f AS (SELECT user_id, k, t_ms, t_ms AS last, true AS sent, 1::BIGINT AS n FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t_ms, CASE WHEN e.t_ms - f.last >= 86400000 THEN e.t_ms ELSE f.last END, e.t_ms - f.last >= 86400000, CASE WHEN f.sent THEN 1 ELSE f.n + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, t_ms::BIGINT AS sent_at, n::BIGINT AS n FROM f WHERE sent")
 def digest_cooldown(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id")
     return D.cooldown_batch(events, 24 * 60, "user_id", "at", "event_id")
@@ -401,7 +401,7 @@ def profile_runs(spark, sf_dir):
     return B.bump_profiles(profiles, runs)
 
 
-@query("WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts) AS t_ms, event_id % 5 <> 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id % 5 <> 0) AS k FROM events), f AS (SELECT user_id, k, t_ms, CASE WHEN ok THEN t_ms END AS last, CASE WHEN ok THEN 'sent' ELSE 'send_failed' END AS result, NULL::BIGINT AS retry_after FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t_ms, CASE WHEN coalesce(f.last + 86400000 - e.t_ms, 0) > 0 OR NOT e.ok THEN f.last ELSE e.t_ms END, CASE WHEN coalesce(f.last + 86400000 - e.t_ms, 0) > 0 THEN 'rate_limited' WHEN e.ok THEN 'sent' ELSE 'send_failed' END, CASE WHEN f.last + 86400000 - e.t_ms > 0 THEN ceil((f.last + 86400000 - e.t_ms) / 1000.0::DOUBLE)::BIGINT END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, t_ms::BIGINT AS \"at\", result, retry_after FROM f")
+@query("WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t_ms, event_id % 5 <> 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id % 5 <> 0) AS k FROM events), f AS (SELECT user_id, k, t_ms, CASE WHEN ok THEN t_ms END AS last, CASE WHEN ok THEN 'sent' ELSE 'send_failed' END AS result, NULL::BIGINT AS retry_after FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.t_ms, CASE WHEN coalesce(f.last + 86400000 - e.t_ms, 0) > 0 OR NOT e.ok THEN f.last ELSE e.t_ms END, CASE WHEN coalesce(f.last + 86400000 - e.t_ms, 0) > 0 THEN 'rate_limited' WHEN e.ok THEN 'sent' ELSE 'send_failed' END, CASE WHEN f.last + 86400000 - e.t_ms > 0 THEN ceil((f.last + 86400000 - e.t_ms) / 1000.0::DOUBLE)::BIGINT END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, t_ms::BIGINT AS \"at\", result, retry_after FROM f")
 def rate_limit(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 5 != 0).alias("delivered"))
     return D.rate_limited(rows, 24 * 60, "user_id")
