@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="postmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="postmill-")
     # With its file system, so that Python readers and writers find the one Spark means.
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
