@@ -45,10 +45,17 @@ def final_score(tfidf: Column, skill: Column, weights: tuple[float, float] = WEI
     return r2(tfidf * weights[0] + skill * weights[1])
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for each row. A filter on what is made of them would otherwise
+    be pushed below with the whole expression, which then runs for the filter and again for the output."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")).select(*df.columns, "_once.*")
+
+
 def with_features(jobs: DataFrame, dictionary: list[str] | None = None) -> DataFrame:
     """Adds ``job_tokens`` and ``job_skills``."""
     text = T.job_text(*(F.col(c) for c in ("title", "company", "description", "location")))
-    return jobs.withColumn("job_text", text).withColumns({"job_tokens": T.tokens(F.col("job_text")), "job_skills": T.skills(F.col("job_text"), dictionary)}).drop("job_text")
+    out = _once(jobs, _text=F.lower(text))
+    return _once(out, job_tokens=T.tokens(F.col("_text")), job_skills=T.skills(F.col("_text"), dictionary)).drop("_text")
 
 
 def score_jobs(jobs: DataFrame, profile: Profile, weights: tuple[float, float] = WEIGHTS, dictionary: list[str] | None = None, poisoned: bool = False) -> DataFrame:
