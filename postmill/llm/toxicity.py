@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from .common import _LOWER, _SPACE, text_bytes, written
 
 SIZES = (3, 4, 5)
-BITS = 20
+BITS = 18
 #: Labelled rows of each class that the fit uses at most (those of smallest hash), and features kept.
-TRAINING_ROWS = 4_000
-FEATURES = 2048
+TRAINING_ROWS = 3_000
+FEATURES = 1024
 SEED = 3
 _PIECE = 1 << 20
 
@@ -84,9 +84,9 @@ def _fit(label: np.ndarray, n: np.ndarray, feature: np.ndarray, ratios: np.ndarr
     p1 = min(max(float((cw * y).sum()), 1e-3), 1 - 1e-3)
     w[-1] = np.log(p1 / (1 - p1))
     for t in range(1, steps + 1):
-        z = np.bincount(at, w[feature] * x, rows) + w[-1]
+        z = np.bincount(at, w.astype(np.float32)[feature] * x, rows) + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cw
-        grad = np.append(np.bincount(feature, g[at] * x, len(ratios)) + penalty / len(ratios) * w[:-1], g.sum())
+        grad = np.append(np.bincount(feature, g.astype(np.float32)[at] * x, len(ratios)) + penalty / max(1, len(ratios)) * w[:-1], g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
     return w[:-1] * ratios, float(w[-1])
@@ -112,7 +112,9 @@ class ToxicityModel:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([docs.tolist()])], ["counts", "docs"])
 
         parts = sample.mapInArrow(count, "counts binary, docs array<long>").collect()
-        have = np.sum([np.frombuffer(p["counts"], np.float32).reshape(2, -1) for p in parts], axis=0) if parts else np.zeros((2, 1 << BITS))
+        have = np.zeros((2, 1 << BITS))
+        for p in parts:
+            have += np.frombuffer(p["counts"], np.float32).reshape(2, -1)
         docs = np.sum([p["docs"] for p in parts], axis=0) if parts else np.zeros(2)
         self.chosen, self.weights, self.intercept = np.zeros(1 << BITS, np.uint16), np.zeros(0), 0.0
         if min(docs) == 0:
