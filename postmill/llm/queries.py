@@ -30,7 +30,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each secret found in a document; the source stands for the path."""
     out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), path="source")
-    return out.select("doc_id", F.explode("secrets").alias("s")).select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.rule", "s.score", "s.sha256")
+    # Not explode(): the filter that Spark infers from it would scan each text once more.
+    return out.select("doc_id", F.explode_outer("secrets").alias("s")).filter("s is not null").select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.rule", "s.score", "s.sha256")
 
 
 def _fold(folds: int) -> Column:

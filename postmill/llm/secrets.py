@@ -17,7 +17,8 @@ from .trees import fit_forest, spans_of
 _KEYS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth|(?:api|access|private|secret|signing)[_-]?key)"
 RULES = {
     "prefixed": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[baprs]-[A-Za-z0-9-]{10,255}|[sr]k_live_[A-Za-z0-9]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000})(?![A-Za-z0-9])",
-    "assigned": rf"(?<=(?i:{_KEYS})[\"']{{0,1}}\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']{{0,1}})(?<![^\s:=\"'])[^\s\"'<>]{{6,256}}",
+    # Cheap assertions stand before the one that looks for a name; their order changes no match.
+    "assigned": rf"(?<=[\s:=\"'])(?=[^\s\"'<>]{{6}})(?<=[:=]\s{{0,3}}[\"']{{0,1}})(?<=(?i:{_KEYS})[\"']{{0,1}}\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']{{0,1}})[^\s\"'<>]{{6,256}}",
     "random": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 #: Words whose presence in a candidate makes it less likely to be random.
@@ -36,7 +37,7 @@ def candidates(text: Column) -> Column:
             spans = F.filter(spans, lambda s: s["found"].rlike("[0-9]") & s["found"].rlike("[A-Za-z]"))
         parts.append(_ruled(rule, spans))
     none = F.array().cast(SPAN)
-    guards = (r"A[KS]IA|gh[pousr]_|xox|k_live_|AIza|eyJ", rf"(?i){_KEYS}", r"[A-Za-z0-9+/_-]{20}")
+    guards = (r"A[KS]IA|gh[pousr]_|xox|k_live_|AIza|eyJ", rf"(?i){_KEYS}[\"']?\s{{0,3}}[:=]", r"[A-Za-z0-9+/_-]{20}")
     return F.concat(*[F.when(text.rlike(g), p).otherwise(none) for g, p in zip(guards, parts)])
 
 

@@ -55,15 +55,19 @@ def fit_forest(rows: DataFrame, features: list[str], label: str = "label", trees
 def spans_of(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of a pattern's matches, leftmost and not overlapping, in code
     points. What stands between the matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        word = F.element_at(found, i)
-        end = start + F.length(word)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), word.alias("found")))).alias("out"))
+    def walk(match: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.element_at(match["gaps"], i))
+            word = F.element_at(match["found"], i)
+            end = start + F.length(word)
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), word.alias("found")))).alias("out"))
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
-    return F.when(F.size(found) > 0, walked["out"]).otherwise(empty)
+        walked = F.aggregate(F.sequence(F.lit(1), F.size(match["found"])), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+        return F.when(F.size(match["found"]) > 0, walked["out"]).otherwise(empty)
+
+    # An array of one element binds both to a lambda variable: a plain column would be worked out
+    # again wherever the walk names it.
+    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
+    return F.element_at(F.transform(once, walk), 1)
