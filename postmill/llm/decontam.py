@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF vectors (document frequencies of their words over the whole corpus)
-and a randomised SVD, whose matrix products run where the passages lie, gives a latent space. Windows
-of every text are projected into it and compared with the passages by cosine; what comes near is
+Benchmark passages become TF-IDF vectors (document frequencies of their words over the whole corpus).
+They are dealt into latent spaces of at most as many passages as a space has dimensions, each by a
+randomised SVD where its passages lie, so a space holds its passages whole however many there are.
+Windows of every text are projected into each and compared with its passages; what comes near is
 checked by the longest common subsequence of words, and where that alone doesn't settle it by the
 item's answer, its last words.
 """
@@ -18,24 +19,29 @@ from pyspark.sql import functions as F
 
 from .common import Words, pieces, written
 
-#: Dimensions, words of a window's half, and the cosine from which a window is checked.
-RANK, HALF, COSINE = 128, 24, 0.22
-#: Terms of a slab of the matrix products.
-SLAB = 2048
+#: Dimensions and most passages of a latent space, words of a window's half, and the cosine from which
+#: a window is checked. It is also checked from this share of a passage's own norm, or, of a passage that
+#: fits a half, from what the cheapest words that prove a leak alone have of it: the words around a short
+#: passage lower the cosine.
+RANK, HALF, COSINE, CONTAINED = 128, 24, 0.22, 0.35
 #: Shares of an item's words in common order that prove a leak: alone, or with the answer.
 ALONE, WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 8, 0.75
-#: Items of one pass over the texts; more take further passes.
-PASS = 4096
+#: Items of one pass over the texts (it bounds what the driver holds); more take further passes.
+PASS = 1024
 LEAK = "array<struct<item_id:bigint,share:double,cosine:double,answer:boolean>>"
 
 
 def common_words(item: dict[int, int], region: np.ndarray, size: int) -> int:
     """Length of the longest common subsequence; ``item`` has for each word the set of its places as
     bits. One addition handles a word of the region against the whole item."""
+    return _common([item.get(word, 0) for word in region.tolist()], size)
+
+
+def _common(places: list[int], size: int) -> int:
     every = (1 << size) - 1
     row = every
-    for word in region.tolist():
-        hit = row & item.get(word, 0)
+    for at in places:
+        hit = row & at
         row = ((row + hit) | (row - hit)) & every
     return size - row.bit_count()
 
@@ -49,7 +55,7 @@ def _bits(words: np.ndarray) -> dict[int, int]:
 
 class Benchmark:
     """The items (item_id, text) of one pass: their words, document frequencies over ``docs``, and the
-    latent space. Items without words take no part; null ids are left out."""
+    latent spaces. Items without words take no part; null ids are left out."""
 
     def __init__(self, items: DataFrame, docs: DataFrame, rank: int = RANK, seed: int = 23):
         spark = docs.sparkSession
@@ -78,67 +84,66 @@ class Benchmark:
         have = np.array([counts.get(i, 0) for i in range(len(vocabulary))], float)
         self.rarest = float(np.log(counts.get(-1, 0) + 2.0))
         self.idf = np.log((counts.get(-1, 0) + 2.0) / (have + 1.0))
-        self.basis = self._svd(spark, rank, seed)
-        latent = np.stack([self.idf[t] @ self.basis[t] for t in (np.searchsorted(vocabulary, w) for w in self.words)]) if kept else np.zeros((0, rank))
-        self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-
-    def _svd(self, spark, rank: int, seed: int, rounds: int = 3) -> np.ndarray:
-        """Leading right singular vectors of the passages' matrix (terms x rank): power iterations of a
-        random block, each product summed by slabs of terms over the tasks that hold the rows."""
-        terms, idf = len(self.vocabulary), self.idf
-        rank = min(rank, terms, len(self.words))
-        if not rank:
-            return np.zeros((terms, 0))
-        table = spark.createDataFrame(pa.table({"terms": pa.array([np.searchsorted(self.vocabulary, w).tolist() for w in self.words], pa.list_(pa.int64()))})).repartition(max(1, len(self.words) // 512))
-        rows = written(table, "decontam-rows")
-        block = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, min(terms, rank + 8))))[0]
-        for _ in range(rounds):
-            held = spark.sparkContext.broadcast(block)
-
-            def product(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                v, out = held.value, np.zeros(held.value.shape)
-                for batch in batches:
-                    for row in batch.column(0):
-                        t, n = np.unique(np.array(row.as_py(), np.int64), return_counts=True)
-                        x = n * idf[t]
-                        x = x / max(np.linalg.norm(x), 1e-12)
-                        out[t] += np.outer(x, x @ v[t])
-                slabs = [out[i : i + SLAB] for i in range(0, len(out), SLAB)]
-                hit = [i for i, x in enumerate(slabs) if x.any()]
-                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array([slabs[i].tobytes() for i in hit], pa.binary())], ["slab", "v"])
-
-            def total(group: pa.Table) -> pa.Table:
-                v = np.sum([np.frombuffer(x.as_py()) for x in group.column("v")], axis=0)
-                return pa.table({"slab": group.column("slab").slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
-
-            grown = np.zeros(block.shape)
-            for r in rows.mapInArrow(product, "slab int, v binary").groupBy("slab").applyInArrow(total, "slab int, v binary").collect():
-                v = np.frombuffer(r["v"]).reshape(-1, block.shape[1])
-                grown[r["slab"] * SLAB : r["slab"] * SLAB + len(v)] = v
-            block, size, _ = np.linalg.svd(grown, full_matrices=False)
-        return block[:, :rank] * (size[:rank] > 1e-12 * max(size[0], 1e-300))
+        self.spaces = self._spaces(spark, rank, seed)
+
+    def _spaces(self, spark, rank: int, seed: int) -> list[tuple]:
+        """Latent spaces: (items, terms, basis times idf, passages as unit vectors, and the
+        dot product with each from which a window is checked at any cosine)."""
+        if not self.words:
+            return []
+        idf = self.idf
+        terms = [np.searchsorted(self.vocabulary, w).tolist() for w in self.words]
+        of = np.arange(len(terms))
+        table = spark.createDataFrame(pa.table({"space": pa.array(of // rank, pa.int32()), "item": pa.array(of, pa.int32()), "terms": pa.array(terms, pa.list_(pa.int64()))}))
+
+        def fit(group: pa.Table) -> pa.Table:
+            rows = [np.unique(np.array(t, np.int64), return_counts=True) for t in group.column("terms").to_pylist()]
+            own = np.unique(np.concatenate([t for t, _ in rows]))
+            x = np.zeros((len(rows), len(own)))
+            for i, (t, n) in enumerate(rows):
+                x[i, np.searchsorted(own, t)] = n * idf[t]
+            norm = np.maximum(np.linalg.norm(x, axis=1), 1e-12)
+            x /= norm[:, None]
+            least = CONTAINED * norm
+            for i, (t, n) in enumerate(rows):
+                if n.sum() <= HALF:
+                    cheap = np.sort(np.repeat(idf[t] ** 2, n))[: int(np.ceil(ALONE * n.sum()))]
+                    least[i] = max(1e-6, min(least[i], 0.999 * cheap.sum() / norm[i]))
+            # A random block that is wider than the space has passages misses nothing of them.
+            block = np.random.default_rng(seed).standard_normal((len(own), rank + 8))
+            held = np.linalg.qr(x @ block)[0]
+            _, size, v = np.linalg.svd(held.T @ x, full_matrices=False)
+            basis = v[size > 1e-9 * max(size[0], 1e-300)].T
+            values = [group.column("item").to_numpy().astype(np.int32), own, (basis * idf[own][:, None]).astype(np.float32), (x @ basis).astype(np.float32), least.astype(np.float32)]
+            return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(_SPACE, values)})
+
+        out = []
+        for r in table.groupBy("space").applyInArrow(fit, ", ".join(f"{k} binary" for k in _SPACE)).collect():
+            item, own, least = (np.frombuffer(r[k], t) for k, t in (("item", np.int32), ("own", np.int64), ("least", np.float32)))
+            out.append((item, own, np.frombuffer(r["scaled"], np.float32).reshape(len(own), -1), np.frombuffer(r["latent"], np.float32).reshape(len(item), -1), least))
+        return out
 
     def leaks(self, spark):
         """A function of a text column that gives the leaked items: array of (item_id, share of the
         item's words in common order, cosine, whether the answer is there)."""
-        held = spark.sparkContext.broadcast((self.ids, self.words, self.vocabulary, self.idf, self.rarest, self.basis, self.latent))  # at most PASS items
+        held = spark.sparkContext.broadcast((self.ids, self.words, self.vocabulary, self.idf, self.rarest, self.spaces))  # at most PASS items
 
         @F.arrow_udf(LEAK)
         def find(column: pa.Array) -> pa.Array:
-            ids, words, vocabulary, idf, rarest, basis, latent = held.value
+            ids, words, vocabulary, idf, rarest, spaces = held.value
             if not ids:
                 return pa.array([[]] * len(column), _LEAK)
             bits = [_bits(w) for w in words]
             answers = [_bits(w[-ANSWER_WORDS:]) for w in words]
-            scaled = (basis * idf[:, None]).astype(np.float32)
             out: list = []
             for _, part in pieces(column):
-                out += _search(part, ids, words, bits, answers, vocabulary, idf, rarest, scaled, latent)
+                out += _search(part, ids, words, bits, answers, vocabulary, idf, rarest, spaces)
             return pa.array(out, _LEAK)
 
         return find
 
 
+_SPACE = ("item", "own", "scaled", "latent", "least")
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("answer", pa.bool_())]))
 
 
@@ -154,11 +159,11 @@ def _terms(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nd
     return at[same], term[same]
 
 
-def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, scaled, latent) -> list:
+def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, spaces) -> list:
     w = Words(column, lower=True, strip=True)
     n = len(w.count)
     out: list = [[] for _ in range(n)]
-    if not len(w.hash) or not scaled.shape[1]:
+    if not len(w.hash):
         return out
     first = np.cumsum(w.count) - w.count
     halves = -(-w.count // HALF)
@@ -169,37 +174,48 @@ def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, scaled,
     weight = np.full(len(w.hash), rarest)
     weight[at] = idf[term]
     norm = np.bincount(half, weight**2, total)
-    vector = np.zeros((total, scaled.shape[1]), np.float32)
-    for a in range(0, len(at), 1 << 16):
-        h, t = half[at[a : a + (1 << 16)]], term[a : a + (1 << 16)]
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        vector[h[starts]] += np.add.reduceat(scaled[t], starts, axis=0)
     doc = np.repeat(np.arange(n), halves)
     pair = np.append(doc[1:] == doc[:-1], False)
     # A window is two halves; a text's last half stands alone if it is its first, too.
-    vector[:-1][pair[:-1]] += vector[1:][pair[:-1]]
     norm[:-1][pair[:-1]] += norm[1:][pair[:-1]]
+    norm = np.sqrt(np.maximum(norm, 1e-12)).astype(np.float32)
     alone = ~pair & np.append(True, doc[1:] != doc[:-1])
     window = np.flatnonzero(pair | alone)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for a in range(0, len(window), 1 << 13):
-        own = window[a : a + (1 << 13)]
-        cosine = (vector[own] @ latent.T) / np.sqrt(np.maximum(norm[own], 1e-12)).astype(np.float32)[:, None]
-        for i, j in zip(*np.nonzero(cosine >= COSINE)):
-            d, here = int(doc[own[i]]), int((own[i] - half_first[doc[own[i]]]) * HALF)
-            size = len(words[j])
-            region = w.hash[first[d] + max(0, here - size) : first[d] + min(w.count[d], here + 2 * HALF + size)]
-            share = common_words(bits[j], region, size) / size
-            if share < WITH_ANSWER:
-                continue
-            k = min(ANSWER_WORDS, size)
-            answer = common_words(answers[j], region, k) / k >= ANSWER_SHARE
-            if share >= ALONE or answer:
-                known = best.get((d, int(j)))
-                if known is None or (share, float(cosine[i, j])) > known[:2]:
-                    best[d, int(j)] = (share, float(cosine[i, j]), answer)
-    for (d, j), (share, cosine, answer) in sorted(best.items()):
-        out[d].append({"item_id": ids[j], "share": share, "cosine": cosine, "answer": answer})
+    known = w.hash[at]
+    best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+    for items, own, scaled, latent, least in spaces:
+        local = np.full(len(vocabulary), -1, np.int32)
+        local[own] = np.arange(len(own), dtype=np.int32)
+        t = local[term]
+        here = np.flatnonzero(t >= 0)
+        t, h = t[here], half[at[here]]
+        vector = np.zeros((total, scaled.shape[1]), np.float32)
+        for a in range(0, len(t), 1 << 16):
+            part = h[a : a + (1 << 16)]
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            vector[part[starts]] += np.add.reduceat(scaled[t[a : a + (1 << 16)]], starts, axis=0)
+        vector[:-1][pair[:-1]] += vector[1:][pair[:-1]]
+        for a in range(0, len(window), 1 << 13):
+            rows = window[a : a + (1 << 13)]
+            near = vector[rows] @ latent.T
+            for i, j in zip(*np.nonzero(near >= np.minimum(COSINE * norm[rows][:, None], least))):
+                d, k, place = int(doc[rows[i]]), int(items[j]), int((rows[i] - half_first[doc[rows[i]]]) * HALF)
+                size = len(words[k])
+                lo, hi = np.searchsorted(at, [first[d] + max(0, place - size), first[d] + min(w.count[d], place + 2 * HALF + size)])
+                region = known[lo:hi].tolist()  # other words are in no item
+                places = [p for p in map(bits[k].get, region) if p]
+                if len(places) < WITH_ANSWER * size:
+                    continue
+                share = _common(places, size) / size
+                if share < WITH_ANSWER:
+                    continue
+                last = min(ANSWER_WORDS, size)
+                answer = _common([p for p in map(answers[k].get, region) if p], last) / last >= ANSWER_SHARE
+                cosine = float(near[i, j] / norm[rows[i]])
+                if (share >= ALONE or answer) and (share, cosine) > best.get((d, k), (0.0, 0.0))[:2]:
+                    best[d, k] = (share, cosine, answer)
+    for (d, k), (share, cosine, answer) in sorted(best.items()):
+        out[d].append({"item_id": ids[k], "share": share, "cosine": cosine, "answer": answer})
     return out
 
 

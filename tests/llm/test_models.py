@@ -97,6 +97,27 @@ def test_decontamination(spark, sf_dir, documents):
     assert decontam.find_leaks(docs, items.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_of_many_items(spark, documents):
+    """Verbatim, short and edited copies are found however many items the benchmark has."""
+    rng = random.Random(11)
+    texts = [t for t in (r["text"].split() for r in documents.filter("text is not null").collect()) if len(t) > 120]
+    items, planted = [], []
+    for k in range(600):
+        words, size = rng.choice(texts), (5, 8, 20, 35, 59)[k % 5]
+        at = rng.randrange(len(words) - size)
+        copy = words[at : at + size]
+        items.append((k, " ".join(copy)))
+        if k % 3 == 0:
+            if k % 2:
+                for i in rng.sample(range(size), size // 5):
+                    copy = copy[:i] + [f"other{i}"] + copy[i + 1 :]
+            around = rng.choice(texts)[:100]
+            planted.append((k, " ".join(around[:50] + copy + around[50:])))
+    docs = spark.createDataFrame(planted, "doc_id long, text string")
+    got = decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), documents).collect()
+    assert [r["doc_id"] for r in got if r["doc_id"] not in {x["item_id"] for x in r["leaks"]}] == []
+
+
 def test_common_words():
     import numpy as np
 
