@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 # Fixed value: minutes between two digests to a recipient.
 COOLDOWN_MINUTES = 30
@@ -36,40 +39,59 @@ def cooldown_stream(events: DataFrame, minutes: float = COOLDOWN_MINUTES) -> Dat
     return events.groupBy("recipient").applyInPandasWithState(step, SENT, "last long, pending array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _scanned(rows: DataFrame, order: list[str], step: Callable, schema: str) -> DataFrame:
+    """Rows (recipient, *order) scanned by recipient in that order. ``step(state, *values)`` gives the next
+    state, None at a recipient's first row, and a line or None. Only the state is held, whatever a
+    recipient's share of the rows; ``schema`` is that of a line."""
+    lines = StructType.fromDDL(schema)
+    out = StructType([rows.schema["recipient"], *lines.fields])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, types = None, None, None
+        for batch in batches:
+            types = types or [batch.schema.field(0).type, *(f.type for f in to_arrow_schema(lines))]
+            made: list = []
+            for key, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is None or own[0] != key:
+                    own, state = (key,), None
+                state, line = step(state, *values)
+                if line is not None:
+                    made.append((key, *line))
+            columns = zip(*made) if made else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], out.names)
+
+    return rows.repartition("recipient").sortWithinPartitions("recipient", *order).mapInArrow(scan, out)
+
+
 def cooldown_batch(events: DataFrame, minutes: float = COOLDOWN_MINUTES, recipient: str = "recipient", at: str = "at", item: str = "item") -> DataFrame:
     """The same over recorded events: rows (recipient, sent_at, n) for each digest. One sorted pass over a
-    recipient's events, which must fit a row."""
-    rows = events.groupBy(recipient).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(item).alias("item")))).alias("e"))
-    empty = F.array().cast("array<struct<sent_at:bigint,n:bigint>>")
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"), empty.alias("out"))
+    recipient's events that holds the time of the last digest and the number of pending events."""
     gap = int(minutes * 60_000)
 
-    def step(acc, e):
-        now = e["at"].cast("long")
-        n = acc["n"] + 1
-        sent = F.struct(now.alias("last"), F.lit(0).cast("long").alias("n"), F.concat(acc["out"], F.array(F.struct(now.alias("sent_at"), n.alias("n")))).alias("out"))
-        wait = F.struct(acc["last"].alias("last"), n.alias("n"), acc["out"].alias("out"))
-        return F.when(acc["last"].isNull() | (now - acc["last"] >= gap), sent).otherwise(wait)
+    def step(state, now, _):
+        last, n = state or (None, 0)
+        if last is None or now is not None and now - last >= gap:
+            return (now, 0), (now, n + 1)
+        return (last, n + 1), None
 
-    return rows.select(recipient, F.explode(F.aggregate("e", start, step)["out"]).alias("d")).select(recipient, "d.sent_at", "d.n")
+    rows = events.select(F.col(recipient).alias("recipient"), F.col(at).cast("long").alias("at"), F.col(item).alias("item"))
+    return _scanned(rows, ["at", "item"], step, "sent_at long, n long").withColumnRenamed("recipient", recipient)
 
 
 def rate_limited(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, recipient: str = "recipient", at: str = "at", delivered: str = "delivered") -> DataFrame:
     """Adds ``result`` and ``retry_after`` (seconds) to requests (recipient, at in milliseconds, delivered):
-    sent, rate_limited, or send_failed, which does not start the cooldown."""
-    own = F.struct(F.col(at).alias("at"), F.coalesce(F.col(delivered), F.lit(False)).alias("ok"))
-    rows = requests.groupBy(recipient).agg(F.sort_array(F.collect_list(own)).alias("e"))
-    empty = F.array().cast("array<struct<at:bigint,result:string,retry_after:bigint>>")
+    sent, rate_limited, or send_failed, which does not start the cooldown. One sorted pass that holds the
+    time of a recipient's last sent request."""
     gap = int(minutes * 60_000)
 
-    def step(acc, e):
-        wait = F.coalesce(acc["last"] + gap - e["at"], F.lit(0))
-        result = F.when(wait > 0, "rate_limited").when(e["ok"], "sent").otherwise("send_failed")
-        line = F.struct(e["at"].cast("long").alias("at"), result.alias("result"), F.when(wait > 0, F.ceil(wait / 1000)).alias("retry_after"))
-        return F.struct(F.when((wait <= 0) & e["ok"], e["at"].cast("long")).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(line)).alias("out"))
+    def step(last, now, ok):
+        wait = 0 if last is None or now is None else last + gap - now
+        if wait > 0:
+            return last, (now, "rate_limited", -(-wait // 1000))
+        return (now, (now, "sent", None)) if ok else (last, (now, "send_failed", None))
 
-    start = F.struct(F.lit(None).cast("long").alias("last"), empty.alias("out"))
-    return rows.select(recipient, F.explode(F.aggregate("e", start, step)["out"]).alias("r")).select(recipient, "r.*")
+    rows = requests.select(F.col(recipient).alias("recipient"), F.col(at).cast("long").alias("at"), F.coalesce(F.col(delivered), F.lit(False)).alias("ok"))
+    return _scanned(rows, ["at", "ok"], step, "at long, result string, retry_after long").withColumnRenamed("recipient", recipient)
 
 
 def alarm_times(profiles: DataFrame, start: str, end: str) -> DataFrame:

@@ -54,6 +54,29 @@ def test_cooldown_batch_and_stream(spark, tmp_path):
     assert sorted(sorted(r["items"]) for r in got) == [[0], [1, 2, 3], [4]]
 
 
+def test_recipients_are_scanned_not_collected(spark):
+    """Nothing gathers a recipient's rows, null ones are a recipient, and state passes from batch to batch."""
+    events = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, "x").alias("recipient"), (F.col("id") * 60_000).alias("at"), F.col("id").alias("item"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        for out in (digest.cooldown_batch(events), digest.rate_limited(events.withColumn("delivered", F.lit(True)))):
+            assert "collect_list" not in out._jdf.queryExecution().toString()
+        sent = {k: sorted((r["sent_at"] // 60_000, r["n"]) for r in digest.cooldown_batch(events).collect() if r["recipient"] == k) for k in (None, "x")}
+        limited = digest.rate_limited(events.withColumn("delivered", F.lit(True))).filter("result = 'sent'").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key, rows in sent.items():
+        last, n, want = None, 0, []
+        for i in range(30_000):
+            if (i % 3 > 0) == (key == "x"):
+                n += 1
+                if last is None or i - last >= 30:
+                    want.append((i, n))
+                    last, n = i, 0
+        assert rows == want
+        assert sorted(r["at"] // 60_000 for r in limited if r["recipient"] == key) == [i for i, _ in want]
+
+
 def test_rate_limit(spark):
     rows = spark.createDataFrame([("x", 0, False), ("x", 60_000, True), ("x", 120_000, True)], "recipient string, at long, delivered boolean")
     out = [(r["result"], r["retry_after"]) for r in digest.rate_limited(rows).orderBy("at").collect()]
