@@ -15,10 +15,11 @@ from .common import written
 from .trees import fit_forest, spans_of
 
 _KEYS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth|(?:api|access|private|secret|signing)[_-]?key)"
+# Possessive and without an upper bound: a whole run in linear time, never a prefix of it.
 RULES = {
-    "prefixed": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[baprs]-[A-Za-z0-9-]{10,255}|[sr]k_live_[A-Za-z0-9]{16,255}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000})(?![A-Za-z0-9])",
+    "prefixed": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[baprs]-[A-Za-z0-9-]{10,}+|[sr]k_live_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9])",
     # Cheap assertions stand before the one that looks for a name; their order changes no match.
-    "assigned": rf"(?<=[\s:=\"'])(?=[^\s\"'<>]{{6}})(?<=[:=]\s{{0,3}}[\"']{{0,1}})(?<=(?i:{_KEYS})[\"']{{0,1}}\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']{{0,1}})[^\s\"'<>]{{6,256}}",
+    "assigned": rf"(?<=[\s:=\"'])(?=[^\s\"'<>]{{6}})(?<=[:=]\s{{0,3}}[\"']{{0,1}})(?<=(?i:{_KEYS})[\"']{{0,1}}\s{{0,3}}[:=]{{1,2}}\s{{0,3}}[\"']{{0,1}})[^\s\"'<>]{{6,}}+",
     "random": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 #: Words whose presence in a candidate makes it less likely to be random.
