@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF vectors (document frequencies of their words over the whole corpus).
+Benchmark items are cut into overlapping passages that hold any window within the item, and these become
+TF-IDF vectors (document frequencies of their words over the whole corpus).
 They are dealt into latent spaces of at most as many passages as a space has dimensions, each by a
 randomised SVD where its passages lie, so a space holds its passages whole however many there are.
 Windows of every text are projected into each and compared with its passages; what comes near is
@@ -17,16 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pieces, written
+from .common import Words, pieces, word_count
 
 #: Dimensions and most passages of a latent space, words of a window's half, and the cosine from which
 #: a window is checked. It is also checked from this share of a passage's own norm, or, of a passage that
 #: fits a half, from what the cheapest words that prove a leak alone have of it: the words around a short
 #: passage lower the cosine.
 RANK, HALF, COSINE, CONTAINED = 128, 24, 0.22, 0.35
+#: Words of a passage, and from one to the next; a shorter item is one.
+PASSAGE, STRIDE = 96, 48
 #: Shares of an item's words in common order that prove a leak: alone, or with the answer.
 ALONE, WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 8, 0.75
-#: Items of one pass over the texts (it bounds what the driver holds); more take further passes.
+#: Passages of one pass over the texts (it bounds what the driver holds); more take further passes.
 PASS = 1024
 LEAK = "array<struct<item_id:bigint,share:double,cosine:double,answer:boolean>>"
 
@@ -87,14 +90,14 @@ class Benchmark:
         self.spaces = self._spaces(spark, rank, seed)
 
     def _spaces(self, spark, rank: int, seed: int) -> list[tuple]:
-        """Latent spaces: (items, terms, basis times idf, passages as unit vectors, and the
+        """Latent spaces: (item of each passage, terms, basis times idf, passages as unit vectors, and the
         dot product with each from which a window is checked at any cosine)."""
         if not self.words:
             return []
         idf = self.idf
-        terms = [np.searchsorted(self.vocabulary, w).tolist() for w in self.words]
-        of = np.arange(len(terms))
-        table = spark.createDataFrame(pa.table({"space": pa.array(of // rank, pa.int32()), "item": pa.array(of, pa.int32()), "terms": pa.array(terms, pa.list_(pa.int64()))}))
+        cuts = [(i, a) for i, w in enumerate(self.words) for a in [*range(0, len(w) - PASSAGE, STRIDE), max(0, len(w) - PASSAGE)]]
+        terms = [np.searchsorted(self.vocabulary, self.words[i][a : a + PASSAGE]).tolist() for i, a in cuts]
+        table = spark.createDataFrame(pa.table({"space": pa.array(np.arange(len(terms)) // rank, pa.int32()), "item": pa.array([i for i, _ in cuts], pa.int32()), "terms": pa.array(terms, pa.list_(pa.int64()))}))
 
         def fit(group: pa.Table) -> pa.Table:
             rows = [np.unique(np.array(t, np.int64), return_counts=True) for t in group.column("terms").to_pylist()]
@@ -182,7 +185,7 @@ def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, spaces)
     alone = ~pair & np.append(True, doc[1:] != doc[:-1])
     window = np.flatnonzero(pair | alone)
     known = w.hash[at]
-    best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+    checked: dict[tuple[int, int], dict[int, float]] = {}  # cosines of a text's places for an item
     for items, own, scaled, latent, least in spaces:
         local = np.full(len(vocabulary), -1, np.int32)
         local[own] = np.arange(len(own), dtype=np.int32)
@@ -199,21 +202,27 @@ def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, spaces)
             rows = window[a : a + (1 << 13)]
             near = vector[rows] @ latent.T
             for i, j in zip(*np.nonzero(near >= np.minimum(COSINE * norm[rows][:, None], least))):
-                d, k, place = int(doc[rows[i]]), int(items[j]), int((rows[i] - half_first[doc[rows[i]]]) * HALF)
-                size = len(words[k])
-                lo, hi = np.searchsorted(at, [first[d] + max(0, place - size), first[d] + min(w.count[d], place + 2 * HALF + size)])
-                region = known[lo:hi].tolist()  # other words are in no item
-                places = [p for p in map(bits[k].get, region) if p]
-                if len(places) < WITH_ANSWER * size:
-                    continue
-                share = _common(places, size) / size
-                if share < WITH_ANSWER:
-                    continue
-                last = min(ANSWER_WORDS, size)
-                answer = _common([p for p in map(answers[k].get, region) if p], last) / last >= ANSWER_SHARE
-                cosine = float(near[i, j] / norm[rows[i]])
-                if (share >= ALONE or answer) and (share, cosine) > best.get((d, k), (0.0, 0.0))[:2]:
-                    best[d, k] = (share, cosine, answer)
+                places = checked.setdefault((int(doc[rows[i]]), int(items[j])), {})
+                place = int((rows[i] - half_first[doc[rows[i]]]) * HALF)
+                places[place] = max(places.get(place, -1.0), float(near[i, j] / norm[rows[i]]))
+    best: dict[tuple[int, int], tuple[float, float, bool]] = {}
+    for (d, k), places in checked.items():
+        size = len(words[k])
+        for place, cosine in sorted(places.items(), key=lambda x: -x[1]):
+            lo, hi = np.searchsorted(at, [first[d] + max(0, place - size), first[d] + min(w.count[d], place + 2 * HALF + size)])
+            region = known[lo:hi].tolist()  # other words are in no item
+            hits = [p for p in map(bits[k].get, region) if p]
+            if len(hits) < WITH_ANSWER * size:
+                continue
+            share = _common(hits, size) / size
+            if share < WITH_ANSWER:
+                continue
+            last = min(ANSWER_WORDS, size)
+            answer = _common([p for p in map(answers[k].get, region) if p], last) / last >= ANSWER_SHARE
+            if (share >= ALONE or answer) and (share, cosine) > best.get((d, k), (0.0, 0.0))[:2]:
+                best[d, k] = (share, cosine, answer)
+            if share == 1:  # those that follow have a lower cosine
+                break
     for (d, k), (share, cosine, answer) in sorted(best.items()):
         out[d].append({"item_id": ids[k], "share": share, "cosine": cosine, "answer": answer})
     return out
@@ -221,14 +230,15 @@ def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, spaces)
 
 def find_leaks(df: DataFrame, items: DataFrame, docs: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Adds ``leaks``: array of (item_id, share, cosine, answer) of the benchmark items (item_id, text)
-    found in each whole text. Document frequencies come from ``docs`` (by default ``df``).
+    found in each whole text, whatever their length; the cosine is that of the nearest passage. Document frequencies come from ``docs`` (by default ``df``).
 
     Null and empty texts have none; an empty benchmark gives none. Repeated items are each found. Rows
     are kept as they are; a column named ``leaks`` is replaced. Items go through in passes of ``PASS``
     in the order of their hash."""
     spark = df.sparkSession
     items = items.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    passes = max(1, -(-items.count() // PASS))
+    more = F.greatest(F.lit(0), F.ceil((word_count(F.col("text")) - PASSAGE) / STRIDE))
+    passes = max(1, -(-(items.agg(F.sum(more + 1)).head()[0] or 0) // PASS))
     of_pass = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
     corpus = (docs if docs is not None else df).select(F.col(f"`{text}`").alias("text"))
     out = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "leaks"])

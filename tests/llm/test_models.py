@@ -118,6 +118,16 @@ def test_decontamination_of_many_items(spark, documents):
     assert [r["doc_id"] for r in got if r["doc_id"] not in {x["item_id"] for x in r["leaks"]}] == []
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(13)
+    items = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(size))) for k, size in enumerate((3000, 1000, 97, 96))]
+    edited = [(10 + k, " ".join(x if rng.random() < 0.8 else "other" for x in t.split())) for k, t in items]
+    docs = spark.createDataFrame([(k, f"some words before {t} and behind") for k, t in items + edited], "doc_id long, text string")
+    got = decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in got} == {k: [k % 10] for k, _ in items + edited}
+    assert all(x["share"] == 1 for r in got if r["doc_id"] < 10 for x in r["leaks"])
+
+
 def test_common_words():
     import numpy as np
 
