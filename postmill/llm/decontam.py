@@ -12,6 +12,8 @@ item's answer, its last words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ PASSAGE, STRIDE = 96, 48
 ALONE, WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 8, 0.75
 #: Passages of one pass over the texts (it bounds what the driver holds); more take further passes.
 PASS = 1024
+#: Most frequent words of a space whose occurrences are counted into a matrix, not added one by one.
+DENSE = 192
 LEAK = "array<struct<item_id:bigint,share:double,cosine:double,answer:boolean>>"
 
 
@@ -87,17 +91,23 @@ class Benchmark:
         have = np.array([counts.get(i, 0) for i in range(len(vocabulary))], float)
         self.rarest = float(np.log(counts.get(-1, 0) + 2.0))
         self.idf = np.log((counts.get(-1, 0) + 2.0) / (have + 1.0))
+        self.have = have
         self.spaces = self._spaces(spark, rank, seed)
 
     def _spaces(self, spark, rank: int, seed: int) -> list[tuple]:
-        """Latent spaces: (item of each passage, terms, basis times idf, passages as unit vectors, and the
-        dot product with each from which a window is checked at any cosine)."""
+        """Latent spaces: (item of each passage, terms, basis times idf, passages as unit vectors, the dot
+        product with each from which a window is checked at any cosine, the most that an occurrence of a
+        term adds to any dot product, and the most frequent terms). Passages that fit a half have spaces
+        of their own, as a window is checked for them from less."""
         if not self.words:
             return []
         idf = self.idf
         cuts = [(i, a) for i, w in enumerate(self.words) for a in [*range(0, len(w) - PASSAGE, STRIDE), max(0, len(w) - PASSAGE)]]
+        cuts.sort(key=lambda c: len(self.words[c[0]]) > HALF)
         terms = [np.searchsorted(self.vocabulary, self.words[i][a : a + PASSAGE]).tolist() for i, a in cuts]
-        table = spark.createDataFrame(pa.table({"space": pa.array(np.arange(len(terms)) // rank, pa.int32()), "item": pa.array([i for i, _ in cuts], pa.int32()), "terms": pa.array(terms, pa.list_(pa.int64()))}))
+        short = sum(len(self.words[i]) <= HALF for i, _ in cuts)
+        space = np.append(np.arange(short) // rank, -(-short // rank) + np.arange(len(cuts) - short) // rank)
+        table = spark.createDataFrame(pa.table({"space": pa.array(space, pa.int32()), "item": pa.array([i for i, _ in cuts], pa.int32()), "terms": pa.array(terms, pa.list_(pa.int64()))}))
 
         def fit(group: pa.Table) -> pa.Table:
             rows = [np.unique(np.array(t, np.int64), return_counts=True) for t in group.column("terms").to_pylist()]
@@ -117,13 +127,16 @@ class Benchmark:
             held = np.linalg.qr(x @ block)[0]
             _, size, v = np.linalg.svd(held.T @ x, full_matrices=False)
             basis = v[size > 1e-9 * max(size[0], 1e-300)].T
-            values = [group.column("item").to_numpy().astype(np.int32), own, (basis * idf[own][:, None]).astype(np.float32), (x @ basis).astype(np.float32), least.astype(np.float32)]
+            scaled, latent = basis * idf[own][:, None], x @ basis
+            most = np.concatenate([(scaled[a : a + 4096] @ latent.T).max(axis=1) for a in range(0, len(own), 4096)])
+            values = [group.column("item").to_numpy().astype(np.int32), own, scaled.astype(np.float32), latent.astype(np.float32), least.astype(np.float32), np.maximum(most, 0).astype(np.float32)]
             return pa.table({k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(_SPACE, values)})
 
         out = []
         for r in table.groupBy("space").applyInArrow(fit, ", ".join(f"{k} binary" for k in _SPACE)).collect():
-            item, own, least = (np.frombuffer(r[k], t) for k, t in (("item", np.int32), ("own", np.int64), ("least", np.float32)))
-            out.append((item, own, np.frombuffer(r["scaled"], np.float32).reshape(len(own), -1), np.frombuffer(r["latent"], np.float32).reshape(len(item), -1), least))
+            item, own, least, most = (np.frombuffer(r[k], t) for k, t in (("item", np.int32), ("own", np.int64), ("least", np.float32), ("most", np.float32)))
+            dense = np.argsort(-self.have[own], kind="stable")[:DENSE]
+            out.append((item, own, np.frombuffer(r["scaled"], np.float32).reshape(len(own), -1), np.frombuffer(r["latent"], np.float32).reshape(len(item), -1), least, most, dense))
         return out
 
     def leaks(self, spark):
@@ -146,7 +159,7 @@ class Benchmark:
         return find
 
 
-_SPACE = ("item", "own", "scaled", "latent", "least")
+_SPACE = ("item", "own", "scaled", "latent", "least", "most")
 _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64()), ("answer", pa.bool_())]))
 
 
@@ -162,6 +175,23 @@ def _terms(words: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.nd
     return at[same], term[same]
 
 
+def _projected(term: np.ndarray, half: np.ndarray, halves: int, scaled: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Sums of the terms' vectors by half; ``half`` rises. Occurrences of the ``dense`` terms are counted and
+    meet their vectors in one product."""
+    column = np.full(len(scaled), -1, np.int32)
+    column[dense] = np.arange(len(dense), dtype=np.int32)
+    k = column[term]
+    often = k >= 0
+    counts = np.bincount(half[often] * len(dense) + k[often], minlength=halves * len(dense)).reshape(halves, len(dense))
+    out = counts.astype(np.float32) @ scaled[dense]
+    t, h = term[~often], half[~often]
+    for a in range(0, len(t), 1 << 15):
+        part = h[a : a + (1 << 15)]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        out[part[starts]] += np.add.reduceat(scaled[t[a : a + (1 << 15)]], starts, axis=0)
+    return out
+
+
 def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, spaces) -> list:
     w = Words(column, lower=True, strip=True)
     n = len(w.count)
@@ -176,53 +206,68 @@ def _search(column, ids, words, bits, answers, vocabulary, idf, rarest, spaces)
     at, term = _terms(w.hash, vocabulary)
     weight = np.full(len(w.hash), rarest)
     weight[at] = idf[term]
-    norm = np.bincount(half, weight**2, total)
     doc = np.repeat(np.arange(n), halves)
     pair = np.append(doc[1:] == doc[:-1], False)
-    # A window is two halves; a text's last half stands alone if it is its first, too.
-    norm[:-1][pair[:-1]] += norm[1:][pair[:-1]]
-    norm = np.sqrt(np.maximum(norm, 1e-12)).astype(np.float32)
-    alone = ~pair & np.append(True, doc[1:] != doc[:-1])
-    window = np.flatnonzero(pair | alone)
-    known = w.hash[at]
+    behind = np.minimum(np.arange(1, total + 1), total - 1)
+
+    def windows(x: np.ndarray) -> np.ndarray:
+        """Of sums by half those of the windows: two halves, or one where none follows."""
+        return x + np.where(pair, x[behind], 0)
+
+    norm = np.sqrt(np.maximum(windows(np.bincount(half, weight**2, total)), 1e-12)).astype(np.float32)
+    # A text's last half stands alone if it is its first, too.
+    window = np.flatnonzero(pair | np.append(True, doc[1:] != doc[:-1]))
+    known, known_half = w.hash[at], half[at]
     checked: dict[tuple[int, int], dict[int, float]] = {}  # cosines of a text's places for an item
-    for items, own, scaled, latent, least in spaces:
+    for items, own, scaled, latent, least, most, dense in spaces:
         local = np.full(len(vocabulary), -1, np.int32)
         local[own] = np.arange(len(own), dtype=np.int32)
         t = local[term]
         here = np.flatnonzero(t >= 0)
-        t, h = t[here], half[at[here]]
-        vector = np.zeros((total, scaled.shape[1]), np.float32)
-        for a in range(0, len(t), 1 << 16):
-            part = h[a : a + (1 << 16)]
-            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            vector[part[starts]] += np.add.reduceat(scaled[t[a : a + (1 << 16)]], starts, axis=0)
-        vector[:-1][pair[:-1]] += vector[1:][pair[:-1]]
-        for a in range(0, len(window), 1 << 13):
-            rows = window[a : a + (1 << 13)]
-            near = vector[rows] @ latent.T
+        t, h = t[here], known_half[here]
+        # No dot product exceeds the sum of the most that each occurrence can add: windows that stay
+        # below what the least passage asks for are not projected.
+        bound = windows(np.bincount(h, most[t], total))[window] * 1.001 + 1e-6
+        left = window[bound >= np.minimum(COSINE * norm[window], least.min())]
+        for a in range(0, len(left), 1 << 12):
+            rows = left[a : a + (1 << 12)]
+            needed = np.zeros(behind[rows[-1]] + 1 - rows[0], bool)
+            needed[rows - rows[0]] = True
+            needed[behind[rows[pair[rows]]] - rows[0]] = True
+            place = np.cumsum(needed) - 1
+            part = slice(*np.searchsorted(h, [rows[0], rows[0] + len(needed)]))
+            kept = needed[h[part] - rows[0]]
+            vector = _projected(t[part][kept], place[h[part][kept] - rows[0]], int(place[-1]) + 1, scaled, dense)
+            near = (vector[place[rows - rows[0]]] + np.where(pair[rows][:, None], vector[place[np.minimum(behind[rows] - rows[0], len(place) - 1)]], 0)) @ latent.T
             for i, j in zip(*np.nonzero(near >= np.minimum(COSINE * norm[rows][:, None], least))):
                 places = checked.setdefault((int(doc[rows[i]]), int(items[j])), {})
-                place = int((rows[i] - half_first[doc[rows[i]]]) * HALF)
-                places[place] = max(places.get(place, -1.0), float(near[i, j] / norm[rows[i]]))
+                start = int((rows[i] - half_first[doc[rows[i]]]) * HALF)
+                places[start] = max(places.get(start, -1.0), float(near[i, j] / norm[rows[i]]))
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    for (d, k), places in checked.items():
+    order = [(d, k, place, cosine) for (d, k), places in checked.items() for place, cosine in sorted(places.items(), key=lambda x: -x[1])]
+    d_of, k_of, place_of = (np.array([x[i] for x in order], np.int64) for i in range(3))
+    size_of = np.array([len(x) for x in words], np.int64)[k_of]
+    low = np.searchsorted(at, first[d_of] + np.maximum(0, place_of - size_of)).tolist()
+    high = np.searchsorted(at, first[d_of] + np.minimum(w.count[d_of], place_of + 2 * HALF + size_of)).tolist()
+    whole: set[tuple[int, int]] = set()
+    for (d, k, _, cosine), lo, hi in zip(order, low, high):
+        if (d, k) in whole:  # those that follow have a lower cosine
+            continue
         size = len(words[k])
-        for place, cosine in sorted(places.items(), key=lambda x: -x[1]):
-            lo, hi = np.searchsorted(at, [first[d] + max(0, place - size), first[d] + min(w.count[d], place + 2 * HALF + size)])
-            region = known[lo:hi].tolist()  # other words are in no item
-            hits = [p for p in map(bits[k].get, region) if p]
-            if len(hits) < WITH_ANSWER * size:
-                continue
-            share = _common(hits, size) / size
-            if share < WITH_ANSWER:
-                continue
-            last = min(ANSWER_WORDS, size)
-            answer = _common([p for p in map(answers[k].get, region) if p], last) / last >= ANSWER_SHARE
-            if (share >= ALONE or answer) and (share, cosine) > best.get((d, k), (0.0, 0.0))[:2]:
-                best[d, k] = (share, cosine, answer)
-            if share == 1:  # those that follow have a lower cosine
-                break
+        region = known[lo:hi].tolist()  # other words are in no item
+        hits = [p for p in map(bits[k].get, region) if p]
+        # No common order holds more of the item's places than the region's words have.
+        if reduce(or_, hits, 0).bit_count() < WITH_ANSWER * size:
+            continue
+        share = _common(hits, size) / size
+        if share < WITH_ANSWER:
+            continue
+        last = min(ANSWER_WORDS, size)
+        answer = _common([p for p in map(answers[k].get, region) if p], last) / last >= ANSWER_SHARE
+        if (share >= ALONE or answer) and (share, cosine) > best.get((d, k), (0.0, 0.0))[:2]:
+            best[d, k] = (share, cosine, answer)
+        if share == 1:
+            whole.add((d, k))
     for (d, k), (share, cosine, answer) in sorted(best.items()):
         out[d].append({"item_id": ids[k], "share": share, "cosine": cosine, "answer": answer})
     return out
