@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,36 +17,56 @@ def _lower(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def _holds(lower: Column, parts: list[str]) -> Column:
+    """Whether all parts stand somewhere in the text: a plain search, far cheaper than a pattern."""
+    return reduce(and_, [F.contains(lower, F.lit(p)) for p in parts])
+
+
+def _literals(pattern: str) -> list[str]:
+    """What every match of a term's pattern holds."""
+    return [re.sub(r"\\(.)", r"\1", part) for part in pattern.split(r"\s*")]
+
+
+_NONE = "array<string>"
+
+
 def tech_terms(text: Column) -> Column:
-    """All technical terms by group, white space within them as a hyphen; repeated as they occur."""
+    """All technical terms by group, white space within them as a hyphen; repeated as they occur. A group's
+    pattern runs only over texts that hold the letters of one of its terms."""
     lower = _lower(text)
-    groups = [F.regexp_extract_all(lower, F.lit("|".join(map(bounded, g))), F.lit(0)) for g in TECH_TERMS]
+    none = F.array().cast(_NONE)
+    groups = [F.when(reduce(or_, [_holds(lower, _literals(t)) for t in g]), F.regexp_extract_all(lower, F.lit("|".join(map(bounded, g))), F.lit(0))).otherwise(none) for g in TECH_TERMS]
     return F.transform(F.concat(*groups), lambda t: F.regexp_replace(t, f"{SPACE}+", "-"))
 
 
 def tokens(text: Column) -> Column:
     """Distinct tokens in order of first occurrence, then technical terms. Stop words and short words
     are dropped before hyphens and full stops are stripped, so that ``the.`` leaves ``the``."""
-    words = F.split(F.regexp_replace(_lower(text), r"[^a-z0-9#+.\-]", " "), " +")
+    words = F.split(F.regexp_replace(_lower(text), r"[^a-z0-9#+.\-]+", " "), " ")
     words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
-    words = F.transform(words, lambda w: F.regexp_replace(w, r"^[.\-]+|[.\-]+$", ""))
+    words = F.transform(words, lambda w: F.btrim(w, F.lit(".-")))
     return F.filter(F.array_distinct(F.concat(words, tech_terms(text))), lambda w: F.length(w) >= 2)
 
 
 def phrase_skills(text: Column) -> Column:
     """Phrases reported as skills, by pattern, each as it stands in the text."""
     lower = _lower(text)
-    return F.concat(*[F.regexp_extract_all(lower, F.lit(bounded(p)), F.lit(0)) for p in PHRASES])
+    none = F.array().cast(_NONE)
+    return F.concat(*[F.when(_holds(lower, parts), F.regexp_extract_all(lower, F.lit(bounded(p)), F.lit(0))).otherwise(none) for p, parts in PHRASES.items()])
 
 
 def skills(text: Column, dictionary: list[str] | None = None) -> Column:
-    """Skills of the dictionary found as whole words, in its order, then phrases; distinct. A plain
-    search for the skill goes before the pattern: most texts hold few of them."""
-    lower = _lower(text)
+    """Skills of the dictionary found as whole words, in its order, then phrases; distinct. Those of word
+    characters alone are looked up among the text's words; for others a plain search goes before the
+    pattern."""
+    lower, wanted = _lower(text), SKILLS if dictionary is None else dictionary
     quote = lambda s: re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", s)
-    found = [F.when(F.contains(lower, F.lit(s)) & lower.rlike(bounded(quote(s))), F.lit(s)) for s in (SKILLS if dictionary is None else dictionary)]
-    known = F.filter(F.array(*found), lambda s: s.isNotNull()) if found else F.array().cast("array<string>")
-    return F.array_distinct(F.concat(known, phrase_skills(text)))
+    plain = [s for s in wanted if re.fullmatch("[0-9a-z_]+", s)]
+    marked = [F.when(F.contains(lower, F.lit(s)) & lower.rlike(bounded(quote(s))), F.lit(s)) for s in wanted if s not in plain]
+    every = F.array(*map(F.lit, wanted)).cast(_NONE)
+    words = F.split(lower, "[^0-9a-z_]+") if plain else F.array().cast(_NONE)
+    found = F.concat(words, F.array(*marked)) if marked else words
+    return F.array_distinct(F.concat(F.array_intersect(every, found), phrase_skills(text)))
 
 
 def job_text(title: Column, company: Column, description: Column, location: Column) -> Column:

@@ -38,10 +38,28 @@ def select_new(matches: DataFrame, history: DataFrame, key: str = "url") -> Data
 
 
 def rank_matches(matches: DataFrame, order: str = "ord", partition: list[str] | None = None) -> DataFrame:
-    """Adds ``rank``: position by score, ties in arrival order."""
+    """Adds ``rank``: position by score, ties in arrival order. Without ``partition`` all rows go through one
+    task: for a few rows; ``ranked`` takes any number."""
     return matches.withColumn("rank", F.row_number().over(Window.partitionBy(*(partition or [F.lit(0)])).orderBy(F.desc("score"), F.asc(order))))
 
 
+def ranked(matches: DataFrame, order: str = "ord", parts: int = 256) -> DataFrame:
+    """Adds ``rank`` like ``rank_matches``, for any number of rows: a score's rows are cut into ``parts``
+    stretches of ``order`` (a number), and each stretch is ranked in a task of its own from the number of
+    rows before it. Scores have two decimals, so there are few. The rows are worked out once: all
+    steps read the same exchange."""
+    dealt = matches.repartition(F.col(order))
+    span = dealt.groupBy("score").agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count("*").alias("_n"))
+    ahead = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*(by[:-1])).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    span = span.select(F.col("score").alias("_score"), "_low", "_high", ahead(F.desc("score")).alias("_start"))  # a row a score
+    part = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(order) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (parts - 1))).otherwise(0)
+    placed = dealt.join(span, F.col("score").eqNullSafe(F.col("_score"))).withColumn("_part", part)
+    starts = placed.groupBy("score", "_part").agg(F.count("*").alias("_n")).withColumn("_before", ahead("score", "_part")).drop("_n")
+    within = F.row_number().over(Window.partitionBy("score", "_part").orderBy(order))
+    out = placed.withColumn("_within", within).join(starts, ["score", "_part"])
+    return out.select(*matches.columns, (F.col("_start") + F.col("_before") + F.col("_within")).alias("rank"))
+
+
 def blend(matches: DataFrame, replies: DataFrame, weight: float | None = None, order: str = "ord", top: int = RESCORED) -> DataFrame:
     """The best ``top`` matches blended with model scores by position (``replies``: rank, model_score),
     then all by score again. A missing reply keeps the local score."""

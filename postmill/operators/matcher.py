@@ -24,11 +24,12 @@ class Profile:
 
     tokens: list[str]
     skills: list[str]
+    text: str = ""
 
     @classmethod
     def of(cls, spark: SparkSession, text: str, dictionary: list[str] | None = None) -> Profile:
         row = spark.range(1).select(T.tokens(F.lit(text)).alias("t"), T.skills(F.lit(text), dictionary).alias("s")).first()
-        return cls(list(row["t"]), list(row["s"]))
+        return cls(list(row["t"]), list(row["s"]), text)
 
 
 def _strings(items: list[str]) -> Column:
@@ -67,11 +68,11 @@ def score_jobs(jobs: DataFrame, profile: Profile, weights: tuple[float, float] =
     out = with_features(jobs, dictionary)
     skill = F.floor(skill_ratio(mine, F.col("job_skills")) * 100 * 100 + 0.5) / 100
     tfidf = pair_score(known, F.col("job_tokens")) if profile.tokens else F.lit(0.0)
-    out = out.withColumns({"tfidf_score": tfidf, "skill_score": skill})
-    score = final_score(F.col("tfidf_score"), F.col("skill_score"), weights)
+    hit = F.lit(False)
     if poisoned:
-        hit = F.array_contains("job_tokens", "constructor") & (F.size("job_tokens") > 0) | F.lit("constructor" in profile.tokens)
-        score = F.when(hit & (F.size("job_tokens") > 0), F.lit(None)).otherwise(score)
+        hit = (F.array_contains("job_tokens", "constructor") | F.lit("constructor" in profile.tokens)) & (F.size("job_tokens") > 0)
+    out = _once(out, tfidf_score=tfidf, skill_score=skill, _hit=hit)
+    score = F.when(~F.col("_hit"), final_score(F.col("tfidf_score"), F.col("skill_score"), weights))
     return out.withColumns(
         {
             "score": score,
@@ -80,7 +81,7 @@ def score_jobs(jobs: DataFrame, profile: Profile, weights: tuple[float, float] =
             "profile_skill_count": F.lit(len(profile.skills)).cast("long"),
             "job_skill_count": F.size("job_skills").cast("long"),
         }
-    ).drop("job_tokens", "job_skills")
+    ).drop("job_tokens", "job_skills", "_hit")
 
 
 def above(score: Column, threshold: float) -> Column:
@@ -95,21 +96,33 @@ def match_jobs(jobs: DataFrame, profile: Profile, threshold: float = SERVICE_THR
 
 
 def match_many(jobs: DataFrame, profiles: DataFrame, k: int, job_key: str = "job_id", profile_key: str = "profile_id", weights: tuple[float, float] = WEIGHTS, dictionary: list[str] | None = None) -> DataFrame:
-    """Best ``k`` jobs of each of many profiles (profile_key, text): rows (profile_key, job_key, score, rank).
-
-    Pairs come from joins on tokens and skills, never from a cross join; pairs that share neither score
-    0 and are not reported. Tokens that very many jobs hold make those joins grow; a pair's score needs
-    one shared token, so pairs are made distinct per token batch by partial aggregation."""
+    """Best ``k`` jobs of each of many profiles (profile_key, text): rows (profile_key, job_key, score, rank),
+    ties to the smaller job_key; pairs that share neither token nor skill score 0 and are not reported.
+    Job keys are unique.
+
+    A pair's score depends on the job's set of skills and on whether they share a token, so of all jobs of
+    one set that hold one token only the ``k`` of smallest key can be among the best. These are kept before
+    rows move (a window limit per task), and profiles meet them by token: no hot token or skill makes
+    pairs of all jobs with all profiles. The first weight must not be less than the second."""
+    if weights[0] < weights[1]:
+        raise ValueError("a shared token must weigh at least as much as all skills")
     job = with_features(jobs, dictionary).select(job_key, "job_tokens", "job_skills")
     mine = profiles.select(profile_key, T.tokens(F.col("text")).alias("tokens"), T.skills(F.col("text"), dictionary).alias("skills"))
-    on_token = job.select(job_key, F.explode("job_tokens").alias("x")).join(mine.select(profile_key, F.explode("tokens").alias("x")), "x").groupBy(profile_key, job_key).agg(F.lit(100.0).alias("tfidf"), F.lit(0).alias("shared"))
-    on_skill = job.select(job_key, F.explode("job_skills").alias("x")).join(mine.select(profile_key, F.explode("skills").alias("x")), "x").groupBy(profile_key, job_key).agg(F.lit(0.0).alias("tfidf"), F.count("*").cast("int").alias("shared"))
-    pairs = on_token.unionByName(on_skill).groupBy(profile_key, job_key).agg(F.max("tfidf").alias("tfidf"), F.max("shared").alias("shared"))
-    counts = job.select(job_key, F.size("job_skills").alias("n"))
-    skill = F.when(F.col("n") > 0, F.floor(F.col("shared") / F.col("n") * 100 * 100 + 0.5) / 100).otherwise(0.0)
-    scored = pairs.join(counts, job_key).select(profile_key, job_key, final_score(F.col("tfidf"), skill, weights).alias("score"))
+    ratio = skill_ratio(F.col("skills"), F.col("job_skills"))
+    score = lambda tfidf: final_score(F.lit(tfidf), F.floor(ratio * 100 * 100 + 0.5) / 100, weights).alias("score")
+    first = lambda rows, keys, n: rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(job_key))).filter(F.col("n") <= n).drop("n")
+    by_token = first(job.select(job_key, "job_skills", F.explode("job_tokens").alias("x")), ["x", "job_skills"], k)
+    on_token = mine.select(profile_key, "skills", F.explode("tokens").alias("x")).join(by_token, "x").select(profile_key, job_key, score(100.0))
+    # Without a shared token no pair beats those with one. If fewer than ``k`` jobs share a token with the
+    # profile, all of them are known here, and 2 k of each set of skills hold k others.
+    text = T.job_text(*(F.col(c) for c in ("title", "company", "description", "location")))
+    by_skills = first(_once(jobs, job_skills=T.skills(text, dictionary)).select(job_key, "job_skills").filter(F.size("job_skills") > 0), ["job_skills"], 2 * k)
+    sets = by_skills.select("job_skills").distinct().select("job_skills", F.explode("job_skills").alias("s"))
+    near = mine.select(profile_key, "skills", F.explode("skills").alias("s")).join(sets, "s").select(profile_key, "skills", "job_skills").distinct()
+    on_skill = near.join(by_skills, "job_skills").select(profile_key, job_key, score(0.0))
+    pairs = on_token.union(on_skill).groupBy(profile_key, job_key).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(profile_key).orderBy(F.desc("score"), F.asc(job_key)))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def default_dictionary() -> list[str]:

@@ -18,17 +18,20 @@ def document_frequency(docs: DataFrame, tokens: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def inverse_document_frequency(docs: DataFrame, tokens: str) -> DataFrame:
+def inverse_document_frequency(docs: DataFrame, tokens: str, tf: DataFrame | None = None) -> DataFrame:
     """Rows (term, df, idf) with idf = ln(N / (1 + df)): 0 for a term that all but one hold, and below
-    for one that all do."""
+    for one that all do. ``tf``: the documents' ``term_frequency``, where it is at hand; its exchange is
+    then shared, and the tokens are worked out once."""
     n = docs.agg(F.count("*").alias("n_docs"))
-    return document_frequency(docs, tokens).crossJoin(F.broadcast(n)).select("term", "df", F.ln(F.col("n_docs") / (1 + F.col("df"))).alias("idf"))  # n is one row
+    df = document_frequency(docs, tokens) if tf is None else tf.groupBy("term").agg(F.count("tf").alias("df"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", F.ln(F.col("n_docs") / (1 + F.col("df"))).alias("idf"))  # n is one row
 
 
-def tfidf_vectors(docs: DataFrame, key: str, tokens: str, idf: DataFrame | None = None) -> DataFrame:
+def tfidf_vectors(docs: DataFrame, key: str, tokens: str, idf: DataFrame | None = None, tf: DataFrame | None = None) -> DataFrame:
     """Rows (key, term, weight); a term without an idf weighs 0."""
-    idf = inverse_document_frequency(docs, tokens) if idf is None else idf
-    return term_frequency(docs, key, tokens).join(idf, "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(0.0))).alias("weight"))
+    tf = term_frequency(docs, key, tokens) if tf is None else tf
+    idf = inverse_document_frequency(docs, tokens, tf) if idf is None else idf
+    return tf.join(idf, "term", "left").select(key, "term", (F.col("tf") * F.coalesce("idf", F.lit(0.0))).alias("weight"))
 
 
 def cosine_sparse(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:

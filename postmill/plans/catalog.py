@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats
@@ -42,9 +42,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table for each core from which its files alone keep all cores busy.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, as its one row group would be read by one task; a table of
+    ``SMALL`` bytes a core or more stays as its files are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (doc_id, text), whose texts cost more than their bytes."""
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as postings."""
-    return read(spark, sf_dir, "documents").select(
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select(
         F.col("doc_id").alias("ord"),
         F.lit(None).cast("string").alias("title"),
         F.col("source").alias("company"),
@@ -79,7 +96,7 @@ SCORED = f"""{JOB_TOKENS}, {JOB_SKILLS}, {MINE},
 
 @query(f"WITH {TOKENS} SELECT doc_id, array_to_string(tokens, '|') AS tokens, len(tokens)::BIGINT AS n FROM tok")
 def tokenize_documents(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", joined("t").alias("tokens"), F.size("t").cast("long").alias("n"))
+    return texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", joined("t").alias("tokens"), F.size("t").cast("long").alias("n"))
 
 
 @query(f"SELECT p_partkey, array_to_string({Q.tech(WORDS)}, '|') AS terms FROM part")
@@ -89,7 +106,7 @@ def tech_terms(spark, sf_dir):
 
 @query(f"WITH {Q.skill_cte('documents', 'doc_id', 'text')} SELECT doc_id, array_to_string(skills, '|') AS skills FROM sk")
 def extract_skills(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", joined(T.skills(F.col("text"))).alias("skills"))
+    return texts(spark, sf_dir).select("doc_id", joined(T.skills(F.col("text"))).alias("skills"))
 
 
 @query(f"WITH {Q.skill_cte(f'(SELECT p_partkey, {WORDS} AS t FROM part)', 'p_partkey', 't')} SELECT p_partkey, array_to_string(skills, '|') AS skills FROM sk")
@@ -99,12 +116,12 @@ def phrase_skills(spark, sf_dir):
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '. ', chr(13) || chr(10) || chr(10) || chr(10) || ' ' || chr(9)), chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def normalize_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize(F.replace("text", F.lit(". "), F.lit("\r\n\n\n \t"))).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", T.normalize(F.replace("text", F.lit(". "), F.lit("\r\n\n\n \t"))).alias("text"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS n FROM documents")
 def word_count(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n"))
+    return texts(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("n"))
 
 
 @query("SELECT doc_id AS ord, concat_ws(' ', nullif(source, ''), nullif(text, ''), nullif(lang, '')) AS t FROM documents")
@@ -124,7 +141,7 @@ def platform_gate(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {Q.token_cte('benchmark', 'item_id', 'text', 'bt')}, a AS (SELECT DISTINCT doc_id, unnest(tokens) AS x FROM tok), b AS (SELECT DISTINCT item_id, unnest(tokens) AS x FROM bt) SELECT item_id, count(DISTINCT doc_id)::BIGINT AS n, count(DISTINCT doc_id) * 100.0::DOUBLE AS total FROM a JOIN b USING (x) GROUP BY item_id")
 def pair_score_closed(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("x"))
+    docs = texts(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("x"))
     items = read(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("x"))
     pairs = docs.join(items, "x").groupBy("item_id", "doc_id").agg(F.lit(100.0).alias("score"))
     return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
@@ -133,7 +150,7 @@ def pair_score_closed(spark, sf_dir):
 @query(f"WITH {TOKENS}, {Q.token_cte('(SELECT item_id, text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))', 'item_id', 'text', 'bt')} SELECT doc_id, CASE WHEN len(list_intersect(tok.tokens, bt.tokens)) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS closed, CASE WHEN len(list_intersect(tok.tokens, bt.tokens)) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS generic FROM tok, bt")
 def pair_score_generic(spark, sf_dir):
     first = read(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(T.tokens(F.col("text")).alias("b"))
-    both = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("a")).crossJoin(F.broadcast(first))  # one row
+    both = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("a")).crossJoin(F.broadcast(first))  # one row
     return both.select("doc_id", I.pair_score(F.col("a"), F.col("b")).alias("closed"), I.pair_score_generic(F.col("a"), F.col("b")).alias("generic"))
 
 
@@ -146,7 +163,7 @@ def score_jobs(spark, sf_dir):
 @query(f"WITH {SCORED} SELECT doc_id AS ord, score, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS rank FROM scored WHERE score >= 50")
 def match_jobs(spark, sf_dir):
     out = M.match_jobs(jobs(spark, sf_dir), M.Profile.of(spark, PROFILE, DICTIONARY), M.SERVICE_THRESHOLD, dictionary=DICTIONARY)
-    return out.select("ord", "score", F.row_number().over(Window.orderBy(F.desc("score"), "ord")).cast("long").alias("rank"))
+    return B.ranked(out.select("ord", "score"))
 
 
 @query(f"WITH {SCORED} SELECT CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'low' END AS category, count(*)::BIGINT AS n FROM scored GROUP BY 1")
@@ -164,7 +181,7 @@ def skill_match_ratio(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {Q.token_cte('benchmark', 'item_id', 'text', 'bt')}, {Q.skill_cte('documents', 'doc_id', 'text', DICTIONARY)}, {Q.skill_cte('benchmark', 'item_id', 'text', DICTIONARY, 'bs')}, p AS (SELECT item_id, doc_id, CASE WHEN len(list_intersect(bt.tokens, tok.tokens)) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS t, len(list_intersect(bs.skills, sk.skills)) AS k, len(sk.skills) AS n FROM (tok JOIN sk USING (doc_id)), (bt JOIN bs USING (item_id))), s AS (SELECT item_id, doc_id, floor((t * 0.6::DOUBLE + CASE WHEN n > 0 THEN floor(k::DOUBLE / n * 100 * 100 + 0.5) / 100 ELSE 0.0::DOUBLE END * 0.4::DOUBLE) * 100 + 0.5) / 100 AS score FROM p WHERE t > 0 OR k > 0) SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM s) WHERE rank <= 5")
 def many_profiles_topk(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), F.lit("").alias("company"), F.lit("").alias("location"), F.col("text").alias("description"))
+    docs = texts(spark, sf_dir).select("doc_id", F.lit("").alias("title"), F.lit("").alias("company"), F.lit("").alias("location"), F.col("text").alias("description"))
     out = M.match_many(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"), 5, "doc_id", "item_id", dictionary=DICTIONARY)
     return out.select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -184,12 +201,12 @@ def term_frequency(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, x AS (SELECT doc_id, unnest(tokens) AS term FROM tok) SELECT term, count(*)::BIGINT AS df FROM x GROUP BY term")
 def document_frequency(spark, sf_dir):
-    return I.document_frequency(read(spark, sf_dir, "documents").select(T.tokens(F.col("text")).alias("t")), "t")
+    return I.document_frequency(texts(spark, sf_dir).select(T.tokens(F.col("text")).alias("t")), "t")
 
 
 @query(f"WITH {TOKENS}, x AS (SELECT doc_id, unnest(tokens) AS term FROM tok), d AS (SELECT term, count(*) AS df FROM x GROUP BY term) SELECT term, df::BIGINT AS df, floor(ln((SELECT count(*) FROM documents)::DOUBLE / (1 + df)) * 1e6 + 0.5) / 1e6 AS idf FROM d")
 def inverse_document_frequency(spark, sf_dir):
-    out = I.inverse_document_frequency(read(spark, sf_dir, "documents").select(T.tokens(F.col("text")).alias("t")), "t")
+    out = I.inverse_document_frequency(texts(spark, sf_dir).select(T.tokens(F.col("text")).alias("t")), "t")
     return out.select("term", "df", micro(F.col("idf")).alias("idf"))
 
 
@@ -198,16 +215,17 @@ VECTORS = f"{TOKENS}, x AS (SELECT doc_id, unnest(tokens) AS term, len(tokens) A
 
 @query(f"WITH {VECTORS} SELECT doc_id, term, floor(weight * 1e6 + 0.5) / 1e6 AS weight FROM v")
 def tfidf_vector(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return I.tfidf_vectors(docs, "doc_id", "t").select("doc_id", "term", micro(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {VECTORS}, {Q.token_cte('benchmark', 'item_id', 'text', 'bt')}, bx AS (SELECT item_id, unnest(tokens) AS term, len(tokens) AS n FROM bt), b AS (SELECT item_id, term, 1.0::DOUBLE / n * coalesce(idf, 0) AS weight FROM bx LEFT JOIN d USING (term)), nv AS (SELECT doc_id, sqrt(sum(weight * weight)) AS na FROM v GROUP BY doc_id), nb AS (SELECT item_id, sqrt(sum(weight * weight)) AS nb FROM b GROUP BY item_id), dots AS (SELECT doc_id, item_id, sum(v.weight * b.weight) AS dot FROM v JOIN b USING (term) WHERE v.weight <> 0 AND b.weight <> 0 GROUP BY ALL) SELECT doc_id, item_id, floor(dot / (na * nb) * 1e6 + 0.5) / 1e6 AS cosine FROM dots JOIN nv USING (doc_id) JOIN nb USING (item_id)")
 def cosine_sparse(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    docs = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
     items = read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    idf = I.inverse_document_frequency(docs, "t")
-    out = I.cosine_sparse(I.tfidf_vectors(docs, "doc_id", "t", idf), I.tfidf_vectors(items, "item_id", "t", idf), "doc_id", "item_id")
+    tf = I.term_frequency(docs, "doc_id", "t")
+    idf = I.inverse_document_frequency(docs, "t", tf)
+    out = I.cosine_sparse(I.tfidf_vectors(docs, "doc_id", "t", idf, tf), I.tfidf_vectors(items, "item_id", "t", idf), "doc_id", "item_id")
     return out.select("doc_id", "item_id", micro(F.col("cosine")).alias("cosine"))
 
 
