@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from .common import unit, word_count, written
 
 MAX_REPEATS = 3
-#: Levels of the order by hash: a source's bucket of the first level is cut once more row by row.
+#: Buckets of a level of the seeded order; the one that holds a cut is cut once more.
 BUCKETS = 4096
-#: Documents after the cut that may fill what the whole documents before it have left.
-FILLERS = 512
 
 
 def quotas(sizes: list[int], weights: list[int], most: int = MAX_REPEATS) -> list[Fraction]:
@@ -100,6 +98,37 @@ def source_weights(names: list[str | None], cycle: tuple[int, ...] = (5, 2, 1))
     return {n: cycle[i % len(cycle)] for i, n in enumerate(ordered)}
 
 
+def _cut(rows: DataFrame, group: list[str], need: DataFrame) -> DataFrame:
+    """Rows (group, cut, filled) for each group of ``need`` (group, need: words): in the order of (u, tie, r)
+    the rows before ``cut`` are those whose sizes sum up to ``filled``, the most that the need holds; a
+    null cut takes all rows.
+
+    Cut down level by level: buckets of u, equal rows, buckets of r, rows. A task sorts sums by bucket,
+    the distinct rows of one bucket, or one bucket of equal rows: no level follows a hot key."""
+    levels = [(F.col("u") * BUCKETS).cast("int"), F.struct("u", "tie"), (F.col("r") * BUCKETS).cast("int"), F.col("r")]
+    scope, state, cut = rows.select(*group, "u", "tie", "r", "size"), need.select(*group, "need", F.lit(0).cast("long").alias("filled")), []
+    for i, level in enumerate(levels):
+        name = f"p{i}"
+        scope = scope.withColumn("level", level)
+        sums = scope.groupBy(*group, "level").agg(F.sum("size").alias("words"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy(*group).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)))
+        sums = sums.join(F.broadcast(state.select(*group, "need")), group)
+        whole = F.col("upto") <= F.col("need")
+        step = sums.groupBy(*group).agg(F.coalesce(F.max(F.when(whole, F.col("upto"))), F.lit(0)).alias("more"), F.min(F.when(~whole, F.col("level"))).alias(name))
+        state = state.join(F.broadcast(step), group, "left").select(*group, (F.col("need") - F.coalesce("more", F.lit(0))).alias("need"), (F.col("filled") + F.coalesce("more", F.lit(0))).alias("filled"), *cut, name)
+        state = written(state, "mix-cut")  # a row a group
+        cut.append(name)
+        if i < len(levels) - 1:
+            scope = scope.join(F.broadcast(state.filter(F.col(name).isNotNull()).select(*group, F.col(name).alias("level"))), [*group, "level"]).drop("level")
+            scope = written(scope, "mix-scope") if i == 0 else scope
+    at = F.when(F.col("p3").isNotNull(), F.struct(F.col("p1.u").alias("u"), F.col("p1.tie").alias("tie"), F.col("p3").alias("r")))
+    return state.select(*group, at.alias("cut"), "filled")
+
+
+def _before(cut: str) -> Column:
+    return F.col(cut).isNull() | (F.struct("u", "tie", "r") < F.col(cut))
+
+
 def mix_sources(df: DataFrame, sources: Column, key: list[Column], size: Column | None = None, seed: int = 11, weights: dict | None = None, most: int = MAX_REPEATS) -> DataFrame:
     """Adds ``size``, ``source_size`` and ``target`` (of the first of the document's sources) and
     ``taken``: words the mix takes of the document, a multiple of its size up to ``most`` times.
@@ -109,60 +138,59 @@ def mix_sources(df: DataFrame, sources: Column, key: list[Column], size: Column
     by default 5, 2, 1, repeating, in code point order. The driver holds a row per membership
     pattern and per source; both depend on how the sources overlap, not on the number of documents.
     Documents of size 0 take nothing; an empty table gives an empty result. Same rows and seed:
-    same mix; rows equal in ``key`` are ordered by size and otherwise interchangeable. Columns of the
-    added names are replaced."""
+    same mix: rows equal in ``key`` are told apart by their other columns (maps aside), and among rows
+    equal in all it is open which ones are taken, but not how many. Columns of the added names are
+    replaced.
+
+    In seeded order documents are taken while they fit what the flow gives their pattern; what is left
+    then, less than one document, is filled from all that follow, the largest that fit first, and by one
+    more where that comes nearer."""
     spark = df.sparkSession
     added = ("size", "source_size", "target", "taken")
     own = [c for c in df.columns if c.lower() not in added]
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name in own and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
     named = F.sort_array(F.array_distinct(F.transform(F.coalesce(sources, F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))))
+    # A name and its pattern are told apart by "=" (a name) and "~" (null), which sorts after it.
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
         F.when(F.size(named) == 0, F.array(F.lit("~"))).otherwise(named).alias("pattern"),
         (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"),
         unit(*key, seed=seed).alias("u"),
+        unit(*plain, seed=seed + 1).alias("tie"),
+        F.rand(seed).alias("r"),
     )
-    # A name and its pattern are told apart by "=" (a name) and "~" (null), which sorts after it.
-    # Sums by bucket of the seeded order serve both the flow and the cut.
-    bucket = (F.col("u") * BUCKETS).cast("int")
-    narrow = written(rows.select("pattern", "size", "u", bucket.alias("bucket")), "mix")
-    sums = narrow.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    held = sums.groupBy("pattern").agg(F.sum("words").alias("words")).collect()
+    # Written once: sizes are counted once, and equal rows keep their places in every later pass.
+    rows = written(rows, "mix-rows")
+    narrow = rows.select("pattern", "size", "u", "tie", "r").filter("size > 0")
+    held = rows.groupBy("pattern").agg(F.sum("size").alias("words")).collect()
     plan = _plan([(tuple(r["pattern"]), r["words"] or 0) for r in held], weights, most)
-
     flow = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(plan)), "array<struct<pattern:array<string>,rounds:int,rest:long,source_size:long,target:double>>")).alias("p")).select("p.*")
-    ahead = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("*", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("docs_before")).join(F.broadcast(flow), "pattern")
-    # One bucket of a pattern holds the cut: those before it are taken whole. Those that follow
-    # offer at least FILLERS documents for what is left there, where there are so many.
-    cut = sums.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))).select("pattern", F.col("bucket").alias("at"), (F.col("rest") - F.col("before")).alias("room"), (F.col("docs_before") + F.col("n")).alias("docs_upto"))
-    near = sums.join(F.broadcast(cut), "pattern").filter((F.col("bucket") >= F.col("at")) & (F.col("docs_before") < F.col("docs_upto") + FILLERS)).groupBy("pattern").agg(F.max("bucket").alias("near"))
-    known = written(flow.join(cut.join(near, "pattern"), "pattern", "left").drop("docs_upto"), "mix")
-    rows = rows.withColumn("bucket", bucket).join(F.broadcast(known), "pattern")
-
-    in_bucket = narrow.join(F.broadcast(known.select("pattern", "at", "near", "room")), "pattern").filter(F.col("bucket").between(F.col("at"), F.col("near")))
-    order = Window.partitionBy("pattern").orderBy("u", "size")
-    ranked = in_bucket.filter("size > 0").select("pattern", "u", "size", "room", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    edge = ranked.groupBy("pattern").agg(
-        F.max(F.when(F.col("upto") <= F.col("room"), F.col("u"))).alias("last"),
-        F.first("room").alias("room"),
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))), F.lit(0)).alias("filled"),
-    )
-    after = ranked.filter(F.col("upto") > F.col("room")).withColumn("n", F.row_number().over(Window.partitionBy("pattern").orderBy("u", "size"))).filter(F.col("n") <= FILLERS)
-    tail = after.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("n", "u", "size"))).alias("next"))
-    start = F.struct((F.col("room") - F.col("filled")).cast("long").alias("left"), F.array().cast("array<double>").alias("us"))
-    # In seeded order, each of the next documents that still fits fills what is left.
-    filled = F.aggregate(
-        F.coalesce(F.col("next"), F.array().cast("array<struct<n:int,u:double,size:bigint>>")),
-        start,
-        lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["us"], F.array(x["u"])).alias("us"))).otherwise(acc),
-    )
-    edge = edge.join(tail, "pattern", "left").select("pattern", F.coalesce("last", F.lit(-1.0)).alias("last"), "next", filled.alias("f"))
-    # One more if it overshoots by less than what is left.
-    closest = F.array_min(F.transform(F.filter("next", lambda x: ~F.array_contains(F.col("f.us"), x["u"]) & (x["size"] < 2 * F.col("f.left"))), lambda x: F.struct(F.abs(x["size"] - F.col("f.left")).alias("miss"), x["u"].alias("u"))))
-    edge = edge.select("pattern", "last", F.when(closest.isNotNull(), F.concat("f.us", F.array(closest["u"]))).otherwise(F.col("f.us")).alias("us"))
-    out = rows.join(F.broadcast(edge), "pattern", "left")
-    more = (F.col("bucket") < F.coalesce("at", F.lit(BUCKETS))) | (F.col("bucket").between(F.col("at"), F.col("near")) & ((F.col("u") <= F.col("last")) | F.array_contains("us", F.col("u"))))
-    times = F.least(F.lit(most), F.col("rounds") + F.coalesce(more & (F.col("rest") > 0), F.lit(False)).cast("int"))
+
+    cut = _cut(narrow, ["pattern"], flow.filter("rest > 0").select("pattern", F.col("rest").alias("need")))
+    known = written(flow.join(F.broadcast(cut), "pattern", "left").withColumn("room", F.when(F.col("cut").isNotNull(), F.col("rest") - F.col("filled")).otherwise(0)), "mix-known")
+    # Sizes of the documents behind the cut that may come near what is left there. Their number is
+    # bounded by what is left, which is less than a document has words.
+    behind = narrow.join(F.broadcast(known.filter("room > 0").select("pattern", "cut", "room")), "pattern").filter(~_before("cut") & (F.col("size") < 2 * F.col("room")))
+    counts = behind.groupBy("pattern", "room", "size").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("pattern", "room").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    start = F.struct(F.col("room").cast("long").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("out"), F.lit(None).cast("long").alias("over"))
+
+    def fill(acc: Column, x: Column) -> Column:
+        n = F.least(x["n"], F.floor(acc["left"] / x["size"]))
+        out = F.when(n > 0, F.concat(acc["out"], F.array(F.struct(x["size"].alias("size"), n.alias("n"))))).otherwise(acc["out"])
+        # The smallest size of which some stay: none of them fits any more.
+        return F.struct((acc["left"] - n * x["size"]).alias("left"), out.alias("out"), F.when(n < x["n"], x["size"]).otherwise(acc["over"]).alias("over"))
+
+    filled = sizes.select("pattern", F.aggregate("sizes", start, fill).alias("f"))
+    one = F.when(F.coalesce(F.col("f.over") < 2 * F.col("f.left"), F.lit(False)), F.array(F.struct(F.col("f.over").alias("size"), F.lit(1).cast("long").alias("n")))).otherwise(F.array().cast("array<struct<size:bigint,n:bigint>>"))
+    picks = filled.select("pattern", F.explode(F.concat("f.out", one)).alias("x")).groupBy("pattern", "x.size").agg((F.sum("x.n") * F.col("size")).cast("long").alias("need"))
+    picks = written(picks, "mix-picks")
+    chosen = behind.join(F.broadcast(picks.select("pattern", "size")), ["pattern", "size"]).select("pattern", "size", F.col("size").alias("of"), "u", "tie", "r")
+    more = _cut(chosen, ["pattern", "of"], picks.select("pattern", F.col("size").alias("of"), "need"))
+
+    out = rows.join(F.broadcast(known), "pattern").join(F.broadcast(more.select("pattern", F.col("of").alias("size"), F.col("cut").alias("cut_more"), F.lit(True).alias("fills"))), ["pattern", "size"], "left")
+    again = (F.col("rest") > 0) & (_before("cut") | (F.coalesce("fills", F.lit(False)) & _before("cut_more")))
+    times = F.least(F.lit(most), F.col("rounds") + again.cast("int"))
     return out.select("row.*", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
 
 

@@ -75,6 +75,52 @@ def test_mix_odd(spark, odd, empty):
     assert mixing.mix_sources(both, F.col("s"), [F.col("doc_id")]).count() == 3
 
 
+def test_mix_repeated_rows(spark):
+    """A tie of equal rows is cut like other rows: each source comes as near as one-by-one filling does."""
+    rng = random.Random(5)
+    rows = [(500, "b", 40)] * 200 + [(i, "abc"[i % 3], rng.randrange(1, 60)) for i in range(300)] + [(None, None, 7)] * 30 + [(9000, "c", 900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long").repartition(5)
+    run = lambda: mixing.mix_sources(df, F.array("source"), [F.col("doc_id")], size=F.col("n")).collect()
+    out = run()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in out) == collections.Counter((i, n) for i, _, n in rows)
+    taken, target = collections.Counter(), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target), (taken, target)
+    assert collections.Counter(map(tuple, out)) == collections.Counter(map(tuple, run()))
+
+
+def test_mix_overlapping_sources(spark):
+    """What each pattern gives is the cheapest flow, found here by trying all."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice([["x"], ["y"], ["x", "y"], ["x", "y"]]), rng.randrange(1, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, s array<string>, n long")
+    out = mixing.mix_sources(df, F.col("s"), [F.col("doc_id")], size=F.col("n"), weights={"x": 1, "y": 4}).collect()
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in out:
+        size[tuple(r["s"])] += r["size"]
+        taken[tuple(r["s"])] += r["taken"]
+        target[r["s"][0]] = r["target"]
+    total = sum(size.values())
+    patterns = [("x",), ("y",), ("x", "y")]
+    want = {"x": round(target["x"]), "y": round(target["y"])}
+    assert abs(sum(want.values()) - total) <= 1 and abs(want["y"] - 0.8 * total) <= 1
+    price = lambda p, g: sum(max(0, min(size[p], g - k * size[p])) * (k * (k + 1) // 2) for k in range(3))
+    best = None
+    for gx in range(0, want["x"] + 1):  # words of x only; the rest of x comes from both
+        both_x = want["x"] - gx
+        for gy in range(max(0, want["y"] - 3 * size[patterns[2]]), min(3 * size[patterns[1]], want["y"]) + 1):
+            both = both_x + want["y"] - gy
+            if gx <= 3 * size[patterns[0]] and both <= 3 * size[patterns[2]]:
+                cost = price(patterns[0], gx) + price(patterns[1], gy) + price(patterns[2], both)
+                best = cost if best is None else min(best, cost)
+    given = dict(zip(patterns, mixing.route([((0,), size[patterns[0]]), ((1,), size[patterns[1]]), ((0, 1), size[patterns[2]])], [want["x"], want["y"]])))
+    assert sum(given.values()) == sum(want.values()) and sum(price(p, g) for p, g in given.items()) == best
+    assert all(abs(taken[p] - given[p]) <= 1 for p in patterns)
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
