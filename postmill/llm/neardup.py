@@ -8,7 +8,8 @@ a band are candidates; each candidate pair is verified on its whole shingle sets
 
 Equal texts are one node. In a band, every node is compared with the smallest, which keeps pairs
 linear in the group; nodes of one band that are not in one component then are compared with each
-other, except where distances to the smallest (a metric) show that they are too far apart.
+other, except where distances to the smallest (a metric) or shared shingles show that they are too far
+apart. Both bounds are exact.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 #: Members that one task compares with a leader it holds.
 SPREAD = 256
-#: Members of a block of a family, and the share of equal slots from which a pair is verified there:
-#: three standard errors below the similarity asked for.
-BLOCK, LOOKS = 2048, 0.695
+#: Members of a block of a family and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 _GRAM = np.uint64((1 << 32) - 1)
 
 
@@ -98,15 +98,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, label) for the ends of ``edges`` (a, b): the smallest id of each one's component. Star
-    contraction, a written table a round: all neighbours move to the smallest, until nothing moves."""
+    contraction, written tables a round: all neighbours move to the smallest, until nothing moves.
+
+    The smallest neighbours are written before edges meet them, so that both sides of each join are plain
+    exchanges by its key, whose large partitions Spark splits: a node with very many edges is no one task's."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc")
     before = None
     while True:
         # Larger neighbours of a node go to its smallest neighbour; then smaller ones and itself.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
+        large = written(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct(), "cc-large")
+        least = written(large.groupBy("b").agg(F.min("a").alias("m")), "cc-least")
         small = large.join(least, "b")
         edges = written(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a < b")).distinct(), "cc")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -134,7 +137,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
                 cuts = np.searchsorted(row, np.arange(len(column) + 1))
                 ids = batch.column(0).slice(first, len(column))
                 grams = [gram[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:])]
-                counts = [np.minimum(count[a:b], 65535).astype(np.uint16).tobytes() for a, b in zip(cuts, cuts[1:])]
+                counts = [count[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(grams, pa.large_binary()), pa.array(counts, pa.large_binary()), batch.column(2).slice(first, len(column))], ["id", "grams", "counts", "to"])
 
     # A merge join at any size, as most texts of a corpus of copies are wanted.
@@ -148,7 +151,7 @@ def _verify(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
             out = []
             for a, role, b, grams, counts in zip(batch.column(0), batch.column(2), batch.column(3), batch.column(4), batch.column(5)):
                 grams = np.frombuffer(grams.as_buffer(), np.uint32)
-                own = (grams, np.frombuffer(counts.as_buffer(), np.uint16))
+                own = (grams, np.frombuffer(counts.as_buffer(), np.uint32))
                 if role.as_py() == 0:
                     held_id, held = a.as_py(), own
                 elif a.as_py() == held_id and (s := similarity(held, own)) >= least:
@@ -158,13 +161,27 @@ def _verify(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
+def _alike(grams: list[np.ndarray], weights: list[np.ndarray], wanted: np.ndarray):
+    """For each of ``wanted`` texts the share of its weight on shingles that it has in common with each of all:
+    never below their similarity, as a shared shingle adds at most its share of either text's weight."""
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    every = np.concatenate(grams)
+    order = np.argsort(every, kind="stable")
+    owner, every = owner[order], every[order]
+    for i in wanted:
+        lo, hi = np.searchsorted(every, grams[i], side="left"), np.searchsorted(every, grams[i], side="right")
+        n = hi - lo
+        at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+        yield i, np.bincount(owner[at], np.repeat(weights[i], n), len(grams)) / weights[i].sum()
+
+
+def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: DataFrame, sizes: DataFrame) -> DataFrame:
     """Links (a, b) between members of one band that the comparison with the band's smallest has left
-    in different components.
+    in different components. ``sizes``: id, size in bytes.
 
-    Bands with one smallest node form a family. Its members are compared by their signatures in
-    blocks, and pairs of different components that look similar by their shingles, most similar
-    first; a pair joins its components, so that few pairs of a dense family are verified, and at
+    Bands with one smallest node form a family, cut into blocks by members and bytes. In each pair of
+    blocks the pairs of different components that no exact bound rules out are verified, those that share
+    most first; a pair joins its components, so that few pairs of a dense family are verified, and at
     most a link per member leaves the task."""
     family = shared.filter("id <> a").select("a", "id").distinct()
     named = labels.select("id", "label")
@@ -174,8 +191,10 @@ def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: Da
     near = (F.col("similarity") >= 1 - 2 * (1 - SIMILARITY)) & ~own
     shape = family.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(~own, 1)).alias("apart"), F.count(F.when(near, 1)).alias("near"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     # Without a near one, those linked with the smallest are too far from all that are not.
-    shape = shape.filter("low < high and (apart > 1 or near > 0)").select("a", (F.col("near") > 0).alias("all"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    shape = shape.filter("low < high and (apart > 1 or near > 0)").select("a", (F.col("near") > 0).alias("all"))
     family = written(family.join(shape, "a").filter(F.col("all") | ~own), "neardup-family")
+    bulk = family.join(sizes, "id").groupBy("a").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    family = family.join(bulk, "a")
     block = F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks").cast("long")).cast("int")
     tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     places = family.withColumn("block", block).select("id", F.explode(F.transform(tile, lambda t: F.struct(F.col("a"), F.col("comp"), F.col("similarity"), F.col("block"), t.alias("tile")))).alias("to"))
@@ -185,71 +204,58 @@ def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: Da
         for batch in batches:
             for first, column in pieces(batch.column(1)):
                 row, gram, count = weighted_shingles(column)
-                sig = signatures(row, gram, 1 + np.log(count), len(column), BANDS * ROWS)
                 cuts = np.searchsorted(row, np.arange(len(column) + 1))
                 spans = list(zip(cuts, cuts[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, len(column)),
-                        pa.array([mix(s).astype(np.uint8).tobytes() for s in sig], pa.binary()),
-                        pa.array([gram[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
-                        pa.array([np.minimum(count[a:b], 65535).astype(np.uint16).tobytes() for a, b in spans], pa.binary()),
-                        batch.column(2).slice(first, len(column)),
-                    ],
-                    ["id", "sketch", "grams", "counts", "to"],
-                )
+                packed = [pa.array([x[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.large_binary()) for x in (gram, count)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(column)), *packed, batch.column(2).slice(first, len(column))], ["id", "grams", "counts", "to"])
 
     def join(group: pa.Table) -> pa.Table:
         column = lambda name: group.column(name).combine_chunks()
         ids, comp, to_leader, block = (column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "similarity", "block"))
-        sketch = np.frombuffer(b"".join(x.as_py() for x in column("sketch")), np.uint8).reshape(len(ids), -1)
-        grams, counts = column("grams"), column("counts")
-        sets = lambda i: (np.frombuffer(grams[int(i)].as_buffer(), np.uint32), np.frombuffer(counts[int(i)].as_buffer(), np.uint16))
+        grams, counts = ([np.frombuffer(x.as_buffer(), np.uint32) for x in column(c)] for c in ("grams", "counts"))
         crossed = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         _, root = np.unique(comp, return_inverse=True)
-        found = []
-        for i in np.flatnonzero(to_leader < SIMILARITY):
-            ok = (root != root[i]) & ((to_leader >= SIMILARITY) | (np.arange(len(ids)) > i))
-            if to_leader[i] < 1 - 2 * (1 - SIMILARITY):
-                ok &= to_leader < SIMILARITY
+        found, apart = [], 1 - SIMILARITY + 1e-9
+        for i, share in _alike(grams, [1 + np.log(n) for n in counts], np.flatnonzero(to_leader < SIMILARITY)):
+            ok = (share >= SIMILARITY - 1e-9) & (root != root[i]) & ((to_leader >= SIMILARITY) | (np.arange(len(ids)) > i))
+            ok &= (np.abs(to_leader - to_leader[i]) <= apart) | (to_leader == 0) | (to_leader[i] == 0)  # 0: too low to be known
             if crossed:
                 ok &= block != block[i]
             other = np.flatnonzero(ok)
-            alike = (sketch[other] == sketch[i]).mean(axis=1)
-            keep = alike >= LOOKS
-            found.append(np.stack([-alike[keep], np.full(keep.sum(), i), other[keep]], axis=1))
+            found.append(np.stack([-share[other], np.full(len(other), i), other], axis=1))
         found = np.concatenate(found) if found else np.zeros((0, 3))
         links = []
         for i, j in found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))][:, 1:].astype(int):
-            if root[i] != root[j] and similarity(sets(i), sets(j)) >= SIMILARITY:
+            if root[i] != root[j] and similarity((grams[i], counts[i]), (grams[j], counts[j])) >= SIMILARITY:
                 links.append((int(ids[i]), int(ids[j])))
                 root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     place = "struct<a:bigint,comp:bigint,similarity:double,block:int,tile:struct<i:int,j:int>>"
-    sketched = texts.join(wanted, "id").select("id", "text", "to").mapInArrow(emit, f"id long, sketch binary, grams binary, counts binary, to array<{place}>")
-    tiles = sketched.select("id", "sketch", "grams", "counts", F.explode("to").alias("to")).select("id", "sketch", "grams", "counts", "to.a", "to.comp", "to.similarity", "to.block", "to.tile.i", "to.tile.j")
+    shingled = texts.join(wanted, "id").select("id", "text", "to").mapInArrow(emit, f"id long, grams binary, counts binary, to array<{place}>")
+    tiles = shingled.select("id", "grams", "counts", F.explode("to").alias("to")).select("id", "grams", "counts", "to.a", "to.comp", "to.similarity", "to.block", "to.tile.i", "to.tile.j")
     return tiles.groupBy("a", "i", "j").applyInArrow(join, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (``key``, class_id): a row per row of ``df``, the class being the smallest key among the
+    """Rows (``key``, class_id, kept): a row per row of ``df``, the class being the smallest key among the
     documents linked with it, directly or by way of others. Links: equal texts, and pairs found by
-    banding whose similarity on five-word shingles is 0.8 or more.
+    banding whose similarity on five-word shingles is 0.8 or more. ``kept`` is true in one row of each
+    class, of the smallest key, however often rows are repeated.
 
     Null texts are empty, and all texts without words are equal only as they stand; a text of fewer
-    than five words is one shingle. Rows without a key get no class. Rows of one key are one document.
+    than five words is one shingle. Rows without a key get no class and are not kept. Rows of one key are one document.
     Other columns are ignored. Whole texts are compared, however long."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    same = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    same = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").cast("long").alias("size")]
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, column in pieces(batch.column(3), 12 << 20):
-                fixed = [batch.column(i).slice(first, len(column)) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(band_keys(column), pa.list_(pa.int64()))], ["id", "h1", "h2", "bands"])
+            for first, column in pieces(batch.column(4), 12 << 20):
+                fixed = [batch.column(i).slice(first, len(column)) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(band_keys(column), pa.list_(pa.int64()))], ["id", "h1", "h2", "size", "bands"])
 
-    signed = written(docs.filter("id is not null").select("id", *same, "text").mapInArrow(bands, "id long, h1 long, h2 long, bands array<long>"), "neardup-bands")
+    signed = written(docs.filter("id is not null").select("id", *same, "text").mapInArrow(bands, "id long, h1 long, h2 long, size long, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "neardup-bands")
     nodes = written(signed.groupBy("h1", "h2").agg(F.min("id").alias("node")), "neardup-nodes")
     banded = signed.join(nodes, (signed.h1 == nodes.h1) & (signed.h2 == nodes.h2) & (signed.id == nodes.node), "left_semi").select("id", F.explode("bands").alias("band")).distinct()
     leaders = banded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
@@ -261,15 +267,19 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     checked = written(_verify(texts, pairs, near), "neardup-checked")
     links = checked.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
     labels = written(components(links), "neardup-labels")
-    links = links.union(_between(texts, shared, labels, checked))
+    links = links.union(_between(texts, shared, labels, checked, signed.groupBy("id").agg(F.max("size").alias("size"))))
     labels = components(links)
 
-    out = signed.select("id", "h1", "h2").join(nodes, ["h1", "h2"]).select("id", "node")
+    out = signed.select("id", "h1", "h2", "row").join(nodes, ["h1", "h2"]).select("id", "node", "row")
     # A key with rows of several texts ties their classes together.
     several = out.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     if not several.isEmpty():
         labels = components(links.union(out.join(several, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))))
     labels = labels.select(F.col("id").alias("node"), "label")
-    found = out.join(labels, "node", "left").select(F.col("id").alias(key), F.coalesce("label", "node").alias("class_id"))
-    lost = docs.filter("id is null").select(F.col("id").alias(key), F.lit(None).cast("long").alias("class_id"))
+    # Of the rows of a key that is there more than once, the first stands for it.
+    repeated = signed.groupBy("id").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1").select("id", "first")
+    found = out.join(labels, "node", "left").withColumn("class_id", F.coalesce("label", "node")).join(repeated, "id", "left")
+    kept = (F.col("id") == F.col("class_id")) & (F.col("first").isNull() | (F.col("first") == F.col("row")))
+    found = found.select(F.col("id").alias(key), "class_id", kept.alias("kept"))
+    lost = docs.filter("id is null").select(F.col("id").alias(key), F.lit(None).cast("long").alias("class_id"), F.lit(False).alias("kept"))
     return found.union(lost)

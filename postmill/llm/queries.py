@@ -46,9 +46,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of near-duplicates among all documents; the smallest doc_id of a class is kept."""
-    out = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    """Classes of near-duplicates among all documents; one row of the smallest doc_id of a class is kept."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

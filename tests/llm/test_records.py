@@ -106,6 +106,27 @@ def test_near_duplicates(spark, documents):
     assert got == classes(links, ids)
 
 
+def test_family_of_near_and_far(spark):
+    """A hub of 3000 copies with one change each, texts near one another but not near the smallest, repeated rows
+    and rows without a key: the classes are those of all pairs, and one row of each is kept."""
+    base = [f"n{i}" for i in range(120)]
+    rows = [(i, " ".join(base[: i % 100] + [f"c{i}"] + base[i % 100 + 1 :])) for i in range(3000)]
+    for k in range(60):  # half of the base; near their neighbour only
+        own = base[:80] + [f"t{k // 2}x{i}" for i in range(40)]
+        rows.append((10_000 + k, " ".join(own[:60] + [f"v{k}"] + own[61:])))
+    odd = [(5, rows[5][1])] * 40 + [(20_000, "one two three four five six")] * 200 + [(None, "null key")] * 3
+    got = neardup.near_duplicates(spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) + len(odd)
+    sets = shingle_sets([t for _, t in rows])
+    far = [i for i in range(3000, len(rows))]
+    links = [(rows[a][0], rows[b][0]) for a in far for b in range(3000, a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    links += [(0, i) for i in range(3000)]  # one change each: at least 106 of 126 shingles shared
+    want = classes(links, [i for i, _ in rows] + [20_000])
+    assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == want
+    kept = [r["doc_id"] for r in got if r["kept"]]
+    assert sorted(kept) == sorted(set(want.values()))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(139, 7)]
     got = {r["id"]: r["label"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
