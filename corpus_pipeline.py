@@ -20,10 +20,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each class; rows without a doc_id stay."""
-    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
-    others = classes.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class: of the smallest doc_id, however often its rows are repeated. Rows without a
+    doc_id are documents by their text; one of them stays if no document with a doc_id is in its class."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Behind all usual ids, and the same for equal texts.
+    stand_in = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), F.coalesce("doc_id", stand_in).alias("doc_id"), text.alias("text"))
+    classes = written(neardup.near_duplicates(rows.select("doc_id", "text")), "pipeline-classes")
+    others = classes.filter("doc_id <> class_id").select("doc_id").distinct()
+    rows = rows.join(others, "doc_id", "left_anti")
+    repeated = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    once = rows.join(repeated, "doc_id", "left_anti").select("row")
+    first = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row")).select("row")
+    return once.union(first).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
