@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -13,8 +14,10 @@ from .dialect import SPACE, blank_to_null, bounded, trim
 from .vocab import PHRASES, SKILLS, STOP_WORDS, TECH_TERMS
 
 
-def _lower(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit("")))
+def _lowered(text: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of the lower-cased text. A lambda variable holds it: expressions with lambdas are interpreted,
+    and a plain column would be lower-cased again wherever it stands."""
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), f), 1)
 
 
 def _holds(lower: Column, parts: list[str]) -> Column:
@@ -33,7 +36,10 @@ _NONE = "array<string>"
 def tech_terms(text: Column) -> Column:
     """All technical terms by group, white space within them as a hyphen; repeated as they occur. A group's
     pattern runs only over texts that hold the letters of one of its terms."""
-    lower = _lower(text)
+    return _lowered(text, _tech_terms)
+
+
+def _tech_terms(lower: Column) -> Column:
     none = F.array().cast(_NONE)
     groups = [F.when(reduce(or_, [_holds(lower, _literals(t)) for t in g]), F.regexp_extract_all(lower, F.lit("|".join(map(bounded, g))), F.lit(0))).otherwise(none) for g in TECH_TERMS]
     return F.transform(F.concat(*groups), lambda t: F.regexp_replace(t, f"{SPACE}+", "-"))
@@ -42,15 +48,22 @@ def tech_terms(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Distinct tokens in order of first occurrence, then technical terms. Stop words and short words
     are dropped before hyphens and full stops are stripped, so that ``the.`` leaves ``the``."""
-    words = F.split(F.regexp_replace(_lower(text), r"[^a-z0-9#+.\-]+", " "), " ")
-    words = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(STOP_WORDS))
-    words = F.transform(words, lambda w: F.btrim(w, F.lit(".-")))
-    return F.filter(F.array_distinct(F.concat(words, tech_terms(text))), lambda w: F.length(w) >= 2)
+
+    def of(lower: Column) -> Column:
+        # Runs of the characters kept: far cheaper than to split at those that are not.
+        words = F.filter(F.regexp_extract_all(lower, F.lit(r"[a-z0-9#+.\-]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+        words = F.transform(words, lambda w: F.btrim(w, F.lit(".-")))
+        return F.filter(F.array_distinct(F.concat(words, _tech_terms(lower))), lambda w: F.length(w) >= 2)
+
+    return _lowered(text, of)
 
 
 def phrase_skills(text: Column) -> Column:
     """Phrases reported as skills, by pattern, each as it stands in the text."""
-    lower = _lower(text)
+    return _lowered(text, _phrase_skills)
+
+
+def _phrase_skills(lower: Column) -> Column:
     none = F.array().cast(_NONE)
     return F.concat(*[F.when(_holds(lower, parts), F.regexp_extract_all(lower, F.lit(bounded(p)), F.lit(0))).otherwise(none) for p, parts in PHRASES.items()])
 
@@ -59,14 +72,18 @@ def skills(text: Column, dictionary: list[str] | None = None) -> Column:
     """Skills of the dictionary found as whole words, in its order, then phrases; distinct. Those of word
     characters alone are looked up among the text's words; for others a plain search goes before the
     pattern."""
-    lower, wanted = _lower(text), SKILLS if dictionary is None else dictionary
+    wanted = SKILLS if dictionary is None else dictionary
     quote = lambda s: re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", s)
-    plain = [s for s in wanted if re.fullmatch("[0-9a-z_]+", s)]
-    marked = [F.when(F.contains(lower, F.lit(s)) & lower.rlike(bounded(quote(s))), F.lit(s)) for s in wanted if s not in plain]
+    plain = {s for s in wanted if re.fullmatch("[0-9a-z_]+", s)}
     every = F.array(*map(F.lit, wanted)).cast(_NONE)
-    words = F.split(lower, "[^0-9a-z_]+") if plain else F.array().cast(_NONE)
-    found = F.concat(words, F.array(*marked)) if marked else words
-    return F.array_distinct(F.concat(F.array_intersect(every, found), phrase_skills(text)))
+
+    def of(lower: Column) -> Column:
+        marked = [F.when(F.contains(lower, F.lit(s)) & lower.rlike(bounded(quote(s))), F.lit(s)) for s in wanted if s not in plain]
+        words = F.regexp_extract_all(lower, F.lit("[0-9a-z_]+"), F.lit(0)) if plain else F.array().cast(_NONE)
+        found = F.concat(words, F.array(*marked)) if marked else words
+        return F.array_distinct(F.concat(F.array_intersect(every, found), _phrase_skills(lower)))
+
+    return _lowered(text, of)
 
 
 def job_text(title: Column, company: Column, description: Column, location: Column) -> Column:

@@ -111,14 +111,14 @@ def match_many(jobs: DataFrame, profiles: DataFrame, k: int, job_key: str = "job
     ratio = skill_ratio(F.col("skills"), F.col("job_skills"))
     score = lambda tfidf: final_score(F.lit(tfidf), F.floor(ratio * 100 * 100 + 0.5) / 100, weights).alias("score")
     first = lambda rows, keys, n: rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(job_key))).filter(F.col("n") <= n).drop("n")
-    by_token = first(job.select(job_key, "job_skills", F.explode("job_tokens").alias("x")), ["x", "job_skills"], k)
-    on_token = mine.select(profile_key, "skills", F.explode("tokens").alias("x")).join(by_token, "x").select(profile_key, job_key, score(100.0))
+    by_token = first(job.select(job_key, "job_skills", F.explode_outer("job_tokens").alias("x")), ["x", "job_skills"], k)
+    on_token = mine.select(profile_key, "skills", F.explode_outer("tokens").alias("x")).join(by_token, "x").select(profile_key, job_key, score(100.0))
     # Without a shared token no pair beats those with one. If fewer than ``k`` jobs share a token with the
     # profile, all of them are known here, and 2 k of each set of skills hold k others.
     text = T.job_text(*(F.col(c) for c in ("title", "company", "description", "location")))
     by_skills = first(_once(jobs, job_skills=T.skills(text, dictionary)).select(job_key, "job_skills").filter(F.size("job_skills") > 0), ["job_skills"], 2 * k)
     sets = by_skills.select("job_skills").distinct().select("job_skills", F.explode("job_skills").alias("s"))
-    near = mine.select(profile_key, "skills", F.explode("skills").alias("s")).join(sets, "s").select(profile_key, "skills", "job_skills").distinct()
+    near = mine.select(profile_key, "skills", F.explode_outer("skills").alias("s")).join(sets, "s").select(profile_key, "skills", "job_skills").distinct()
     on_skill = near.join(by_skills, "job_skills").select(profile_key, job_key, score(0.0))
     pairs = on_token.union(on_skill).groupBy(profile_key, job_key).agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy(profile_key).orderBy(F.desc("score"), F.asc(job_key)))

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _terms(docs: DataFrame, *columns: Column | str, tokens: Column) -> DataFrame:
+    """The columns with each token as ``term``. Outer: Spark would infer a filter on the size of the array from
+    a plain explode and work the tokens out once more for it."""
+    return docs.select(*columns, F.explode_outer(tokens).alias("term")).filter("term is not null")
+
+
 def term_frequency(docs: DataFrame, key: str, tokens: str) -> DataFrame:
     """Rows (key, term, tf): share of the term among the tokens, repeated ones counted."""
     n = F.greatest(F.size(tokens), F.lit(1))
-    return docs.select(key, n.alias("n"), F.explode(tokens).alias("term")).groupBy(key, "n", "term").agg(F.count("*").alias("c")).select(key, "term", (F.col("c") / F.col("n")).alias("tf"))
+    return _terms(docs, key, n.alias("n"), tokens=F.col(tokens)).groupBy(key, "n", "term").agg(F.count("*").alias("c")).select(key, "term", (F.col("c") / F.col("n")).alias("tf"))
 
 
 def document_frequency(docs: DataFrame, tokens: str) -> DataFrame:
     """Rows (term, df): documents that hold the term. Distinct terms are taken in each row, so the only
     shuffle is that of partial counts."""
-    return docs.select(F.explode(F.array_distinct(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return _terms(docs, tokens=F.array_distinct(tokens)).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def inverse_document_frequency(docs: DataFrame, tokens: str, tf: DataFrame | None = None) -> DataFrame:

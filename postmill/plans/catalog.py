@@ -141,8 +141,8 @@ def platform_gate(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {Q.token_cte('benchmark', 'item_id', 'text', 'bt')}, a AS (SELECT DISTINCT doc_id, unnest(tokens) AS x FROM tok), b AS (SELECT DISTINCT item_id, unnest(tokens) AS x FROM bt) SELECT item_id, count(DISTINCT doc_id)::BIGINT AS n, count(DISTINCT doc_id) * 100.0::DOUBLE AS total FROM a JOIN b USING (x) GROUP BY item_id")
 def pair_score_closed(spark, sf_dir):
-    docs = texts(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("x"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("x"))
+    docs = texts(spark, sf_dir).select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("x"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.explode_outer(T.tokens(F.col("text"))).alias("x"))
     pairs = docs.join(items, "x").groupBy("item_id", "doc_id").agg(F.lit(100.0).alias("score"))
     return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
