@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .trees import fit_boosted, spans_of
+from .trees import fit_boosted, scan, spans_of
 
 # Each pattern starts where its leftmost match must start and never gives back what it took, so
 # that runs of any length cost linear time; matches are those of the plain pattern beside it.
@@ -167,13 +167,12 @@ class PiiModel:
         """The candidates that pass, of those that overlap the first by start, then the longest."""
         scored = F.filter(found, lambda c: self._passes(text, c))
         ordered = F.sort_array(F.transform(scored, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("minus_end"), c["kind"].alias("kind"))))
-        empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-        kept = F.aggregate(
-            ordered,
-            F.struct(F.lit(0).alias("upto"), empty.alias("out")),
-            lambda acc, c: F.when(c["start"] >= acc["upto"], F.struct((-c["minus_end"]).alias("upto"), F.concat(acc["out"], F.array(F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["minus_end"]).alias("end")))).alias("out"))).otherwise(acc),
-        )
-        return kept["out"]
+
+        def step(upto: Column, c: Column) -> tuple[Column, Column]:
+            fits = c["start"] >= upto
+            return F.when(fits, -c["minus_end"]).otherwise(upto), F.when(fits, F.struct(c["kind"].alias("kind"), c["start"].alias("start"), (-c["minus_end"]).alias("end")))
+
+        return scan(ordered, F.lit(0), step, "struct<kind:string,start:int,end:int>")
 
     def _passes(self, text: Column, c: Column) -> Column:
         f = features(text, c)
@@ -181,6 +180,21 @@ class PiiModel:
         return F.exists(F.array(F.struct(f.alias("f"), c["kind"].alias("kind"))), lambda x: self.score(lambda name: x["f"][name]) >= F.coalesce(*[F.when(x["kind"] == k, F.lit(t)) for k, t in self.thresholds.items()], F.lit(2.0)))
 
 
+def outside(spans: Column, others: Column) -> Column:
+    """The spans (kind, start, end, found) that overlap none of ``others``: a pass by rising start, which sees
+    those that begin before a span, and one by falling start, which sees those that begin within it."""
+    mark = lambda items, own: F.transform(items, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["kind"].alias("kind"), s["found"].alias("found")))
+
+    def rising(far: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["own"], far).otherwise(F.greatest(far, s["end"])), F.when(~s["own"] | (far <= s["start"]), s)
+
+    def falling(near: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["own"], near).otherwise(s["start"]), F.when(s["own"] & (near >= s["end"]), F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found")))
+
+    first = scan(F.sort_array(F.concat(mark(spans, True), mark(others, False))), F.lit(0), rising, "struct<start:int,own:boolean,end:int,kind:string,found:string>")
+    return scan(F.reverse(first), F.lit(2**31 - 1), falling, "struct<kind:string,start:int,end:int,found:string>")
+
+
 def find_pii(df: DataFrame, text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
     """Adds ``base`` and ``spans``: arrays of (kind, start, end) in code points, end exclusive, by
     kind (email, ip, card, phone, id), then start. ``spans`` are the base spans and those the model
@@ -192,8 +206,7 @@ def find_pii(df: DataFrame, text: str = "text", labelled: DataFrame | None = Non
     own = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("base", "spans")]
     rows = df.select(F.struct(*own).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     rows = rows.select("row", "t", base_spans(F.col("t")).alias("b"), candidates(F.col("t")).alias("c"))
-    free = F.filter("c", lambda c: ~F.exists("b", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.select("row", "t", "b", free.alias("c"))
+    rows = rows.select("row", "t", "b", F.when((F.size("c") > 0) & (F.size("b") > 0), outside(F.col("c"), F.col("b"))).otherwise(F.col("c")).alias("c"))
     rows = rows.select("row", F.transform("b", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.when(F.size("c") > 0, model.select(F.col("t"), F.col("c"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("more"))
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     every = F.concat("base", "more")
@@ -204,10 +217,11 @@ def find_pii(df: DataFrame, text: str = "text", labelled: DataFrame | None = Non
 def redact(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping ones as one."""
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    last = F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit(None).cast("string").alias("kind"))
 
-    def step(acc: Column, s: Column) -> Column:
-        label = F.concat(text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], label).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        label = F.when(s["kind"].isNull(), "").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+        piece = F.concat(text.substr(at + 1, F.greatest(s["start"] - at, F.lit(0))), label)
+        return F.greatest(at, s["end"]), F.when((s["start"] >= at) | s["kind"].isNull(), piece)
 
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    return F.array_join(scan(F.concat(ordered, F.array(last)), F.lit(0), step, "string"), "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
-from .trees import fit_forest, spans_of
+from .trees import fit_forest, scan, spans_of
 
 _KEYS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credentials?|auth|(?:api|access|private|secret|signing)[_-]?key)"
 # Possessive and without an upper bound: a whole run in linear time, never a prefix of it.
@@ -126,6 +126,36 @@ class SecretModel:
         return F.transform(withed, lambda x: F.struct(x["c"]["rule"].alias("rule"), x["c"]["start"].alias("start"), x["c"]["end"].alias("end"), x["c"]["found"].alias("found"), self.score(lambda n: x["f"][n]).alias("score")))
 
 
+def unbeaten(found: Column) -> Column:
+    """The spans (rule, start, end, found, score) that no overlapping one beats: by a higher score, or an equal
+    one of an earlier rule. Spans of one rule do not overlap, so a pass by rising start holds the last
+    of each rule, which leaves, beaten or not, when the next of its rule comes."""
+    span = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rule"].alias("rule"), c["score"].alias("score"), c["found"].alias("found"), F.lit(False).alias("beaten")))
+    kind = "struct<start:int,end:int,rule:string,score:double,found:string,beaten:boolean>"
+    last = F.array(*[F.from_json(F.lit(f'{{"start": {2**31 - 1}, "end": {2**31 - 1}, "rule": "{rule}"}}'), kind) for rule in RULES])
+    rules = list(RULES)
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        meets = lambda s: s.isNotNull() & (s["end"] > x["start"])
+        better = lambda a, b, first: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & first)
+        loses, slots = F.lit(False), []
+        for i, rule in enumerate(rules):
+            s, other = state[rule], x["rule"] != rule
+            before = F.lit(False)  # whether the slot's rule stands before x's
+            for later in rules[i + 1 :]:
+                before = before | (x["rule"] == later)
+            loses = loses | F.coalesce(other & meets(s) & better(s, x, before), F.lit(False))
+            hit = F.coalesce(other & meets(s) & better(x, s, ~before), F.lit(False))
+            slots.append(F.when(other & hit, s.withField("beaten", F.lit(True))).when(other, s))
+        new = x.withField("beaten", loses)
+        out = F.coalesce(*[F.when(x["rule"] == rule, state[rule]) for rule in rules])
+        return F.struct(*[F.when(x["rule"] == rule, new).otherwise(slot).alias(rule) for rule, slot in zip(rules, slots)]), F.when(~out["beaten"], out)
+
+    zero = F.struct(*[F.lit(None).cast(kind).alias(rule) for rule in rules])
+    kept = scan(F.concat(F.sort_array(span), last), zero, step, kind)
+    return F.transform(kept, lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["end"].alias("end"), c["found"].alias("found"), c["score"].alias("score")))
+
+
 def scan_secrets(df: DataFrame, text: str = "text", path: str | None = None, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Adds ``secrets``: array of (start, end, rule, score, sha256) of the candidates that the forest
     holds for secrets, in code points, end exclusive, by start. Of spans that overlap, the one of the
@@ -140,8 +170,6 @@ def scan_secrets(df: DataFrame, text: str = "text", path: str | None = None, lab
     rows = rows.select("row", "t", "p", candidates(F.col("t")).alias("c"))
     rows = rows.select("row", F.when(F.size("c") > 0, model.judged(F.col("t"), F.col("p"), F.col("c"))).otherwise(F.array().cast("array<struct<rule:string,start:int,end:int,found:string,score:double>>")).alias("c"))
     rows = rows.select("row", F.filter("c", lambda c: c["score"] >= threshold).alias("c"))
-    rank = lambda c: F.array_position(F.array(*map(F.lit, RULES)), c["rule"])
-    beaten = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"]) & ((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (rank(b) < rank(a))))
-    kept = F.filter("c", lambda a: ~F.exists("c", lambda b: beaten(a, b)))
+    kept = F.when(F.size("c") > 1, unbeaten(F.col("c"))).otherwise(F.col("c"))
     out = F.sort_array(F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rule"].alias("rule"), c["score"].alias("score"), F.sha2(c["found"].cast("binary"), 256).alias("sha256"))))
     return rows.select("row.*", out.alias("secrets"))

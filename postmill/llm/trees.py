@@ -52,22 +52,51 @@ def fit_forest(rows: DataFrame, features: list[str], label: str = "label", trees
     return score
 
 
+#: Items of a stretch of a scan.
+STRETCH = 128
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Outputs (of type ``kind``) of a pass over an array: ``step(state, item)`` gives the next state and an
+    output or null. A fold copies all that it holds at every step, so a first fold keeps only the state at
+    the start of each stretch, and outputs are then gathered stretch by stretch."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def gather(stretch: Column, state: Column) -> Column:
+        def go(acc: Column, x: Column) -> Column:
+            after, out = step(acc["state"], x)
+            return F.struct(after.alias("state"), F.when(out.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(out))).alias("out"))
+
+        return F.aggregate(stretch, F.struct(state.alias("state"), none.alias("out")), go, lambda acc: acc["out"])
+
+    def through(cut: Column) -> Column:
+        def go(acc: Column, stretch: Column) -> Column:
+            return F.struct(F.aggregate(stretch, acc["state"], lambda state, x: step(state, x)[0]).alias("state"), F.concat(acc["starts"], F.array(acc["state"])).alias("starts"))
+
+        starts = F.aggregate(F.slice(cut, F.lit(2), F.size(cut)), F.struct(F.aggregate(F.element_at(cut, 1), zero, lambda state, x: step(state, x)[0]).alias("state"), F.array(zero).alias("starts")), go, lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(cut, starts, gather))
+
+    def all_of(every: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / STRETCH).cast("int")), lambda c: F.slice(every, c * STRETCH + 1, F.lit(STRETCH)))
+        return F.when(F.size(every) <= STRETCH, gather(every, zero)).otherwise(_one(cut, through))
+
+    return _one(items, all_of)
+
+
+def _one(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that a lambda variable holds: a plain column would be worked out wherever ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of a pattern's matches, leftmost and not overlapping, in code
     points. What stands between the matches gives their places."""
     empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
 
     def walk(match: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.element_at(match["gaps"], i))
-            word = F.element_at(match["found"], i)
-            end = start + F.length(word)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), word.alias("found")))).alias("out"))
-
-        walked = F.aggregate(F.sequence(F.lit(1), F.size(match["found"])), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
-        return F.when(F.size(match["found"]) > 0, walked["out"]).otherwise(empty)
-
-    # An array of one element binds both to a lambda variable: a plain column would be worked out
-    # again wherever the walk names it.
-    once = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
-    return F.element_at(F.transform(once, walk), 1)
+        steps = F.zip_with(match["found"], F.slice(match["gaps"], F.lit(1), F.size(match["found"])), lambda w, g: F.struct(F.length(g).alias("gap"), F.length(w).alias("size")))
+        starts = scan(steps, F.lit(0), lambda at, x: (at + x["gap"] + x["size"], at + x["gap"]), "int")
+        spans = F.zip_with(match["found"], starts, lambda w, at: F.struct(at.alias("start"), (at + F.length(w)).alias("end"), w.alias("found")))
+        return F.when(F.size(match["found"]) > 0, spans).otherwise(empty)
+
+    return _one(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), walk)
