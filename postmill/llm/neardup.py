@@ -98,24 +98,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (id, label) for the ends of ``edges`` (a, b): the smallest id of each one's component. Star
-    contraction, written tables a round: all neighbours move to the smallest, until nothing moves.
+    contraction, written tables a round: all neighbours move to the smallest, until each node has one edge
+    to a smallest node.
 
-    The smallest neighbours are written before edges meet them, so that both sides of each join are plain
+    The smallest neighbours are written before edges meet them, so that both sides of the join are plain
     exchanges by its key, whose large partitions Spark splits: a node with very many edges is no one task's."""
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "cc")
-    before = None
     while True:
+        ends = edges.select(F.col("b").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("a", F.lit(0), F.lit(1)))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
         # Larger neighbours of a node go to its smallest neighbour; then smaller ones and itself.
         both = edges.union(edges.select("b", "a"))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
         large = written(both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct(), "cc-large")
-        least = written(large.groupBy("b").agg(F.min("a").alias("m")), "cc-least")
-        small = large.join(least, "b")
+        small = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
         edges = written(small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a < b")).distinct(), "cc")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
-        before = now
 
 
 def _verify(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -161,40 +159,47 @@ def _verify(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def _alike(grams: list[np.ndarray], weights: list[np.ndarray], wanted: np.ndarray):
-    """For each of ``wanted`` texts the share of its weight on shingles that it has in common with each of all:
-    never below their similarity, as a shared shingle adds at most its share of either text's weight."""
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    every = np.concatenate(grams)
-    order = np.argsort(every, kind="stable")
-    owner, every = owner[order], every[order]
-    for i in wanted:
-        lo, hi = np.searchsorted(every, grams[i], side="left"), np.searchsorted(every, grams[i], side="right")
+class _Block:
+    """Texts of a block by their shingles: ``most`` gives for one of them a number for each that is never below
+    their similarity, and close to it where most shingles occur once."""
+
+    def __init__(self, grams: list[np.ndarray], weights: list[np.ndarray]):
+        self.grams, self.weights = grams, weights
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        every = np.concatenate(grams)
+        order = np.argsort(every, kind="stable")
+        self.owner, self.every, self.weight = owner[order], every[order], np.concatenate(weights)[order]
+        self.total = np.array([w.sum() for w in weights])
+
+    def most(self, i: int) -> np.ndarray:
+        lo, hi = (np.searchsorted(self.every, self.grams[i], side=side) for side in ("left", "right"))
         n = hi - lo
         at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
-        yield i, np.bincount(owner[at], np.repeat(weights[i], n), len(grams)) / weights[i].sum()
+        owner, theirs, mine = self.owner[at], self.weight[at], np.repeat(self.weights[i], n)
+        x, y, larger = (np.bincount(owner, v, len(self.grams)) for v in (mine, theirs, np.maximum(mine, theirs)))
+        # A shared shingle adds at most its larger weight over the weight of all shingles of both.
+        return larger / (self.total[i] - x + self.total - y + np.maximum(x, y))
 
 
-def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: DataFrame, sizes: DataFrame) -> DataFrame:
+def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
     """Links (a, b) between members of one band that the comparison with the band's smallest has left
-    in different components. ``sizes``: id, size in bytes.
+    in different components.
 
     Bands with one smallest node form a family, cut into blocks by members and bytes. In each pair of
-    blocks the pairs of different components that no exact bound rules out are verified, those that share
-    most first; a pair joins its components, so that few pairs of a dense family are verified, and at
+    blocks the pairs of different components that no exact bound rules out are verified, those that may be
+    most alike first; a pair joins its components, so that few pairs of a dense family are verified, and at
     most a link per member leaves the task."""
-    family = shared.filter("id <> a").select("a", "id").distinct()
+    family = shared.filter("id <> a").select("a", "id", "size").distinct()
     named = labels.select("id", "label")
-    family = family.join(named, "id", "left").select("a", "id", F.coalesce("label", "id").alias("comp"))
+    family = family.join(named, "id", "left").select("a", "id", "size", F.coalesce("label", "id").alias("comp"))
     family = family.join(checked.select("a", F.col("b").alias("id"), "similarity"), ["a", "id"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     own = F.col("similarity") >= SIMILARITY
     near = (F.col("similarity") >= 1 - 2 * (1 - SIMILARITY)) & ~own
-    shape = family.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(~own, 1)).alias("apart"), F.count(F.when(near, 1)).alias("near"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    shape = family.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(~own, 1)).alias("apart"), F.count(F.when(near, 1)).alias("near"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("size").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
     # Without a near one, those linked with the smallest are too far from all that are not.
-    shape = shape.filter("low < high and (apart > 1 or near > 0)").select("a", (F.col("near") > 0).alias("all"))
+    shape = written(shape.filter("low < high and (apart > 1 or near > 0)").select("a", (F.col("near") > 0).alias("all"), blocks.alias("blocks")), "neardup-shape")
     family = written(family.join(shape, "a").filter(F.col("all") | ~own), "neardup-family")
-    bulk = family.join(sizes, "id").groupBy("a").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    family = family.join(bulk, "a")
     block = F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks").cast("long")).cast("int")
     tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     places = family.withColumn("block", block).select("id", F.explode(F.transform(tile, lambda t: F.struct(F.col("a"), F.col("comp"), F.col("similarity"), F.col("block"), t.alias("tile")))).alias("to"))
@@ -215,20 +220,24 @@ def _between(texts: DataFrame, shared: DataFrame, labels: DataFrame, checked: Da
         grams, counts = ([np.frombuffer(x.as_buffer(), np.uint32) for x in column(c)] for c in ("grams", "counts"))
         crossed = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         _, root = np.unique(comp, return_inverse=True)
-        found, apart = [], 1 - SIMILARITY + 1e-9
-        for i, share in _alike(grams, [1 + np.log(n) for n in counts], np.flatnonzero(to_leader < SIMILARITY)):
-            ok = (share >= SIMILARITY - 1e-9) & (root != root[i]) & ((to_leader >= SIMILARITY) | (np.arange(len(ids)) > i))
+        held, links, apart = _Block(grams, [1 + np.log(n) for n in counts]), [], 1 - SIMILARITY + 1e-9
+        # Pairs with one component are found from their other end: that of the leader, whose members are not
+        # gone through, or the largest.
+        linked = np.flatnonzero(to_leader >= SIMILARITY)
+        anchor = int(linked[0] if len(linked) else np.flatnonzero(root == np.bincount(root).argmax())[0])
+        for i in np.flatnonzero(to_leader < SIMILARITY):
+            if root[i] == root[anchor]:
+                continue
+            most = held.most(i)
+            ok = (most >= SIMILARITY - 1e-9) & (root != root[i])
             ok &= (np.abs(to_leader - to_leader[i]) <= apart) | (to_leader == 0) | (to_leader[i] == 0)  # 0: too low to be known
             if crossed:
                 ok &= block != block[i]
             other = np.flatnonzero(ok)
-            found.append(np.stack([-share[other], np.full(len(other), i), other], axis=1))
-        found = np.concatenate(found) if found else np.zeros((0, 3))
-        links = []
-        for i, j in found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))][:, 1:].astype(int):
-            if root[i] != root[j] and similarity((grams[i], counts[i]), (grams[j], counts[j])) >= SIMILARITY:
-                links.append((int(ids[i]), int(ids[j])))
-                root[root == root[j]] = root[i]
+            for j in other[np.argsort(-most[other], kind="stable")].tolist():
+                if root[i] != root[j] and similarity((grams[i], counts[i]), (grams[j], counts[j])) >= SIMILARITY:
+                    links.append((int(ids[i]), int(ids[j])))
+                    root[root == root[j]] = root[i]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     place = "struct<a:bigint,comp:bigint,similarity:double,block:int,tile:struct<i:int,j:int>>"
@@ -257,7 +266,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     signed = written(docs.filter("id is not null").select("id", *same, "text").mapInArrow(bands, "id long, h1 long, h2 long, size long, bands array<long>").withColumn("row", F.monotonically_increasing_id()), "neardup-bands")
     nodes = written(signed.groupBy("h1", "h2").agg(F.min("id").alias("node")), "neardup-nodes")
-    banded = signed.join(nodes, (signed.h1 == nodes.h1) & (signed.h2 == nodes.h2) & (signed.id == nodes.node), "left_semi").select("id", F.explode("bands").alias("band")).distinct()
+    banded = signed.join(nodes, (signed.h1 == nodes.h1) & (signed.h2 == nodes.h2) & (signed.id == nodes.node), "left_semi").select("id", "size", F.explode("bands").alias("band")).distinct()
     leaders = banded.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
     shared = written(banded.join(leaders, "band"), "neardup-shared")
 
@@ -267,7 +276,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id") -> D
     checked = written(_verify(texts, pairs, near), "neardup-checked")
     links = checked.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
     labels = written(components(links), "neardup-labels")
-    links = links.union(_between(texts, shared, labels, checked, signed.groupBy("id").agg(F.max("size").alias("size"))))
+    links = links.union(_between(texts, shared, labels, checked))
     labels = components(links)
 
     out = signed.select("id", "h1", "h2", "row").join(nodes, ["h1", "h2"]).select("id", "node", "row")
