@@ -1,8 +1,9 @@
 """Toxicity by a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 A text's features are the hashed n-grams of its lower-cased bytes, each counted once. Their
-log-count ratios between toxic and other labelled texts scale a logistic regression over the
-n-grams that tell the classes apart best. All n-grams of whole texts are scored.
+log-count ratios between toxic and other labelled texts scale a logistic regression. The n-grams that
+tell the classes apart best have weights of their own; all others seen in training share one, so each
+weighs its ratio times it. All n-grams of whole texts are scored.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, text_bytes, written
+from .common import _LOWER, _SPACE, pieces, text_bytes, written
 
 SIZES = (3, 4, 5)
 BITS = 18
-#: Labelled rows of each class that the fit uses at most (those of smallest hash), and features kept.
+#: Labelled rows of each class that the fit uses at most (those of smallest hash), and n-grams with a
+#: weight of their own.
 TRAINING_ROWS = 3_000
 FEATURES = 1024
 SEED = 3
@@ -58,38 +60,42 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
                 yield row[: len(b)][fits], b[fits]
 
 
-def _distinct(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, of ``chosen`` buckets (by their number there) if given."""
-    parts = []
-    for row, bucket in _ngrams(data, offsets):
-        value = bucket
-        if chosen is not None:
-            value = chosen[bucket]
-            hit = np.flatnonzero(value)
-            row, value = row[hit], value[hit] - 1
-        parts.append(np.unique(row.astype(np.int64) << 20 | value))
+def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs, by row."""
+    parts = [np.unique(row.astype(np.int64) << BITS | bucket) for row, bucket in _ngrams(data, offsets)]
     pairs = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-    return pairs >> 20, pairs & ((1 << 20) - 1)
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _fit(label: np.ndarray, n: np.ndarray, feature: np.ndarray, ratios: np.ndarray, weights: tuple[float, float], steps: int = 300, penalty: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the logistic regression on presence times ratio; Adam over all rows.
-    Row i has the next ``n[i]`` of the features."""
+def _fit(label: np.ndarray, n: np.ndarray, feature: np.ndarray, ratios: np.ndarray, rest: np.ndarray, weights: tuple[float, float], steps: int = 300, penalty: float = 0.1) -> tuple[np.ndarray, float, float]:
+    """Weights, weight of ``rest`` and intercept of the logistic regression on presence times ratio; Adam over
+    all rows. Row i has the next ``n[i]`` of the features; ``rest`` is the sum of all other ratios."""
     y, rows = label.astype(float), len(label)
     cw = np.where(y > 0, weights[1], weights[0])
     cw /= cw.sum()
     at = np.repeat(np.arange(rows, dtype=np.int32), n)
     x = ratios[feature].astype(np.float32)
-    w, m, v = np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1), np.zeros(len(ratios) + 1)
+    scale = max(float(np.std(rest)), 1e-9)
+    rest = rest / scale
+    w, m, v = (np.zeros(len(ratios) + 2) for _ in range(3))
     p1 = min(max(float((cw * y).sum()), 1e-3), 1 - 1e-3)
     w[-1] = np.log(p1 / (1 - p1))
     for t in range(1, steps + 1):
-        z = np.bincount(at, w.astype(np.float32)[feature] * x, rows) + w[-1]
+        z = np.bincount(at, w.astype(np.float32)[feature] * x, rows) + w[-2] * rest + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cw
-        grad = np.append(np.bincount(feature, g.astype(np.float32)[at] * x, len(ratios)) + penalty / max(1, len(ratios)) * w[:-1], g.sum())
+        grad = np.append(np.bincount(feature, g.astype(np.float32)[at] * x, len(ratios)) + penalty / max(1, len(ratios)) * w[:-2], [(g * rest).sum() + penalty * 1e-2 * w[-2], g.sum()])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
-    return w[:-1] * ratios, float(w[-1])
+    return w[:-2] * ratios, float(w[-2] / scale), float(w[-1])
+
+
+def _ratios(have: np.ndarray, docs: np.ndarray, without: int | None = None) -> np.ndarray:
+    """Log-count ratios of the buckets; as one document of class ``without`` that has them sees them, if given."""
+    have, docs = have.astype(float), docs.astype(float)
+    if without is not None:
+        have[without] = np.maximum(have[without] - 1, 0)
+        docs[without] -= 1
+    return np.log((have[1] + 1) / (docs[1] + 2)) - np.log((have[0] + 1) / (docs[0] + 2))
 
 
 class ToxicityModel:
@@ -103,11 +109,12 @@ class ToxicityModel:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, docs = np.zeros((2, 1 << BITS), np.float32), np.zeros(2, np.int64)
             for batch in batches:
-                label = np.array(batch.column(1))
-                row, bucket = _distinct(*text_bytes(batch.column(0)))
-                for c in (0, 1):
-                    total[c] += np.bincount(bucket[label[row] == c], minlength=1 << BITS)
-                    docs[c] += (label == c).sum()
+                for a, column in pieces(batch.column(0), _PIECE):
+                    label = np.array(batch.column(1))[a : a + len(column)]
+                    row, bucket = _distinct(*text_bytes(column))
+                    for c in (0, 1):
+                        total[c] += np.bincount(bucket[label[row] == c], minlength=1 << BITS)
+                        docs[c] += (label == c).sum()
             if docs.sum():
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([docs.tolist()])], ["counts", "docs"])
 
@@ -116,44 +123,52 @@ class ToxicityModel:
         for p in parts:
             have += np.frombuffer(p["counts"], np.float32).reshape(2, -1)
         docs = np.sum([p["docs"] for p in parts], axis=0) if parts else np.zeros(2)
-        self.chosen, self.weights, self.intercept = np.zeros(1 << BITS, np.uint16), np.zeros(0), 0.0
+        self.weights, self.intercept = np.zeros(1 << BITS, np.float32), 0.0
         if min(docs) == 0:
             self.intercept = 30.0 if docs[1] else -30.0
             return
-        share = (have + 1) / (docs[:, None] + 2)
-        ratio = np.log(share[1] / share.mean(axis=0)) - np.log(share[0] / share.mean(axis=0))
+        ratio = _ratios(have, docs)
         # How far the class shares of documents stand apart, in standard errors.
+        share = (have + 1) / (docs[:, None] + 2)
         pooled = (have.sum(axis=0) + 1) / (docs.sum() + 2)
         apart = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / docs[1] + 1 / docs[0]) + 1e-12)
-        apart[have.sum(axis=0) < 3] = 0
+        apart[have.sum(axis=0) == 0] = -1
         best = np.argsort(-apart, kind="stable")[:FEATURES]
-        best = best[apart[best] > 2]
-        self.chosen[best] = np.arange(1, len(best) + 1)
-        chosen = self.chosen
+        best = best[apart[best] > 0]
+        chosen = np.zeros(1 << BITS, np.uint16)
+        chosen[best] = np.arange(1, len(best) + 1)
+        # A training text must not see its own count in the ratios that it is judged by.
+        others = [np.where((chosen == 0) & (have.sum(axis=0) > 0), _ratios(have, docs, c), 0).astype(np.float32) for c in (0, 1)]
 
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                row, feature = _distinct(*text_bytes(batch.column(0)), chosen)
-                n = np.bincount(row, minlength=batch.num_rows)
-                parts = [np.array(batch.column(1)).astype(np.int32), n.astype(np.int32), feature.astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["label", "n", "features"])
-
-        packed = sample.mapInArrow(select, "label binary, n binary, features binary").collect()
-        label, n, feature = (np.concatenate([np.frombuffer(r[c], t) for r in packed]) for c, t in (("label", np.int32), ("n", np.int32), ("features", np.uint16)))
+                for a, column in pieces(batch.column(0), _PIECE):
+                    label = np.array(batch.column(1))[a : a + len(column)]
+                    row, bucket = _distinct(*text_bytes(column))
+                    rest = np.bincount(row, np.where(label[row] == 1, others[1][bucket], others[0][bucket]), len(column))
+                    own = np.flatnonzero(chosen[bucket])
+                    n = np.bincount(row[own], minlength=len(column))
+                    parts = [label.astype(np.int32), n.astype(np.int32), (chosen[bucket[own]] - 1).astype(np.uint16), rest]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["label", "n", "features", "rest"])
+
+        packed = sample.mapInArrow(select, "label binary, n binary, features binary, rest binary").collect()
+        label, n, feature, rest = (np.concatenate([np.frombuffer(r[c], t) for r in packed]) for c, t in (("label", np.int32), ("n", np.int32), ("features", np.uint16), ("rest", float)))
         counts = counts or {0: docs[0], 1: docs[1]}
-        self.weights, self.intercept = _fit(label, n, feature.astype(np.int32), ratio[best], (counts[0] / docs[0], counts[1] / docs[1]))
+        own, common, self.intercept = _fit(label, n, feature.astype(np.int32), ratio[best], rest, (counts[0] / docs[0], counts[1] / docs[1]))
+        self.weights = np.where(have.sum(axis=0) > 0, common * ratio, 0).astype(np.float32)
+        self.weights[best] = own
 
     def probability(self, spark: SparkSession, text: Column) -> Column:
         """The score of a text column; null is an empty text."""
-        model = spark.sparkContext.broadcast((self.chosen, self.weights, self.intercept))  # fixed size
+        model = spark.sparkContext.broadcast((self.weights, self.intercept))  # fixed size
 
         @F.arrow_udf("double")
         def score(column: pa.Array) -> pa.Array:
-            chosen, weights, intercept = model.value
+            weights, intercept = model.value
             out = np.full(len(column), intercept)
-            if len(weights):
-                row, feature = _distinct(*text_bytes(column), chosen)
-                out += np.bincount(row, weights[feature], len(column))
+            for a, part in pieces(column, _PIECE) if weights.any() else ():
+                row, bucket = _distinct(*text_bytes(part))
+                out[a : a + len(part)] += np.bincount(row, weights[bucket], len(part))
             return pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
         return score(text)
@@ -161,15 +176,21 @@ class ToxicityModel:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> ToxicityModel:
     """Fits on documents (doc_id, text) that ``labels`` (doc_id, toxic) mark and whose crc32(doc_id)
-    modulo 5 is not 0: at most ``most`` of each class, those of smallest hash; classes weigh as they
-    occur. A document with several labels is toxic if one says so; null labels don't count."""
+    modulo 5 is not 0: at most ``most`` rows of each class, those of smallest hash; classes weigh as they
+    occur. Repeated rows count once. A document with several labels is toxic if one says so; null labels don't count."""
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     known = labels.filter(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     some = lambda c: known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(most)
     chosen = written(some(0).union(some(1)), "toxic-labels")
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``most``
-    return ToxicityModel(docs.sparkSession, labelled, {c: counts.get(c, 0) for c in (0, 1)})
+    # Repeated rows count once, and a document with several texts may not take more than the bound.
+    rows = labelled.groupBy("label", F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h")).agg(F.first("text").alias("text"))
+    rows = written(rows, "toxic-rows")
+    if any(r["n"] > most for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()):
+        first = lambda c: rows.filter(F.col("label") == c).select("label", "h").orderBy("h").limit(most)
+        rows = rows.join(F.broadcast(first(0).union(first(1))), ["label", "h"])
+    return ToxicityModel(docs.sparkSession, rows, {c: counts.get(c, 0) for c in (0, 1)})
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:

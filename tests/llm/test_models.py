@@ -67,6 +67,38 @@ def test_toxicity_held_out(spark, sf_dir):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in fold.items())
 
 
+def test_toxicity_against_plain_classifier(spark):
+    """As good on held-out texts as a plain naive Bayes over the same n-grams, whose ratios it starts from."""
+    big = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{big}/labels.parquet").select("doc_id", "toxic")
+    rows = queries.op7_toxicity(spark, big).join(labels, "doc_id").filter("toxic in (0, 1)").join(docs, "doc_id").collect()
+    grams = lambda t: {t[i : i + k] for t in [f" {t.lower()} "] for k in (3, 4, 5) for i in range(len(t) - k + 1)}
+    count, size = (collections.Counter(), collections.Counter()), [0, 0]
+    for r in rows:
+        if not r["held_out"]:
+            count[r["toxic"]].update(grams(r["text"]))
+            size[r["toxic"]] += 1
+    plain = lambda t: sum(math.log((count[1][g] + 1) / (size[1] + 2)) - math.log((count[0][g] + 1) / (size[0] + 2)) for g in grams(t) if g in count[0] or g in count[1])
+    held = [(r["toxic"], r["score"], plain(r["text"])) for r in rows if r["held_out"]]
+
+    def area(of) -> float:
+        good, bad = [[of(x) for x in held if x[0] == c] for c in (0, 1)]
+        return sum((b > g) + 0.5 * (b == g) for g in good for b in bad) / (len(good) * len(bad))
+
+    assert area(lambda x: x[1]) >= area(lambda x: x[2]) - 0.02 and area(lambda x: x[1]) > 0.9
+
+
+def test_toxicity_repeated_rows(spark):
+    """A document that is there very often is one row of the sample."""
+    rows = [(1, "bad words here")] * 500 + [(1, f"other text {i}") for i in range(60)] + [(2, "a fine text")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(docs, labels, most=20)
+    out = {r["text"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert out["bad words here"] == 1 and out["a fine text"] == 0
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (4, 0), (5, 0), (9, None)], "doc_id long, toxic int")
     model = toxicity.train_toxicity(odd.select("doc_id", "text"), labels)
