@@ -24,8 +24,10 @@ from .common import scratch, written
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-#: A file is closed beyond this size; neighbours are read together up to READ bytes, over gaps of up to GAP.
+#: A file is closed beyond this size; neighbours are read together up to READ bytes (a power of two), over
+#: gaps of up to GAP. Most tasks that read.
 FILE, READ, GAP = 1 << 30, 8 << 20, 64 << 10
+TASKS = 50_000
 _ID = "urn:postmill:page:"
 
 
@@ -66,20 +68,32 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0,
 
     Of records with equal payloads of at least ``least`` bytes the one with the smallest page_id is
     a response, the others are revisits without the payload; smaller ones are all responses. A null
-    html is an empty payload, a null url is left out, a null page_id sorts last. Repeated rows of a
-    page_id with one payload are the same page, so all of them are what it is. Other columns are
-    ignored; an empty table gives an empty index."""
+    html is an empty payload, a null url is left out, a null page_id sorts last. Of repeated rows of a
+    page_id with one payload one is the response and the others are revisits to their own page_id. Other
+    columns are ignored; an empty table gives an empty index."""
     folder = folder or scratch(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha1(html.cast("binary")).alias("sha1"))
     narrow = rows.select("page_id", "url", "size", "sha1")
     first = written(narrow.filter(F.col("size") >= least).groupBy("sha1").agg(F.min("page_id").alias("first")), "warc-first")
     # Only responses need their text, and each is found by its own page_id, so no group of equal
-    # payloads meets in one task; revisits are found without texts.
+    # payloads meets in one task; revisits are found without texts. What is joined was written before, so
+    # that Spark can split the partition of a very common payload.
     known = first.select(F.col("sha1").alias("s"), "first")
-    found = (F.col("sha1") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("first"))
-    responses = rows.filter(F.col("size") >= least).join(known, found, "left_semi")
-    revisits = narrow.filter(F.col("size") >= least).join(known, (F.col("sha1") == F.col("s")) & ~F.col("page_id").eqNullSafe(F.col("first")))
+    same = F.col("sha1") == F.col("s")
+    stands = same & F.col("page_id").eqNullSafe(F.col("first"))
+    kept = rows.filter(F.col("size") >= least)
+    responses = kept.join(known, stands, "left_semi")
+    revisits = narrow.filter(F.col("size") >= least).join(known, same & ~F.col("page_id").eqNullSafe(F.col("first"))).drop("s")
+    # Of rows that share page_id and payload with the response, all but one are revisits.
+    twice = narrow.filter(F.col("size") >= least).join(known, stands, "left_semi").groupBy("sha1").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("sha1").alias("s"))
+    twice = written(twice, "warc-twice")
+    if not twice.isEmpty():
+        again = written(narrow.join(known, stands).drop("s").join(twice, same, "left_semi").withColumn("row", F.monotonically_increasing_id()), "warc-again")
+        one = again.groupBy("sha1").agg(F.min("row").alias("one")).select(F.col("sha1").alias("s"), "one")
+        again = again.join(one, same & (F.col("row") != F.col("one"))).drop("s", "row", "one")
+        responses = responses.join(twice, same, "left_anti").union(responses.join(twice, same, "left_semi").dropDuplicates(["sha1"]))
+        revisits = revisits.unionByName(again.select(*revisits.columns))
     none = F.lit(None)
     records = (
         responses.select("page_id", "url", "html", "size", "sha1", none.cast("long").alias("refers_to"))
@@ -120,9 +134,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
-    """Records of the index rows given (select there first). Ranges are dealt by file and stretch of
-    64 MB, sorted, and neighbours fetched in one read; the digest of every response is verified."""
-    ordered = index.select("file", "offset", "length").repartition(F.col("file"), F.shiftright("offset", 26)).sortWithinPartitions("file", "offset")
+    """Records (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of the index
+    rows given (select there first); other columns are ignored. Ranges are dealt by file and stretch of
+    ``READ`` bytes, sorted, and neighbours fetched in one read; the digest of every response is verified. The
+    number of tasks follows the bytes to read, not those of the index. A row that is repeated in the index
+    is read again; an empty index gives no records; a null page_id or url comes back as null, an empty
+    payload as empty bytes, that of a revisit, or of any record without ``payload``, as null."""
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(1, -(-total // max(READ, -(-total // TASKS))))
+    stretch = F.floor(F.col("offset") / READ)
+    ordered = index.select("file", "offset", "length").repartition(int(tasks), F.col("file"), stretch).sortWithinPartitions("file", "offset")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def fetch(name: str, ranges: list[tuple[int, int]], handles: dict) -> list[tuple]:

@@ -29,6 +29,25 @@ def test_warc(spark, sf_dir):
     assert warc.read_archives(warc.write_archives(more, least=1)).filter("record_type = 'response'").count() == 3
 
 
+def test_warc_repeated_rows(spark):
+    """One response for each payload, whatever is repeated; long, empty and missing payloads come back whole."""
+    long = "<p>é" * 200_000
+    rows = [(5, "u", "same")] * 40 + [(7, "u", "same"), (1, "v", long), (1, "v", long), (2, None, None), (3, "w", ""), (None, "n", "null id"), (None, "n", "null id")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.write_archives(pages)
+    got = warc.read_archives(index.withColumn("payload", F.lit(1))).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["payload_digest"], []).append(r)
+    for text, n, refers in (("same", 41, 5), (long, 2, 1), ("", 2, 2), ("null id", 2, None)):
+        group = by[base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()]
+        answers = [r for r in group if r["record_type"] == "response"]
+        assert len(group) == n and len(answers) == 1 and bytes(answers[0]["payload"]) == text.encode()
+        assert answers[0]["page_id"] == refers and all(r["refers_to"] == refers and r["payload"] is None for r in group if r is not answers[0])
+    assert index.agg(F.sum("length")).first()[0] > 0 and warc.read_archives(index.limit(0)).count() == 0
+
+
 def test_nearest(spark, sf_dir):
     got = queries.op6_ann(spark, sf_dir).toPandas()
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
