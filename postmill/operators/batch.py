@@ -61,12 +61,14 @@ def ranked(matches: DataFrame, order: str = "ord", parts: int = 256) -> DataFram
 
 
 def blend(matches: DataFrame, replies: DataFrame, weight: float | None = None, order: str = "ord", top: int = RESCORED) -> DataFrame:
-    """The best ``top`` matches blended with model scores by position (``replies``: rank, model_score),
-    then all by score again. A missing reply keeps the local score."""
+    """The best ``top`` matches blended with model scores by position (``replies``: rank, model_score, and what
+    else the model says), then all by score again. A missing reply keeps the local score; what the model
+    says of a match stays with it."""
     best = matches.orderBy(F.desc("score"), F.asc(order)).limit(top)
     ranked = rank_matches(best, order)  # at most ``top`` rows
     both = ranked.join(F.broadcast(replies.filter(F.col("rank") <= top)), "rank", "left")
-    mixed = both.select(*[c for c in matches.columns if c != "score"], formats.hybrid_score(F.col("score"), F.col("model_score"), weight).alias("score"), F.when(F.col("model_score").isNotNull(), F.col("score")).alias("local_score"), "model_score")
+    said = [c for c in replies.columns if c not in ("rank", "model_score")]
+    mixed = both.select(*[c for c in matches.columns if c != "score"], *said, formats.hybrid_score(F.col("score"), F.col("model_score"), weight).alias("score"), F.when(F.col("model_score").isNotNull(), F.col("score")).alias("local_score"), "model_score")
     rest = matches.join(F.broadcast(best.select(order)), order, "left_anti")
     return mixed.unionByName(rest, allowMissingColumns=True).orderBy(F.desc("score"), F.asc(order))
 
@@ -97,6 +99,11 @@ def notifications(matches: DataFrame, batch: str, order: str = "ord", shown: int
     )
 
 
+def badge(matches: DataFrame, batch: str) -> DataFrame:
+    """Rows (batch, text): the number of new matches, as a badge shows it."""
+    return matches.groupBy(batch).agg(F.count("*").cast("string").alias("text"))
+
+
 def digest_rows(matches: DataFrame) -> DataFrame:
     """What a digest shows of a match."""
     return matches.select("title", "company", "url", "score", "matched_skills", "missing_skills")
@@ -147,3 +154,12 @@ def card_view(matches: DataFrame, now: Column) -> DataFrame:
         F.slice("missing_skills", 1, 3).alias("missing"),
         formats.time_ago(F.col("matched_at"), now).alias("age"),
     )
+
+
+def card_insight(matches: DataFrame) -> DataFrame:
+    """What a result card shows of the model's opinion (columns model_score, local_score, rationale,
+    key_strengths, gaps): both scores, the rationale, three strengths and three gaps; blank without one."""
+    has, number = F.col("model_score").isNotNull(), formats.number_text
+    scores = F.concat(F.lit("Local "), number(F.col("local_score")), F.lit("% + LLM "), number(F.col("model_score")), F.lit("%"))
+    some = lambda c: F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, 3)
+    return matches.withColumns({"breakdown": F.when(has, scores).otherwise(""), "rationale": F.coalesce("rationale", F.lit("")), "strengths": some("key_strengths"), "gaps": some("gaps")}).drop("key_strengths")

@@ -16,8 +16,10 @@ from ..functions import text as T
 from ..operators import batch as B
 from ..operators import history as H
 from ..operators import matcher as M
+from ..operators import requests as J
 from ..operators import rescoring as R
 from ..operators import tfidf as I
+from ..sources import files as U
 from ..sources import html as W
 from ..streaming import digest as D
 from . import duck as Q
@@ -352,8 +354,7 @@ def alarm_schedule(spark, sf_dir):
 
 @query("SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' ELSE m // 1440 || 'd ago' END AS age FROM (SELECT event_id, floor((1800000000 - epoch(ts)::BIGINT) % 300000 / 60)::BIGINT AS m FROM events)")
 def time_ago(spark, sf_dir):
-    now, at = F.lit(1800000000), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000)
-    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 0.5)
+    now, at = F.lit(1800000000), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + 0.5)
     return read(spark, sf_dir, "events").select("event_id", formats.time_ago(now - (now - at) % 300000, now).alias("age"))
 
 
@@ -425,6 +426,101 @@ def rate_limit(spark, sf_dir):
     return D.rate_limited(rows, 24 * 60, "user_id")
 
 
+@query("SELECT user_id, count(*)::VARCHAR AS text FROM events GROUP BY user_id")
+def badge_count(spark, sf_dir):
+    return B.badge(read(spark, sf_dir, "events").select("user_id"), "user_id")
+
+
+@query(f"SELECT ord, CASE WHEN ord % 3 = 0 THEN '' ELSE 'Local ' || score::BIGINT || '% + LLM ' || (ord % 101) || '%' END AS breakdown, CASE WHEN ord % 3 = 0 THEN '' ELSE 'said' END AS rationale, CASE WHEN ord % 3 = 0 THEN '' ELSE 'a|b|c' END AS strengths, CASE WHEN ord % 3 = 0 THEN '' ELSE 'x' END AS gaps FROM {EVENTS}")
+def card_insight(spark, sf_dir):
+    has = F.col("ord") % 3 != 0
+    rows = _scored_events(spark, sf_dir).select("ord", F.col("score").alias("local_score"), F.when(has, (F.col("ord") % 101).cast("double")).alias("model_score"), F.when(has, "said").alias("rationale"), F.when(has, F.array(*map(F.lit, "abcd"))).alias("key_strengths"), F.when(has, F.array(F.lit("x"))).alias("gaps"))
+    return B.card_insight(rows).select("ord", "breakdown", "rationale", joined("strengths").alias("strengths"), joined("gaps").alias("gaps"))
+
+
+@query(f"SELECT title AS job_title, company, '' AS url, score, '' AS platform, ord AS matched_at FROM {EVENTS}")
+def lossy_projection(spark, sf_dir):
+    rows = _scored_events(spark, sf_dir).select("title", "company", F.lit(None).cast("string").alias("url"), "score", F.lit(None).cast("string").alias("platform"), F.col("ord").alias("matched_at"), F.lit("lost").alias("matched_skills"))
+    return H.lossy_projection(rows)
+
+
+@query(f"SELECT title, company, 'u' || ord AS url, score, company AS matched_skills, '' AS missing_skills FROM {EVENTS}")
+def digest_rows(spark, sf_dir):
+    rows = _scored_events(spark, sf_dir).select("*", F.concat(F.lit("u"), F.col("ord").cast("string")).alias("url"), F.array("company").alias("matched_skills"), F.array().cast("array<string>").alias("missing_skills"))
+    return B.digest_rows(rows).withColumns({c: joined(c) for c in ("matched_skills", "missing_skills")})
+
+
+@query("SELECT event_id, (epoch_us(ts) // 1000 + event_id * 700) AS at, round((event_id * 700) / 1000.0::DOUBLE + 1e-9)::BIGINT AS elapsed, floor(event_id * 1234567 / 1e6::DOUBLE + 0.5)::BIGINT AS duration FROM events")
+def elapsed_and_duration(spark, sf_dir):
+    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    end = start + F.col("event_id") * 700
+    return read(spark, sf_dir, "events").select("event_id", end.alias("at"), formats.elapsed_seconds(start, end).alias("elapsed"), R.duration_ms(F.col("event_id") * 1234567).alias("duration"))
+
+
+BODIES = "CASE p_partkey % 7 WHEN 0 THEN '{\"matches\": [{\"score\": 1}], \"email\": \"a@b\", \"resumeText\": \"me\", \"jobs\": [{}], \"job\": {\"title\": \"x\"}}' WHEN 1 THEN '{\"matches\": [], \"email\": \"ab\", \"resumeText\": 5, \"jobs\": {}}' WHEN 2 THEN '{\"resumeText\": \"\", \"job\": \"x\", \"email\": \"a@b\"}' WHEN 3 THEN '{\"resumeText\": \"me\", \"job\": null, \"matches\": \"x\"}' WHEN 4 THEN '[]' WHEN 5 THEN '{\"resumeText\": \"me\", \"job\": [1], \"jobs\": [1]}' ELSE 'no json' END"
+NO_MATCHES, NO_TEXT, BAD = "'matches array is required'", "'resumeText string is required'", "'invalid JSON'"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 6 THEN {BAD} ELSE {NO_MATCHES} END AS insert_error, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 5 THEN NULL WHEN 3 THEN 'job object is required' WHEN 6 THEN {BAD} ELSE {NO_TEXT} END AS score_error, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 5 THEN NULL WHEN 3 THEN 'jobs array is required' WHEN 6 THEN {BAD} ELSE {NO_TEXT} END AS batch_error, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 2 THEN {NO_MATCHES} WHEN 6 THEN {BAD} ELSE 'Valid email address is required' END AS notify_error FROM part")
+def request_errors(spark, sf_dir):
+    body = F.col("body")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.expr(BODIES).alias("body"))
+    return rows.select("p_partkey", J.insert_error(body).alias("insert_error"), J.score_error(body).alias("score_error"), J.score_batch_error(body).alias("batch_error"), J.notify_error(body).alias("notify_error"))
+
+
+@query("SELECT o_orderkey, 'Job ' || o_orderkey || '.' || n AS job_title, (o_orderkey % 101)::DOUBLE AS score FROM orders, (VALUES (1), (2)) t(n) WHERE o_orderkey % 3 <> 0")
+def request_matches(spark, sf_dir):
+    one = lambda n: F.format_string('{"job_title": "Job %d.' + n + '", "score": %d}', "o_orderkey", F.col("o_orderkey") % 101)
+    body = F.when(F.col("o_orderkey") % 3 == 0, '{"matches": []}').otherwise(F.concat(F.lit('{"matches": ['), one("1"), F.lit(", "), one("2"), F.lit("]}")))
+    return J.matches_of(read(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))).select("o_orderkey", "job_title", "score")
+
+
+@query("SELECT user_id, epoch_us(ts) // 1000 AS \"at\", 'smtp_not_configured' AS result, NULL::BIGINT AS retry_after, 0::BIGINT AS n FROM events")
+def mail_not_configured(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.lit(True).alias("delivered"), F.lit(1).alias("matches"))
+    return D.rate_limited(rows, 24 * 60, "user_id", configured=False, matches="matches")
+
+
+def _site_pages(spark, sf_dir, html: str):
+    """Pages with markup made of their ids."""
+    parts = [F.lit(p) for p in html.split("#")]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = F.concat(whole, F.col("page_id").cast("string"), p)
+    return read(spark, sf_dir, "pages").select("page_id", F.lit("https://board.example/x").alias("url"), whole.alias("html"))
+
+
+LINKEDIN = '<link rel="canonical" href="https://board.example/jobs/view/9#"><h1 class="the-job-title-x">Lead #</h1><div id="job-details">A long description #</div><div class="job-card-container"><a href="/jobs/view/#"> Job # </a><span class="job-card-container__primary-description">ACME</span></div><li data-occludable-job-id="1"><a href="/jobs/view/#">Again</a></li>'
+
+
+@query("SELECT page_id, 'detail' AS kind, 'Lead ' || page_id AS title, '' AS company, 'A long description ' || page_id AS description, 'https://board.example/jobs/view/9' || page_id AS url FROM pages UNION ALL SELECT page_id, 'card', 'Job ' || page_id, 'ACME', '', 'https://board.example/jobs/view/' || page_id FROM pages")
+def linkedin_extract(spark, sf_dir):
+    return W.extract(_site_pages(spark, sf_dir, LINKEDIN), "linkedin").select("page_id", "kind", "title", "company", "description", "url")
+
+
+GLASSDOOR = '<div class="jobDescriptionContent">Text #</div><h1 data-test="job-title">Chef #</h1><div data-test="employerName">Inn</div><li data-jobid="1"><a class="job-title" href="/j/#">Cook #</a><i data-test="emp-name">Bistro</i></li>'
+
+
+@query("SELECT page_id, 'detail' AS kind, 'Chef ' || page_id AS title, 'Inn' AS company, 'Text ' || page_id AS description, 'https://board.example/x' AS url FROM pages UNION ALL SELECT page_id, 'card', 'Cook ' || page_id, 'Bistro', NULL, 'https://board.example/j/' || page_id FROM pages")
+def glassdoor_extract(spark, sf_dir):
+    return W.extract(_site_pages(spark, sf_dir, GLASSDOOR), "glassdoor").select("page_id", "kind", "title", "company", "description", "url")
+
+
+@query("SELECT page_id, kind, title, pass FROM (SELECT page_id, 'detail' AS kind, 'Lead ' || page_id AS title, 1 AS pass FROM pages UNION ALL SELECT page_id, 'card', 'Job ' || page_id, 1 FROM pages UNION ALL SELECT page_id, 'card', 'New ' || page_id, 2 FROM pages)")
+def scan_passes(spark, sf_dir):
+    later = LINKEDIN.replace("Job #", "Other #") + '<div class="job-card-container"><a href="/jobs/view/n#">New #</a></div>'
+    both = [_site_pages(spark, sf_dir, html).withColumn("pass", F.lit(n)) for n, html in ((1, LINKEDIN), (2, later))]
+    return W.scan_passes(both[0].union(both[1]), "linkedin").select("page_id", "kind", "title", "pass")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS text, CASE WHEN p_partkey % 3 = 2 THEN 'Unsupported file type: image/png' END AS error FROM part")
+def parse_uploads(spark, sf_dir):
+    kind = F.col("p_partkey") % 3
+    content = F.when(kind == 0, F.concat(F.lit("%PDF BT ("), "p_name", F.lit(") Tj ET"))).otherwise(F.concat(F.lit("\r\n "), F.regexp_replace("p_name", " ", " \t "), F.lit("  ")))
+    files = read(spark, sf_dir, "part").select("p_partkey", F.when(kind == 0, "application/pdf").when(kind == 1, "text/plain").otherwise("image/png").alias("mime"), content.cast("binary").alias("content"))
+    return U.parse_files(files).select("p_partkey", "text", "error")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in CATALOG.items()}
 

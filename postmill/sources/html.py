@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -76,10 +77,11 @@ SITES = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "classes")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.classes = frozenset(attrs.get("class", "").split())
 
     def walk(self) -> Iterator[Node]:
         stack = [c for c in reversed(self.children) if isinstance(c, Node)]
@@ -134,9 +136,15 @@ def parse(html: str) -> Node:
 _PART = re.compile(r'#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?=)"([^"]*)")?\]|:nth-child\((\d+)\)|([a-zA-Z][\w]*)')
 
 
-def _is(node: Node, simple: str) -> bool:
-    for by_id, by_class, attr, test, value, nth, tag in _PART.findall(simple):
-        if by_id and node.attrs.get("id") != by_id or by_class and by_class not in node.attrs.get("class", "").split() or tag and node.tag != tag.lower():
+@cache
+def _steps(selector: str) -> tuple[tuple[bool, tuple], ...]:
+    """A selector read once: for each step whether it must be the parent of the next, and its parts."""
+    return tuple((step.startswith(">"), tuple(_PART.findall(step.lstrip(">")))) for step in selector.replace(" > ", " >").split(" "))
+
+
+def _is(node: Node, parts: tuple) -> bool:
+    for by_id, by_class, attr, test, value, nth, tag in parts:
+        if by_id and node.attrs.get("id") != by_id or by_class and by_class not in node.classes or tag and node.tag != tag.lower():
             return False
         if attr and (attr not in node.attrs or test == "=" and node.attrs[attr] != value or test == "*=" and value not in node.attrs[attr]):
             return False
@@ -147,25 +155,34 @@ def _is(node: Node, simple: str) -> bool:
 
 def matches(node: Node, selector: str) -> bool:
     """Whether a node matches a selector of simple ones joined by a space or ``>``."""
-    steps = selector.replace(" > ", " >").split(" ")
-    if not _is(node, steps[-1].lstrip(">")):
+    *above, (direct, last) = _steps(selector)
+    if not _is(node, last):
         return False
-    direct, up = steps[-1].startswith(">"), node.parent
-    for step in reversed(steps[:-1]):
-        while up is not None and up.tag and not _is(up, step.lstrip(">")):
+    up = node.parent
+    for child, parts in reversed(above):
+        while up is not None and up.tag and not _is(up, parts):
             if direct:
                 return False
             up = up.parent
         if up is None or not up.tag:
             return False
-        direct, up = step.startswith(">"), up.parent
+        direct, up = child, up.parent
     return True
 
 
-def find(root: Node, selectors: list[str], order: str) -> Node | None:
-    if order == "any":
-        return next((n for n in root.walk() if any(matches(n, s) for s in selectors)), None)
-    return next((n for s in selectors for n in root.walk() if matches(n, s)), None)
+def find_all(root: Node, fields: dict[str, list[str]], order: str) -> dict[str, Node | None]:
+    """The node of each field, in one walk: by the first of its selectors that any node matches (``first``), or
+    the first node that matches any (``any``)."""
+    best: dict[str, tuple[int, Node]] = {}
+    for node in root.walk():
+        for field, selectors in fields.items():
+            rank = best[field][0] if field in best else len(selectors)
+            if rank == 0 or field in best and order == "any":
+                continue
+            found = next((i for i, s in enumerate(selectors[:rank]) if matches(node, s)), None)
+            if found is not None:
+                best[field] = (found, node)
+    return {f: best[f][1] if f in best else None for f in fields}
 
 
 def _link(node: Node, card: Node, base: str, order: str) -> str | None:
@@ -180,7 +197,7 @@ def cards(root: Node, site: str, base: str, scan: bool = False) -> list[dict]:
     """Postings of a result page: those with a title and a URL not seen before on the page."""
     spec, seen, out = SITES[site], set(), []
     for card in (n for n in root.walk() if any(matches(n, s) for s in spec["card"])):
-        nodes = {f: find(card, s, spec["order"]) for f, s in spec["card_fields"].items()}
+        nodes = find_all(card, spec["card_fields"], spec["order"])
         if spec.get("scan_only_description") and not scan:
             nodes["description"] = None
         title = nodes["title"].text() if nodes["title"] else None
@@ -197,7 +214,7 @@ def cards(root: Node, site: str, base: str, scan: bool = False) -> list[dict]:
 def detail(root: Node, site: str, base: str) -> dict | None:
     """The posting of a detail page; none without a description of the site's least length."""
     spec = SITES[site]
-    nodes = {f: find(root, s, spec["order"]) for f, s in spec["detail_fields"].items()}
+    nodes = find_all(root, spec["detail_fields"], spec["order"])
     if nodes["description"] is None or len(nodes["description"].text()) < spec["least"]:
         return None
     url = base
@@ -207,26 +224,38 @@ def detail(root: Node, site: str, base: str) -> dict | None:
     return {f: n.text() if n else "" for f, n in nodes.items()} | {"url": url}
 
 
-def extract(pages: DataFrame, site: str, scan: bool = False) -> DataFrame:
+def extract(pages: DataFrame, site: str, scan: bool = False, keep: str | None = None) -> DataFrame:
     """Postings of pages (page_id, url, html): each page's detail, if it has one, then its cards, in
-    order. Pages are parsed where they are read; a null page has none."""
+    order. Pages are parsed where they are read; a null page has none. ``keep``: a column of the pages that
+    their postings keep."""
+    kept = [keep] if keep else []
+    schema = JOB + "".join(f", `{c}` {pages.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
+            for page_id, url, html, *own in zip(*(batch[c] for c in ("page_id", "url", "html", *kept))):
                 root, base = parse(html), url or ""
                 one = detail(root, site, base)
                 found = [("detail", one)] * (one is not None) + [("card", c) for c in cards(root, site, base, scan)]
-                rows += [{"page_id": page_id, "ord": i, "kind": kind, "platform": site, "description": None} | job for i, (kind, job) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in JOB.split(", ")])
+                rows += [{"page_id": page_id, "ord": i, "kind": kind, "platform": site, "description": None} | dict(zip(kept, own)) | job for i, (kind, job) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in JOB.split(", ")), *kept])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, JOB)
+    return pages.select("page_id", "url", "html", *kept).mapInPandas(run, schema)
 
 
-def first_time(postings: DataFrame, order: list[str]) -> DataFrame:
+def first_time(postings: DataFrame, order: list[str], session: str | None = None) -> DataFrame:
     """Postings seen for the first time in a session: details and cards have keys of their own; a detail
-    is known by its URL, or its title without one."""
+    is known by its URL, or its title without one. With a column ``enriched`` details sent once more after
+    a page has changed (where it is true) have keys of their own, too."""
     key = F.when(F.col("kind") == "card", F.col("url")).otherwise(F.coalesce(F.nullif("url", F.lit("")), F.col("title")))
+    space = F.when((F.col("kind") == "detail") & F.coalesce("enriched", F.lit(False)), "enriched").otherwise(F.col("kind")) if "enriched" in postings.columns else F.col("kind")
     own = F.struct(*postings.columns)
-    return postings.withColumn("key", key).groupBy("kind", "key").agg(F.min_by(own, F.struct(*order)).alias("p")).select("p.*")
+    by = [session] if session else []
+    return postings.withColumns({"_space": space, "_key": key}).groupBy(*by, "_space", "_key").agg(F.min_by(own, F.struct(*order)).alias("p")).select("p.*")
+
+
+def scan_passes(passes: DataFrame, site: str) -> DataFrame:
+    """Postings of a scheduled scan: ``passes`` (page_id, pass, url, html) are snapshots of one page while it
+    loads; each posting comes from the first that shows it, in the order of passes, details first."""
+    return first_time(extract(passes, site, scan=True, keep="pass"), ["pass", "ord"], "page_id")

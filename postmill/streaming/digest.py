@@ -78,20 +78,27 @@ def cooldown_batch(events: DataFrame, minutes: float = COOLDOWN_MINUTES, recipie
     return _scanned(rows, ["at", "item"], step, "sent_at long, n long").withColumnRenamed("recipient", recipient)
 
 
-def rate_limited(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, recipient: str = "recipient", at: str = "at", delivered: str = "delivered") -> DataFrame:
+def rate_limited(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, recipient: str = "recipient", at: str = "at", delivered: str = "delivered", configured: bool = True, matches: str | None = None, keep: bool = False) -> DataFrame:
     """Adds ``result`` and ``retry_after`` (seconds) to requests (recipient, at in milliseconds, delivered):
-    sent, rate_limited, or send_failed, which does not start the cooldown. One sorted pass that holds the
-    time of a recipient's last sent request."""
-    gap = int(minutes * 60_000)
+    sent, rate_limited, smtp_not_configured (``configured`` is false: no mail server is known), or send_failed;
+    only what is sent starts the cooldown. One sorted pass that holds the time of a recipient's last sent
+    request.
 
-    def step(last, now, ok):
-        wait = 0 if last is None or now is None else last + gap - now
-        if wait > 0:
-            return last, (now, "rate_limited", -(-wait // 1000))
-        return (now, (now, "sent", None)) if ok else (last, (now, "send_failed", None))
+    With ``matches`` (a column of numbers) also ``n``: matches that the mail holds, 0 if none is sent. Matches of a
+    refused request are lost, as the sender forgets them, or stay for the next one with ``keep``."""
+    gap = int(minutes * 60_000)
 
-    rows = requests.select(F.col(recipient).alias("recipient"), F.col(at).cast("long").alias("at"), F.coalesce(F.col(delivered), F.lit(False)).alias("ok"))
-    return _scanned(rows, ["at", "ok"], step, "at long, result string, retry_after long").withColumnRenamed("recipient", recipient)
+    def step(state, now, ok, n):
+        last, left = state or (None, 0)
+        n, wait = left + n, 0 if last is None or now is None else last + gap - now
+        sent = wait <= 0 and configured and ok
+        result = "rate_limited" if wait > 0 else "smtp_not_configured" if not configured else "sent" if ok else "send_failed"
+        return (now if sent else last, n if keep and not sent else 0), (now, result, -(-wait // 1000) if wait > 0 else None, n if sent else 0)
+
+    count = F.coalesce(F.col(matches), F.lit(0)).cast("long") if matches else F.lit(0).cast("long")
+    rows = requests.select(F.col(recipient).alias("recipient"), F.col(at).cast("long").alias("at"), F.coalesce(F.col(delivered), F.lit(False)).alias("ok"), count.alias("n"))
+    out = _scanned(rows, ["at", "ok", "n"], step, "at long, result string, retry_after long, n long").withColumnRenamed("recipient", recipient)
+    return out if matches else out.drop("n")
 
 
 def alarm_times(profiles: DataFrame, start: str, end: str) -> DataFrame:

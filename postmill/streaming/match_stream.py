@@ -24,14 +24,22 @@ class Settings:
     llm_weight: float = 0.3
     cap: int = B.HISTORY_CAP
 
+    @classmethod
+    def of(cls, stored: dict) -> Settings:
+        """Settings from stored ones; what is missing or null has its default."""
+        known = {k: v for k, v in stored.items() if k in cls.__dataclass_fields__ and v is not None}
+        return cls(**known | ({"weights": tuple(known["weights"])} if "weights" in known else {}))
+
 
 class MatchLoop:
-    """History versions in ``folder``, one for each batch that had new matches. A batch that is run again
-    starts from the version before it and writes its own anew, so a restart changes nothing."""
+    """Matches of each batch in ``folder``/matches=N, all of them, and the capped history in versions beside, one
+    for each batch that had new matches; the last two stay. A batch that is run again starts from the
+    version before it and writes its own anew, so a restart changes nothing. Sinks get all new matches
+    of the batch that reach the threshold, however many the history keeps."""
 
-    def __init__(self, spark: SparkSession, profile: M.Profile, folder: str, settings: Settings | None = None, mode: str = "interactive", scorer: Callable[[str], str] | None = None, sinks: list[Callable[[DataFrame, int], None]] | None = None, dictionary: list[str] | None = None):
+    def __init__(self, spark: SparkSession, profile: M.Profile, folder: str, settings: Settings | None = None, mode: str = "interactive", scorer: Callable[[str], str] | None = None, sinks: list[Callable[[DataFrame, int], None]] | None = None, dictionary: list[str] | None = None, model: str | None = None):
         self.spark, self.profile, self.folder, self.mode = spark, profile, folder.rstrip("/"), mode
-        self.settings, self.scorer, self.sinks, self.dictionary = settings or Settings(), scorer, sinks or [], dictionary
+        self.settings, self.scorer, self.sinks, self.dictionary, self.model = settings or Settings(), scorer, sinks or [], dictionary, model
 
     def _versions(self) -> list[int]:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -64,22 +72,32 @@ class MatchLoop:
         new = self.new_matches(jobs, history)
         if self.scorer is not None:
             best = B.rank_matches(new.orderBy(F.desc("score"), "ord").limit(R.BATCH))
-            asked = best.select("rank", R.prompt(F.lit(" ".join(self.profile.tokens)), F.col("title"), F.col("company"), F.col("location"), F.col("description")).alias("prompt"))
-            replies = R.ask(asked, self.scorer).select("rank", R.parse_reply(F.col("reply"))["score"].alias("model_score"))
+            asked = best.select("rank", R.prompt(F.lit(self.profile.text), F.col("title"), F.col("company"), F.col("location"), F.col("description")).alias("prompt"))
+            said = R.ask(asked, self.scorer).select("rank", R.parse_reply(F.col("reply")).alias("r"))
+            replies = said.select("rank", F.col("r.score").alias("model_score"), "r.rationale", "r.key_strengths", "r.gaps", F.when(F.col("r").isNotNull(), F.lit(self.model)).alias("model"))
             new = B.blend(new, replies, self.settings.llm_weight)
         new = new.withColumns({"batch_id": F.lit(batch_id), "matched_at": F.current_timestamp(), "from_scheduled_scan": F.lit(self.mode == "scan")})
-        order = F.row_number().over(_by_score())
-        capped = B.cap_history(new.withColumn("place", order), history if history is not None else new.limit(0).withColumn("place", F.lit(0)), "place", self.settings.cap)
-        path = f"{self.folder}/version={batch_id}"
-        capped.drop("place").withColumnRenamed("position", "place").write.mode("overwrite").parquet(path)
-        added = self.spark.read.parquet(path).filter(F.col("batch_id") == batch_id)
+        path = f"{self.folder}/matches={batch_id}"
+        new.write.mode("overwrite").parquet(path)
+        added = self.spark.read.schema(new.schema).parquet(path)
         if added.isEmpty():
             return None
+        # Only the best of the batch can enter the history, so their order needs no more than the cap.
+        top = added.orderBy(F.desc("score"), "ord").limit(self.settings.cap)
+        top = top.withColumn("place", F.row_number().over(_by_score()))
+        capped = B.cap_history(top, history if history is not None else top.limit(0), "place", self.settings.cap)
+        capped.drop("place").withColumnRenamed("position", "place").write.mode("overwrite").parquet(f"{self.folder}/version={batch_id}")
+        self._forget([v for v in self._versions() if v < batch_id][:-1])
         notified = added.filter(M.above(F.col("score"), self.settings.threshold))
         for sink in self.sinks:
             sink(notified, batch_id)
         return added
 
+    def _forget(self, versions: list[int]) -> None:
+        for v in versions:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version={v}")
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def start(self, jobs: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Runs over a stream of jobs with the columns of a posting and ``ord``."""
         return jobs.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(lambda df, i: self.run_batch(df, i) and None).start()

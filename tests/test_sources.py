@@ -62,3 +62,19 @@ def test_selectors():
     items = [n for n in root.walk() if n.tag == "li"]
     assert html.matches(items[1], ".s > li:nth-child(2)") and not html.matches(items[0], ".s > li:nth-child(2)")
     assert html.matches(items[1], "ul li.t.u") and not html.matches(items[1], "div li")
+
+
+def test_enriched_details_have_their_own_keys(spark):
+    rows = [(1, 0, "detail", "A", "u", False), (1, 1, "detail", "A", "u", True), (1, 2, "detail", "A", "u", True), (1, 3, "detail", "A", None, False), (1, 4, "card", "A", "u", False), (2, 5, "card", "A", "u", False)]
+    df = spark.createDataFrame(rows, "page_id long, ord int, kind string, title string, url string, enriched boolean")
+    assert sorted(r["ord"] for r in html.first_time(df, ["ord"]).collect()) == [0, 1, 3, 4]
+    assert sorted(r["ord"] for r in html.first_time(df, ["ord"], "page_id").collect()) == [0, 1, 3, 4, 5]
+
+
+def test_new_ids(spark):
+    from pyspark.sql import functions as F
+
+    from postmill.functions import formats
+
+    ids = [r["i"] for r in spark.range(50).select(formats.new_id(F.lit(1_700_000_000_000)).alias("i")).collect()]
+    assert len(set(ids)) == 50 and all(i.startswith("loyw3v28") and len(i) == 14 for i in ids)

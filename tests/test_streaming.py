@@ -39,6 +39,38 @@ def test_scan_mode_and_scorer(spark, tmp_path):
     assert loop.run_batch(jobs, 1) is None
 
 
+def test_more_matches_than_the_cap(spark, tmp_path):
+    """Sinks get all new matches with what the model says of them; only the history is capped."""
+    profile = matcher.Profile.of(spark, "python developer who led Python teams")
+    asked, seen = [], []
+    reply = '{"score": 50, "rationale": "fits", "keyStrengths": ["a"], "gaps": ["b"]}'
+    loop = MatchLoop(spark, profile, str(tmp_path / "h"), Settings(cap=3), scorer=lambda p: reply if "who led Python teams" in p else None, sinks=[lambda df, i: seen.append((i, df.collect()))], model="m1")
+    jobs = spark.createDataFrame([job(i, f"u{i}") for i in range(14)], JOBS)
+    added = loop.run_batch(jobs, 0).collect()
+    assert len(added) == 14 and len(seen[0][1]) == 14 and loop.history().count() == 3
+    scored = [r for r in added if r["model_score"] is not None]
+    assert len(scored) == 10 and all((r["rationale"], r["key_strengths"], r["gaps"], r["model"], r["local_score"], r["score"]) == ("fits", ["a"], ["b"], "m1", 100, 85) for r in scored)
+    assert [r["ord"] for r in loop.history().orderBy("place").collect()] == [10, 11, 12]  # the four that the model did not lower come first
+    assert loop.run_batch(spark.createDataFrame([job(10, "u10")], JOBS), 1) is None
+    assert loop._versions() == [0]  # nothing new, no version
+    for i in (2, 3, 4):
+        loop.run_batch(spark.createDataFrame([job(100 + i, f"v{i}")], JOBS), i)
+    assert loop._versions() == [3, 4] and not asked
+
+
+def test_settings():
+    assert Settings.of({"cap": 7, "weights": [0.5, 0.5], "threshold": None, "other": 1}) == Settings(cap=7, weights=(0.5, 0.5))
+
+
+def test_refused_mail(spark):
+    """Matches of refused requests are lost, or stay for the next request."""
+    rows = spark.createDataFrame([("x", 0, False, 2), ("x", 60_000, True, 1), ("x", 120_000, True, 4), ("x", 2_000_000, True, 8)], "recipient string, at long, delivered boolean, matches long")
+    run = lambda **k: [(r["result"], r["n"]) for r in digest.rate_limited(rows, matches="matches", **k).orderBy("at").collect()]
+    assert run() == [("send_failed", 0), ("sent", 1), ("rate_limited", 0), ("sent", 8)]
+    assert run(keep=True) == [("send_failed", 0), ("sent", 3), ("rate_limited", 0), ("sent", 12)]
+    assert run(configured=False) == [("smtp_not_configured", 0)] * 4
+
+
 def test_cooldown_batch_and_stream(spark, tmp_path):
     rows = [("x", m * 60_000, i) for i, m in enumerate(MINUTES)]
     events = spark.createDataFrame(rows, "recipient string, at long, item long")
