@@ -68,9 +68,10 @@ def _bigram(before: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def _split(key: np.ndarray, bits: int):
     """(part, slice) of sorted hashes by their leading ``bits``."""
-    cuts = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(key)])
-    for part in np.flatnonzero(np.diff(cuts)):
-        yield int(part), slice(cuts[part], cuts[part + 1])
+    part = key >> np.uint64(64 - bits) if bits else np.zeros(len(key), np.uint64)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(key) else np.zeros(0, np.int64)
+    for a, b in zip(starts, np.append(starts[1:], len(key))):
+        yield int(part[a]), slice(a, b)
 
 
 def _planes(key: np.ndarray) -> bytes:
@@ -105,7 +106,7 @@ def _places(key: np.ndarray, level, kind: int, size) -> Iterator[np.ndarray]:
 class Filter:
     """Parts by the leading bits of the n-gram's hash, each a bit array of its own size."""
 
-    def __init__(self, bits: int, sizes: np.ndarray, data: bytes, low: int = 0, high: int = 1 << 16):
+    def __init__(self, bits: int, sizes: np.ndarray, data: bytes, low: int = 0, high: int = 1 << 62):
         self.bits, self.low, self.high = bits, low, high  # parts from low to high are here, high excluded
         self.size = (sizes * 8).astype(np.uint64)
         self.first = np.cumsum(sizes * 8) - sizes * 8
@@ -191,8 +192,9 @@ class LanguageModel:
         docs = docs.select(F.coalesce("text", F.lit("")).alias("text"))
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
         self.spark, self.docs = docs.sparkSession, size["n"]
-        # Parts follow the size of the corpus, so that one stays in a task's memory.
-        self.bits = min(16, max(4, int(np.ceil(np.log2(max(1, size["b"] / 5 / part_tokens))))))
+        # Parts follow the size of the corpus, whatever it is, so that one stays in a task's memory and its
+        # places in 32 bits.
+        self.bits = max(4, int(np.ceil(np.log2(max(1, size["b"] / 5 / part_tokens)))))
         self.counts = written(count_ngrams(docs, self.bits), "lm-counts")
         by = self.counts.select("part", "kind", "types", "tokens", F.octet_length("bits").alias("bytes")).collect()
         self.tokens = sum(r["tokens"] for r in by if r["kind"] == 0)
