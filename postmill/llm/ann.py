@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Directions (even), confidence of the test, vectors in a leaf, in a shard and queries in a block.
-DIRECTIONS, CONFIDENCE, LEAF, SHARD, BLOCK = 8, 0.99, 64, 8192, 2048
+#: Directions (even), confidence of the test, vectors in a leaf and in a shard.
+DIRECTIONS, CONFIDENCE, LEAF, SHARD = 8, 0.99, 64, 8192
 
 
 def chi_square(x: float, freedom: int) -> float:
@@ -82,29 +82,30 @@ class Tree:
                     heapq.heappush(heap, (far(c), c))
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, directions: int, confidence: float, seed: int) -> list[tuple[int, int, float]]:
-    """(query, vector, distance) of each query's ``k`` nearest found among the shard's vectors."""
-    project = np.random.default_rng(seed).standard_normal((vectors.shape[1], directions))
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    tree, limit, out = Tree(vectors @ project), chi_square_at(confidence, directions), []
-    for query_id, q in zip(query_ids, queries):
+class Shard:
+    """The vectors of a shard, projected and indexed once."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int, seed: int):
+        self.project = np.random.default_rng(seed).standard_normal((vectors.shape[1], directions))
+        self.ids, self.vectors, self.tree = ids, vectors, Tree(vectors @ self.project)
+
+    def nearest(self, query_id: int, q: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, distances) of the query's ``k`` nearest found; ``limit`` is the chi-square test's."""
         best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for bound, rows in tree.leaves(q @ project):
+        for bound, rows in self.tree.leaves(q @ self.project):
             # Stop when a vector as near as the k-th best would have had a smaller projection, with
             # the confidence asked for; at distance 0 only a projection of 0 can tie.
             if len(best_d) == k and bound > limit * best_d[-1] ** 2 * (1 + 1e-12):
                 break
-            diff = vectors[rows] - q
+            diff = self.vectors[rows] - q
             d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            ok = ids[rows] != query_id
+            ok = self.ids[rows] != query_id
             if len(best_d) == k:
                 ok &= d <= best_d[-1]
-            best_d, best_i = np.concatenate([best_d, d[ok]]), np.concatenate([best_i, ids[rows][ok]])
+            best_d, best_i = np.concatenate([best_d, d[ok]]), np.concatenate([best_i, self.ids[rows][ok]])
             top = np.lexsort((best_i, best_d))[:k]
             best_d, best_i = best_d[top], best_i[top]
-        out += [(int(query_id), int(i), float(d)) for d, i in zip(best_d, best_i)]
-    return out
+        return best_i, best_d
 
 
 def usable(vector: Column) -> Column:
@@ -120,28 +121,45 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, directions: int =
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
     rows without a vec_id; vectors of different lengths are not compared. Repeated rows of a vec_id
-    count as one. All vectors are indexed. A task holds a shard of about ``SHARD`` vectors and a
-    block of ``BLOCK`` queries; every block meets every shard. Other columns are ignored."""
+    count as one; of different vectors of one vec_id the first in order counts. All vectors are indexed:
+    each is shuffled once, to its shard of about ``SHARD``, which a task indexes once; then the queries, of which
+    every shard gets all, stream past it. Other columns are ignored."""
     rows = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = rows.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-sizes["n"] // SHARD)), max(1, -(-sizes["q"] // BLOCK))
-    place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select("vec_id", "v", F.size("v").alias("dim"), place(1, shards).alias("shard")).withColumn("block", every(blocks))
-    asked = rows.filter(queries).select("vec_id", "v", F.size("v").alias("dim"), place(2, blocks).alias("block")).withColumn("shard", every(shards))
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t.column("vec_id").to_numpy()
-        values = np.concatenate([c.flatten().to_numpy() for c in t.column("v").chunks])
-        _, first = np.unique(ids, return_index=True)
-        return ids[first], values.reshape(len(ids), -1)[first]
-
-    def search(shard: pa.Table, block: pa.Table) -> pa.Table:
-        found = search_shard(*matrix(shard), *matrix(block), k, directions, confidence, seed) if shard.num_rows and block.num_rows else []
-        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
-
-    group = ["shard", "block", "dim"]
-    found = data.groupBy(group).cogroup(asked.groupBy(group)).applyInArrow(search, "query_id long, vec_id long, score double")
+    shards = max(1, -(-rows.count() // SHARD))
+    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
+    data = rows.select(shard.alias("shard"), F.size("v").alias("dim"), F.lit(0).alias("role"), "vec_id", "v")
+    asked = rows.filter(queries).groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.lit(1).alias("role"), "vec_id", "v")
+    dealt = data.union(asked).repartition("shard").sortWithinPartitions("shard", "dim", "role", "vec_id", "v")
+    limit = chi_square_at(confidence, directions)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, parts, held = None, [], None
+        for batch in batches:
+            ends = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]])
+            cuts = np.append(np.flatnonzero(np.append(True, (ends[:, 1:] != ends[:, :-1]).any(axis=0))), batch.num_rows)
+            found: list[tuple] = []
+            for a, b in zip(cuts, cuts[1:]):
+                here, role = (int(ends[0, a]), int(ends[1, a])), int(ends[2, a])
+                if here != place:
+                    place, parts, held = here, [], None
+                part = batch.slice(a, b - a)
+                ids, v = part.column(3).to_numpy(), part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if role == 0:
+                    parts.append((ids, v))
+                    continue
+                if held is None and parts:
+                    every, v_every = (np.concatenate(x) for x in zip(*parts))
+                    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+                    held, parts = Shard(every[first], v_every[first], directions, seed), []
+                if held is not None:
+                    for query, q in zip(ids.tolist(), v):
+                        found.append((query, *held.nearest(query, q, k, limit)))
+            n = [len(f[1]) for f in found]
+            vec, score = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in ((1, np.int64), (2, float)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([f[0] for f in found], np.int64), n)), pa.array(vec.astype(np.int64)), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

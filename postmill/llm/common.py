@@ -3,6 +3,7 @@ splitting for Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset a temporary one, but only on a local master, whose
+    tasks share the driver's disk: a cluster must name a folder that all its machines see."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="postmill-")
     # With its file system, so that Python readers and writers find the one Spark means.

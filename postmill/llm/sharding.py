@@ -4,7 +4,7 @@ Rows fall into blocks by a hash. How many rows each block sends to each shard is
 exactly as a uniform permutation would distribute them (a multivariate hypergeometric matrix
 whose row sums are the block sizes and whose column sums the shard sizes). Each block then
 permutes its rows and deals them out by its row of the matrix, the rows are exchanged, and each
-shard permutes what it got. Only block sizes reach the driver, and there are ``blocks`` of them.
+shard permutes what it got. Only block sizes reach the driver, and there are at most ``MOST_BLOCKS``.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import unit
 
+#: Rows of a block, about; fewest and most blocks (the driver draws a matrix of blocks by shards).
+BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 100_000, 256, 1 << 16
+
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """Number of good ones among ``draws`` from ``good + bad``: inversion outward from the mode,
@@ -64,17 +67,18 @@ def communication_matrix(block_sizes: list[int], shards: int, seed: int) -> list
     return matrix
 
 
-def shuffle_into_shards(df: DataFrame, shards: int, key: list[Column], seed: int = 7, blocks: int = 256) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int, key: list[Column], seed: int = 7, blocks: int | None = None) -> DataFrame:
     """Adds ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
     ``key`` tells rows apart; rows equal in it are interchangeable, and nulls in it are values like
-    others. ``blocks`` bounds what the driver sees; a block should fit a task's sort, which spills.
-    An empty table gives an empty result. Same rows and seed: same shards and slots. Columns named
+    others. ``blocks`` bounds what the driver sees: by default it follows the number of rows, so that a block fits a
+    task's sort, which spills. Rows equal in ``key`` meet in one block, so give all that tells rows apart. An empty table gives an empty result. Same rows and seed: same shards and slots. Columns named
     ``shard`` or ``slot`` are replaced."""
     spark = df.sparkSession
     own = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *[k.alias(f"k{i}") for i, k in enumerate(key)])
     keys = [F.col(f"k{i}") for i in range(len(key))]
+    blocks = blocks or min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-df.count() // BLOCK_ROWS)))
     rows = rows.select("row", (unit(*keys, seed=seed) * blocks).cast("int").alias("block"), F.xxhash64(*keys, F.lit(seed + 1)).alias("first"), F.xxhash64(*keys, F.lit(seed + 2)).alias("second"))
 
     sizes = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}

@@ -63,6 +63,35 @@ def test_nearest(spark, sf_dir):
     assert hit / total >= 0.9 and got.query_id.nunique() == (ids % 100 == 0).sum()
 
 
+def test_warc_against_sql(spark, sf_dir):
+    import oracle
+
+    ours, theirs, names = oracle.difference(queries.op3_warc(spark, sf_dir), oracle.connect(sf_dir), queries.oracle_sql()["op3_warc"])
+    assert (ours[:3], theirs[:3], names) == ([], [], [])
+
+
+def test_nearest_over_shards(spark, monkeypatch):
+    """Several shards, more queries than a batch has rows, repeated rows and an empty table."""
+    monkeypatch.setattr(ann, "SHARD", 300)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((1500, 6)).astype(np.float32)
+    rows = [(i, v[i].tolist()) for i in range(1500)] + [(0, v[0].tolist())] * 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+        got = ann.nearest(df, F.col("vec_id") % 10 == 0, k=5).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(axis=1))
+        want = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:5]
+        hit += len(set(want) & set(g.vec_id))
+        assert np.allclose(g.sort_values("rank").score, d[g.sort_values("rank").vec_id]) and len(g) == 5
+    assert got.query_id.nunique() == 150 and hit >= 0.95 * 750
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
 def test_nearest_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [3.0, 0.0]), (8, [3.0, 0.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)
