@@ -27,9 +27,9 @@ SEED = 3
 _PIECE = 1 << 20
 
 
-def _ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of every n-gram of the rows, a size and a stretch of bytes at a time. Rows are
-    set apart by white space, so that words at their ends have the same n-grams as others."""
+def _ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """(row, bucket) of every n-gram of the rows, by stretches of bytes, in each by size. Rows are set apart by
+    white space, so that words at their ends have the same n-grams as others."""
     n = len(offsets) - 1
     flat = np.full(len(data) + 2 * n, 32, np.uint8)
     place = np.ones(len(flat), bool)
@@ -43,12 +43,13 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     for a in range(0, len(flat), _PIECE):
         part = flat[a : a + _PIECE + max(SIZES)].astype(np.uint32)
         inner = stops[(stops > a) & (stops < min(a + _PIECE, len(flat)))]
-        steps = np.zeros(min(_PIECE, len(flat) - a), np.int64)
+        steps = np.zeros(min(_PIECE, len(flat) - a), np.int32)
         steps[inner - a] = 1
         steps[0] = np.searchsorted(stops, a, side="right")
-        row = np.cumsum(steps)
+        row = np.cumsum(steps, dtype=np.int32)
         h = np.zeros(len(part), np.uint32)
-        room = stops[row] - np.arange(a, a + len(row))
+        room = (stops[row] - np.arange(a, a + len(row))).astype(np.int32)
+        out = []
         for k in range(max(SIZES)):
             h = h[: len(part) - k] * np.uint32(0x01000193) + part[k:]
             if k + 1 in SIZES:
@@ -57,14 +58,35 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
                 b *= np.uint32(0x2C1B3C6D)
                 b >>= np.uint32(32 - BITS)
                 fits = room[: len(b)] >= k + 1
-                yield row[: len(b)][fits], b[fits]
-
-
-def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs, by row."""
-    parts = [np.unique(row.astype(np.int64) << BITS | bucket) for row, bucket in _ngrams(data, offsets)]
-    pairs = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+                out.append((row[: len(b)][fits], b[fits]))
+        yield out
+
+
+def _distinct(column) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, its distinct buckets) of the texts that have any. One table of marks serves all rows, so no row's
+    n-grams are sorted, and a long text needs no more room than a short one."""
+    marks = np.zeros(1 << BITS, bool)
+    for first, part in pieces(column, _PIECE):
+        now = -1
+        for stretch in _ngrams(*text_bytes(part)):
+            rows = [row for row, _ in stretch if len(row)]
+            if not rows:
+                continue
+            low, high = min(int(r[0]) for r in rows), max(int(r[-1]) for r in rows)
+            cuts = [np.searchsorted(row, np.arange(low, high + 2)).tolist() for row, _ in stretch]
+            for r in range(low, high + 1):
+                if r != now:
+                    found = np.flatnonzero(marks) if now >= 0 else ()
+                    if len(found):
+                        marks[found] = False
+                        yield first + now, found
+                    now = r
+                for (_, bucket), cut in zip(stretch, cuts):
+                    marks[bucket[cut[r - low] : cut[r - low + 1]]] = True
+        found = np.flatnonzero(marks)
+        if len(found):
+            marks[found] = False
+            yield first + now, found
 
 
 def _fit(label: np.ndarray, n: np.ndarray, feature: np.ndarray, ratios: np.ndarray, rest: np.ndarray, weights: tuple[float, float], steps: int = 300, penalty: float = 0.1) -> tuple[np.ndarray, float, float]:
@@ -109,12 +131,10 @@ class ToxicityModel:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, docs = np.zeros((2, 1 << BITS), np.float32), np.zeros(2, np.int64)
             for batch in batches:
-                for a, column in pieces(batch.column(0), _PIECE):
-                    label = np.array(batch.column(1))[a : a + len(column)]
-                    row, bucket = _distinct(*text_bytes(column))
-                    for c in (0, 1):
-                        total[c] += np.bincount(bucket[label[row] == c], minlength=1 << BITS)
-                        docs[c] += (label == c).sum()
+                label = np.array(batch.column(1))
+                docs += np.bincount(label, minlength=2)
+                for row, found in _distinct(batch.column(0)):
+                    total[label[row], found] += 1
             if docs.sum():
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([docs.tolist()])], ["counts", "docs"])
 
@@ -142,14 +162,14 @@ class ToxicityModel:
 
         def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, column in pieces(batch.column(0), _PIECE):
-                    label = np.array(batch.column(1))[a : a + len(column)]
-                    row, bucket = _distinct(*text_bytes(column))
-                    rest = np.bincount(row, np.where(label[row] == 1, others[1][bucket], others[0][bucket]), len(column))
-                    own = np.flatnonzero(chosen[bucket])
-                    n = np.bincount(row[own], minlength=len(column))
-                    parts = [label.astype(np.int32), n.astype(np.int32), (chosen[bucket[own]] - 1).astype(np.uint16), rest]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["label", "n", "features", "rest"])
+                label, n, rest, own = np.array(batch.column(1)), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows), [np.zeros(0, np.uint16)]
+                for row, found in _distinct(batch.column(0)):
+                    rest[row] = others[label[row]][found].sum()
+                    mine = chosen[found]
+                    own.append(mine[mine > 0] - np.uint16(1))
+                    n[row] = len(own[-1])
+                parts = [label.astype(np.int32), n, np.concatenate(own), rest]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["label", "n", "features", "rest"])
 
         packed = sample.mapInArrow(select, "label binary, n binary, features binary, rest binary").collect()
         label, n, feature, rest = (np.concatenate([np.frombuffer(r[c], t) for r in packed]) for c, t in (("label", np.int32), ("n", np.int32), ("features", np.uint16), ("rest", float)))
@@ -166,9 +186,9 @@ class ToxicityModel:
         def score(column: pa.Array) -> pa.Array:
             weights, intercept = model.value
             out = np.full(len(column), intercept)
-            for a, part in pieces(column, _PIECE) if weights.any() else ():
-                row, bucket = _distinct(*text_bytes(part))
-                out[a : a + len(part)] += np.bincount(row, weights[bucket], len(part))
+            if weights.any():
+                for row, found in _distinct(column):
+                    out[row] += weights[found].sum()
             return pa.array(1 / (1 + np.exp(-np.clip(out, -40, 40))))
 
         return score(text)
