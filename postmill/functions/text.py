@@ -25,11 +25,16 @@ def _holds(lower: Column, parts: list[str]) -> Column:
     return reduce(and_, [F.contains(lower, F.lit(p)) for p in parts])
 
 
-def _literals(pattern: str) -> list[str]:
+def literals(pattern: str) -> list[str]:
     """What every match of a term's pattern holds."""
     return [re.sub(r"\\(.)", r"\1", part) for part in pattern.split(r"\s*")]
 
 
+def quoted(text: str) -> str:
+    """A pattern that matches the text as it stands."""
+    return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", text)
+
+
 _NONE = "array<string>"
 
 
@@ -41,7 +46,7 @@ def tech_terms(text: Column) -> Column:
 
 def _tech_terms(lower: Column) -> Column:
     none = F.array().cast(_NONE)
-    groups = [F.when(reduce(or_, [_holds(lower, _literals(t)) for t in g]), F.regexp_extract_all(lower, F.lit("|".join(map(bounded, g))), F.lit(0))).otherwise(none) for g in TECH_TERMS]
+    groups = [F.when(reduce(or_, [_holds(lower, literals(t)) for t in g]), F.regexp_extract_all(lower, F.lit("|".join(map(bounded, g))), F.lit(0))).otherwise(none) for g in TECH_TERMS]
     return F.transform(F.concat(*groups), lambda t: F.regexp_replace(t, f"{SPACE}+", "-"))
 
 
@@ -73,12 +78,11 @@ def skills(text: Column, dictionary: list[str] | None = None) -> Column:
     characters alone are looked up among the text's words; for others a plain search goes before the
     pattern."""
     wanted = SKILLS if dictionary is None else dictionary
-    quote = lambda s: re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", s)
     plain = {s for s in wanted if re.fullmatch("[0-9a-z_]+", s)}
     every = F.array(*map(F.lit, wanted)).cast(_NONE)
 
     def of(lower: Column) -> Column:
-        marked = [F.when(F.contains(lower, F.lit(s)) & lower.rlike(bounded(quote(s))), F.lit(s)) for s in wanted if s not in plain]
+        marked = [F.when(F.contains(lower, F.lit(s)) & lower.rlike(bounded(quoted(s))), F.lit(s)) for s in wanted if s not in plain]
         words = F.regexp_extract_all(lower, F.lit("[0-9a-z_]+"), F.lit(0)) if plain else F.array().cast(_NONE)
         found = F.concat(words, F.array(*marked)) if marked else words
         return F.array_distinct(F.concat(F.array_intersect(every, found), _phrase_skills(lower)))

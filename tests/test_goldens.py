@@ -171,3 +171,20 @@ def test_history_table(spark, tmp_path):
 def test_text_clean_up(spark):
     assert value(spark, text.normalize(F.lit("a\r\n\n\n\nb \t c "))) == "a\n\nb c"
     assert value(spark, text.strip_xml(F.lit("<w:p>A&amp;lt;B</w:p>"))) == "A<B\n"
+
+
+def test_sql_functions(spark, sf_dir):
+    """The SQL functions give what the Columns give."""
+    from pyspark.sql import functions as F
+
+    from postmill.functions import sql
+    from postmill.functions import text as T
+
+    names = sql.register(spark, "pm_")
+    assert names == ["pm_tech_terms", "pm_tokens", "pm_phrase_skills", "pm_skills"]
+    cases = ["CI/CD, Node.js & REST  API", "c++17 and ASP.NET; full stack, 5+ years of experience", "the. And. for-", None, "", "machine learning c# f# .net react-native"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(30).union(spark.createDataFrame([(c,) for c in cases], "text string"))
+    docs.createOrReplaceTempView("pm_docs")
+    ours = docs.select(T.tech_terms(F.col("text")), T.tokens(F.col("text")), T.phrase_skills(F.col("text")), T.skills(F.col("text"))).collect()
+    theirs = spark.sql("SELECT pm_tech_terms(text), pm_tokens(text), pm_phrase_skills(text), pm_skills(text) FROM pm_docs").collect()
+    assert sorted(map(str, map(tuple, ours))) == sorted(map(str, map(tuple, theirs)))
