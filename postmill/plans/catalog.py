@@ -29,7 +29,7 @@ CATALOG: dict[str, tuple[Query, str]] = {}
 #: A profile and a dictionary that meet the corpus, whose words are invented.
 PROFILE = "Senior Python developer. Rest API, C++17, thre tion that ingth. 5+ years of experience, full-stack. des que ther"
 DICTIONARY = ["python", "r", "rest", "apache", "c++", "ther", "thre", "tion", "que", "des", "ing", "ed", "en", "er", "las", "die"]
-WORDS = "CASE p_partkey % 6 WHEN 0 THEN 'CI/CD, Node.js & REST  API, 5+ years of experience' WHEN 1 THEN 'C++17 and ASP.NET; Full-Stack, full stack' WHEN 2 THEN 'machine  learning, back end, c# f#' WHEN 3 THEN 'devops engineer in site reliability k8s' WHEN 4 THEN '10 years experience; data scientist' ELSE 'restapi natural language processing' END"
+WORDS = "coalesce(text, '') || ' ' || CASE doc_id % 6 WHEN 0 THEN 'CI/CD, Node.js & REST  API, 5+ years of experience' WHEN 1 THEN 'C++17 and ASP.NET; Full-Stack, full stack' WHEN 2 THEN 'machine  learning, back end, c# f#' WHEN 3 THEN 'devops engineer in site reliability k8s' WHEN 4 THEN '10 years experience; data scientist' ELSE 'restapi natural language processing' END"
 
 
 def query(sql: str):
@@ -101,9 +101,9 @@ def tokenize_documents(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", joined("t").alias("tokens"), F.size("t").cast("long").alias("n"))
 
 
-@query(f"SELECT p_partkey, array_to_string({Q.tech(WORDS)}, '|') AS terms FROM part")
+@query(f"SELECT doc_id, array_to_string({Q.tech(f'({WORDS})')}, '|') AS terms FROM documents")
 def tech_terms(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", joined(T.tech_terms(F.expr(WORDS))).alias("terms"))
+    return texts(spark, sf_dir).select("doc_id", joined(T.tech_terms(F.expr(WORDS))).alias("terms"))
 
 
 @query(f"WITH {Q.skill_cte('documents', 'doc_id', 'text')} SELECT doc_id, array_to_string(skills, '|') AS skills FROM sk")
@@ -111,9 +111,9 @@ def extract_skills(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", joined(T.skills(F.col("text"))).alias("skills"))
 
 
-@query(f"WITH {Q.skill_cte(f'(SELECT p_partkey, {WORDS} AS t FROM part)', 'p_partkey', 't')} SELECT p_partkey, array_to_string(skills, '|') AS skills FROM sk")
+@query(f"WITH {Q.skill_cte(f'(SELECT doc_id, {WORDS} AS t FROM documents)', 'doc_id', 't')} SELECT doc_id, array_to_string(skills, '|') AS skills FROM sk")
 def phrase_skills(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", joined(T.skills(F.expr(WORDS))).alias("skills"))
+    return texts(spark, sf_dir).select("doc_id", joined(T.skills(F.expr(WORDS))).alias("skills"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '. ', chr(13) || chr(10) || chr(10) || chr(10) || ' ' || chr(9)), chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
@@ -386,7 +386,8 @@ def html_extract(spark, sf_dir):
     k = F.col("page_id")
     card = text('<li class="job_seen_beacon"><h2 class="jobTitle"><a href="/jobs/view/', k, '"> Job ', k, '</a></h2><span class="companyName">ACME ', k % 7, "</span></li>")
     detail = F.when(k % 2 == 0, text('<div class="jobsearch-JobInfoHeader-title">Lead ', k, '</div><div id="jobDescriptionText">text</div>')).otherwise("")
-    pages = read(spark, sf_dir, "pages").select("page_id", F.lit("https://board.example/x").alias("url"), F.col("url").alias("own"), F.concat(card, card, detail).alias("html"))
+    # Before the whole page, which holds no posting of its own.
+    pages = spread(read(spark, sf_dir, "pages").select("page_id", F.lit("https://board.example/x").alias("url"), F.col("url").alias("own"), F.concat(card, card, detail, F.coalesce("html", F.lit(""))).alias("html")))
     out = W.extract(pages, "indeed").join(pages.select("page_id", "own"), "page_id")
     return out.select("page_id", "kind", "title", F.when(F.col("kind") == "card", F.col("url")).otherwise(F.col("own")).alias("url"), "company")
 
@@ -482,12 +483,12 @@ def mail_not_configured(spark, sf_dir):
 
 
 def _site_pages(spark, sf_dir, html: str):
-    """Pages with markup made of their ids."""
+    """Whole pages behind markup made of their ids."""
     parts = [F.lit(p) for p in html.split("#")]
     whole = parts[0]
     for p in parts[1:]:
         whole = F.concat(whole, F.col("page_id").cast("string"), p)
-    return read(spark, sf_dir, "pages").select("page_id", F.lit("https://board.example/x").alias("url"), whole.alias("html"))
+    return spread(read(spark, sf_dir, "pages").select("page_id", F.lit("https://board.example/x").alias("url"), F.concat(whole, F.coalesce("html", F.lit(""))).alias("html")))
 
 
 LINKEDIN = '<link rel="canonical" href="https://board.example/jobs/view/9#"><h1 class="the-job-title-x">Lead #</h1><div id="job-details">A long description #</div><div class="job-card-container"><a href="/jobs/view/#"> Job # </a><span class="job-card-container__primary-description">ACME</span></div><li data-occludable-job-id="1"><a href="/jobs/view/#">Again</a></li>'
