@@ -216,3 +216,24 @@ def test_pipeline(spark, sf_dir, documents):
     sizes = [r["n"] for r in docs.groupBy("shard").agg(F.count("*").alias("n")).collect()]
     assert max(sizes) - min(sizes) <= 1
     assert docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 3").count() == 0
+
+
+def test_pipeline_odd_rows(spark, sf_dir, documents):
+    """Nulls in any column, repeated rows, rows without an id, long texts and further columns pass every stage."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{i % 97}x{i}" for i in range(30_000))
+    one, two = "a plain text of some words that is nowhere else " * 3, "another plain text without any fault in it " * 3
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, one, "en", "x")] * 30 + [(2, one, "en", "y"), (None, one, "en", "x"), (None, two, None, None), (None, two, None, None), (3, None, None, None), (4, "", "en", "x"), (5, long, "en", "x"), (6, long + " end", "en", "y"), (7, item, "en", "x"), (8, f"before {item} behind", "en", "x")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "own", 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, shard string, taken int")
+    kept = p.drop_toxic(spark, docs, sf_dir)
+    assert kept.columns == p.COLUMNS and kept.count() == len(rows)
+    kept = p.drop_near_duplicates(spark, kept, sf_dir)
+    ids = collections.Counter(r["doc_id"] for r in kept.collect())
+    assert {i: n for i, n in ids.items() if i != 8} == {1: 1, None: 1, 3: 1, 5: 1, 7: 1}  # 8 is near 7 if the item is long
+    kept = p.drop_contaminated(spark, kept.persist(), sf_dir).persist()
+    assert {1, 3, 5} <= {r["doc_id"] for r in kept.collect()} and not {7, 8} & {r["doc_id"] for r in kept.collect()}
+    out = p.shard(spark, p.mix(spark, kept, sf_dir), sf_dir).collect()
+    assert {r["doc_id"] for r in out} <= {1, 3, 5, None} and sorted(r["slot"] for r in out if r["shard"] == 0) == list(range(sum(r["shard"] == 0 for r in out)))
+    assert p.run.__name__ == "run" and p.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
