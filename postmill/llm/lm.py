@@ -243,7 +243,8 @@ class LanguageModel:
         Base: exact counts c of N tokens and V types, the sum of log10((c + 1) / (N + V + 1)). Score:
         the sum of log10((c(h, w) + MU p(w)) / (c(h) + MU)) with p(w) = (c(w) + 1) / (N + V + 1) and all
         counts read from the filter; h is the token before, or the start. Null and empty texts have
-        one token, the end. Rows are scored one by one: repeated rows and ids each give a row."""
+        one token, the end. Rows are scored one by one: repeated rows and ids each give a row. Other columns
+        are ignored; an empty table gives no rows, and a model of no texts knows no token."""
         head = self.spark.sparkContext.broadcast(self.head())  # at most 1 / HEAD words
         unigrams = self._broadcast(0)
         bits, n_docs, total = self.bits, float(self.docs), float(self.tokens + self.types + 1)
