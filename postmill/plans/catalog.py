@@ -149,7 +149,7 @@ def pair_score_closed(spark, sf_dir):
     return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
-@query(f"WITH {TOKENS}, {Q.token_cte('(SELECT item_id, text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))', 'item_id', 'text', 'bt')} SELECT doc_id, CASE WHEN len(list_intersect(tok.tokens, bt.tokens)) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS closed, CASE WHEN len(list_intersect(tok.tokens, bt.tokens)) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS generic FROM tok, bt")
+@query(f"WITH {TOKENS}, {Q.token_cte('(SELECT item_id, text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))', 'item_id', 'text', 'bt')}, p AS (SELECT doc_id, len(list_intersect(tok.tokens, bt.tokens)) AS s, len(tok.tokens) AS a, len(bt.tokens) AS b, ln(2.0::DOUBLE / 3) AS low FROM tok, bt) SELECT doc_id, CASE WHEN s > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS closed, CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE floor(s * (low / a) * (low / b) / (sqrt(s * pow(low / a, 2)) * sqrt(s * pow(low / b, 2))) * 100 * 100 + 0.5) / 100 END AS generic FROM p")
 def pair_score_generic(spark, sf_dir):
     first = read(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(T.tokens(F.col("text")).alias("b"))
     both = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("a")).crossJoin(F.broadcast(first))  # one row
