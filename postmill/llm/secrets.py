@@ -141,40 +141,73 @@ class SecretModel:
         return F.transform(withed, lambda x: F.struct(x["c"]["rule"].alias("rule"), x["c"]["start"].alias("start"), x["c"]["end"].alias("end"), x["c"]["found"].alias("found"), self.score(lambda n: x["f"][n]).alias("score")))
 
 
-def unbeaten(found: Column) -> Column:
-    """The spans (rule, start, end, found, score) that no overlapping one beats: by a higher score, or an equal
-    one of an earlier rule. Spans of one rule do not overlap, so a pass by rising start holds the last
-    of each rule, which leaves, beaten or not, when the next of its rule comes."""
+KIND = "struct<start:int,end:int,rule:string,score:double,found:string,beaten:boolean>"
+#: Rules that propose whole values: what lies within such a span is a piece of it.
+WHOLE = ("prefixed", "assigned")
+
+
+def _met(found: Column, meeting) -> Column:
+    """A pass by rising start over spans (rule, start, end, found, score), of which those of one rule do not
+    overlap: it holds the last of each rule, which leaves when the next of its rule comes. ``meeting(held,
+    new, first)`` tells of two spans that overlap, ``first`` being whether the held one's rule stands first,
+    whether the held one is beaten, whether the new one is, and what each one's score then is at least. Gives
+    all spans with ``beaten``."""
     span = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rule"].alias("rule"), c["score"].alias("score"), c["found"].alias("found"), F.lit(False).alias("beaten")))
-    kind = "struct<start:int,end:int,rule:string,score:double,found:string,beaten:boolean>"
-    last = F.array(*[F.from_json(F.lit(f'{{"start": {2**31 - 1}, "end": {2**31 - 1}, "rule": "{rule}"}}'), kind) for rule in RULES])
     rules = list(RULES)
+    last = F.array(*[F.from_json(F.lit(f'{{"start": {2**31 - 1}, "end": {2**31 - 1}, "rule": "{rule}"}}'), KIND) for rule in rules])
 
     def step(state: Column, x: Column) -> tuple[Column, Column]:
-        meets = lambda s: s.isNotNull() & (s["end"] > x["start"])
-        better = lambda a, b, first: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & first)
-        loses, slots = F.lit(False), []
+        slots, beaten, scores = [], x["beaten"], [x["score"]]
         for i, rule in enumerate(rules):
-            s, other = state[rule], x["rule"] != rule
-            before = F.lit(False)  # whether the slot's rule stands before x's
-            for later in rules[i + 1 :]:
-                before = before | (x["rule"] == later)
-            loses = loses | F.coalesce(other & meets(s) & better(s, x, before), F.lit(False))
-            hit = F.coalesce(other & meets(s) & better(x, s, ~before), F.lit(False))
-            slots.append(F.when(other & hit, s.withField("beaten", F.lit(True))).when(other, s))
-        new = x.withField("beaten", loses)
+            s = state[rule]
+            meets = F.coalesce((x["rule"] != rule) & (s["end"] > x["start"]), F.lit(False))
+            s_loses, x_loses, s_least, x_least = meeting(s, x, x["rule"].isin(rules[i + 1 :]))
+            met = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rule"].alias("rule"), F.greatest(s["score"], s_least).alias("score"), s["found"].alias("found"), (s["beaten"] | s_loses).alias("beaten"))
+            slots.append(F.when(meets, met).otherwise(s))
+            beaten, scores = beaten | (meets & x_loses), [*scores, F.when(meets, x_least)]
+        new = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rule"].alias("rule"), F.greatest(*scores).alias("score"), x["found"].alias("found"), beaten.alias("beaten"))
         out = F.coalesce(*[F.when(x["rule"] == rule, state[rule]) for rule in rules])
-        return F.struct(*[F.when(x["rule"] == rule, new).otherwise(slot).alias(rule) for rule, slot in zip(rules, slots)]), F.when(~out["beaten"], out)
+        return F.struct(*[F.when(x["rule"] == rule, new).otherwise(slot).alias(rule) for rule, slot in zip(rules, slots)]), out
 
-    zero = F.struct(*[F.lit(None).cast(kind).alias(rule) for rule in rules])
-    kept = scan(F.concat(F.sort_array(span), last), zero, step, kind)
+    zero = F.struct(*[F.lit(None).cast(KIND).alias(rule) for rule in rules])
+    return scan(F.concat(F.sort_array(span), last), zero, step, KIND)
+
+
+def _kept(spans: Column) -> Column:
+    kept = F.filter(spans, lambda c: ~c["beaten"])
     return F.transform(kept, lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["end"].alias("end"), c["found"].alias("found"), c["score"].alias("score")))
 
 
+def wholes(found: Column) -> Column:
+    """The spans without those that lie within one of a ``WHOLE`` rule (of equal ones the first rule's stays),
+    which takes the largest score of its pieces. Whether a value is found whole thus doesn't hang on how
+    the forest scores its pieces."""
+
+    def meeting(s: Column, x: Column, first: Column) -> tuple[Column, ...]:
+        same = (s["start"] == x["start"]) & (s["end"] == x["end"])
+        inside = lambda a, b, wins: b["rule"].isin(*WHOLE) & (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (~same | ~a["rule"].isin(*WHOLE) | wins)
+        x_in, s_in = inside(x, s, first), inside(s, x, ~first)
+        return s_in, x_in, F.when(x_in, x["score"]), F.when(s_in, s["score"])
+
+    return _kept(_met(found, meeting))
+
+
+def unbeaten(found: Column) -> Column:
+    """The spans (rule, start, end, found, score) that no overlapping one beats: by a higher score, or an equal
+    one of an earlier rule."""
+
+    def meeting(s: Column, x: Column, first: Column) -> tuple[Column, ...]:
+        wins, none = (s["score"] > x["score"]) | ((s["score"] == x["score"]) & first), F.lit(None).cast("double")
+        return ~wins, wins, none, none
+
+    return _kept(_met(found, meeting))
+
+
 def scan_secrets(df: DataFrame, text: str = "text", path: str | None = None, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Adds ``secrets``: array of (start, end, rule, score, sha256) of the candidates that the forest
-    holds for secrets, in code points, end exclusive, by start. Of spans that overlap, the one of the
-    highest score stays (ties: the first rule). The secret itself is given by its hash.
+    holds for secrets, in code points, end exclusive, by start. A span of a known form or an assigned value stays whole: pieces within it
+    only lend it their score. Of others that overlap, the one of the highest score stays (ties: the first
+    rule). The secret itself is given by its hash.
 
     Whole texts are scanned; null is an empty text, which has none; a null path is an empty one. Rows
     are kept as they are; a column named ``secrets`` is replaced. The dictionary is learned from all texts."""
@@ -184,6 +217,7 @@ def scan_secrets(df: DataFrame, text: str = "text", path: str | None = None, lab
     rows = df.select(F.struct(*own).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"), place.alias("p"))
     rows = rows.select("row", "t", "p", candidates(F.col("t")).alias("c"))
     rows = rows.select("row", F.when(F.size("c") > 0, model.judged(F.col("t"), F.col("p"), F.col("c"))).otherwise(F.array().cast("array<struct<rule:string,start:int,end:int,found:string,score:double>>")).alias("c"))
+    rows = rows.select("row", F.when(F.size("c") > 1, wholes(F.col("c"))).otherwise(F.col("c")).alias("c"))
     rows = rows.select("row", F.filter("c", lambda c: c["score"] >= threshold).alias("c"))
     kept = F.when(F.size("c") > 1, unbeaten(F.col("c"))).otherwise(F.col("c"))
     out = F.sort_array(F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["rule"].alias("rule"), c["score"].alias("score"), F.sha2(c["found"].cast("binary"), 256).alias("sha256"))))

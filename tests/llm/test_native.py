@@ -185,6 +185,26 @@ def test_long_secrets(spark):
         assert hashlib.sha256(value.encode()).hexdigest() in {s["sha256"] for s in r["secrets"]}, (r["doc_id"], value[:20])
 
 
+def test_whole_secrets(spark):
+    """Values of known forms and assigned ones with symbols are found whole, by any forest and dictionary."""
+    rng, want = random.Random(4), []
+    some = lambda n, more="": "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789" + more) for _ in range(n))
+    for i in range(1000):
+        jwt = i % 2 == 0
+        cut = rng.randrange(3, 30)
+        value = f"eyJ{some(rng.randrange(20, 60))}.{some(rng.randrange(20, 90))}.{some(43, '-_')}" if jwt else some(cut) + rng.choice("!#$%") + some(33 - cut) + rng.choice("!#$%&*") + some(12)
+        want.append((i, f"und {value} le" if jwt else f'secret = "{value}" and', value))
+    docs = spark.createDataFrame([w[:2] for w in want], "doc_id long, text string")
+    for words in (["alpha"], ["en", "er", "ing", "the"]):
+        spans = docs.select("doc_id", "text", secrets.candidates(F.col("text")).alias("c"))
+        for seed in (1, 2):
+            noise = F.transform("c", lambda c: F.struct(c["rule"].alias("rule"), c["start"].alias("start"), c["end"].alias("end"), c["found"].alias("found"), ((F.xxhash64(c["found"], F.lit(words[0]), F.lit(seed)) % 1000) / 1000.0).alias("score")))
+            got = {r["doc_id"]: {s["found"] for s in r["c"]} for r in spans.select("doc_id", secrets.unbeaten(secrets.wholes(noise)).alias("c")).collect()}
+            assert all(got[i] == {value} for i, _, value in want)
+    out = {r["doc_id"]: [s["sha256"] for s in r["secrets"]] for r in secrets.scan_secrets(docs).collect()}
+    assert sum(out[i] == [hashlib.sha256(value.encode()).hexdigest()] for i, _, value in want) == 1000
+
+
 def test_secret_model(spark):
     """Held-out findings, and a dictionary that comes from the texts."""
     model = secrets.SecretModel(spark)
