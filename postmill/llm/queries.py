@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, decontam, lm, mixing, neardup, pii, secrets, sharding, toxicity, warc
+from . import ann, codes, decontam, langid, lm, mixing, neardup, pii, secrets, sharding, toxicity, warc
 from .common import table, word_count, written
 
 
@@ -93,6 +93,13 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("vec_id", "code", "error", "label_error", F.lit(fitted.books.sha256()).alias("codebooks_sha256"))
 
 
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents by a network that learned from those outside fold 1 of 3."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.LanguageNetwork(docs.filter(_fold(3) != 1))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -101,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op2_secrets, op3_warc, op4_pii, op5_neardup, op6_ann, op7_toxicity, op8_mix, op9_decontam, op10_lm, op11_codes, pipeline)}
+    return {f.__name__: f for f in (op1_shard, op2_secrets, op3_warc, op4_pii, op5_neardup, op6_ann, op7_toxicity, op8_mix, op9_decontam, op10_lm, op11_codes, op12_langid, pipeline)}
 
 
 #: A SHA-1 in base32: each of 32 digits are five bits out of two hexadecimal digits.
