@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, decontam, langid, lm, mixing, neardup, pii, secrets, sharding, toxicity, warc
+from . import ann, codes, decontam, langid, lm, mixing, neardup, pii, secrets, sharding, toxicity, turns, warc
 from .common import table, word_count, written
 
 
@@ -100,6 +100,24 @@ def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults that the crc32 of ``conv_id:turn`` gives, nulls as one space: rows (conv_id, turn,
+    role, text, there)."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    role = F.when(kind == 4, "user").otherwise(space("role"))
+    out = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (kind != 0).alias("there"), F.when(kind == 3, 2).otherwise(1).alias("times"))
+    return out.withColumn("time", F.explode(F.sequence(F.lit(1), "times"))).drop("times", "time")
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged and repaired: what was wrong, the cheapest edits, and a digest of the result."""
+    done = turns.repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("there"))
+    found = done.digests().withColumnRenamed("conv_id", "c")
+    return done.summary.join(found, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` over all documents."""
     import corpus_pipeline
@@ -108,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_shard, op2_secrets, op3_warc, op4_pii, op5_neardup, op6_ann, op7_toxicity, op8_mix, op9_decontam, op10_lm, op11_codes, op12_langid, pipeline)}
+    return {f.__name__: f for f in (op1_shard, op2_secrets, op3_warc, op4_pii, op5_neardup, op6_ann, op7_toxicity, op8_mix, op9_decontam, op10_lm, op11_codes, op12_langid, op13_turns, pipeline)}
 
 
 #: A SHA-1 in base32: each of 32 digits are five bits out of two hexadecimal digits.
@@ -131,7 +149,35 @@ def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
     return f"WITH {kept}, {cut}, {', '.join(step)}, {last} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN c USING (r), h"
 
 
+def _turns_sql() -> str:
+    """One row of a conversation after the other, with the cheapest way into each of the four states."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    add = lambda s, cost, edit, line="": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}', 't': {s}.t || {line or chr(39) * 2}}}"
+    user, assistant, own = "'user:' || chr(10)", "'assistant:' || chr(10)", "e.role || ':' || e.text || chr(10)"
+    new = lambda role: f"'{role}:' || e.text || chr(10)"
+    rows = "SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, k FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc32(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) % 20 AS k FROM conversations)"
+    crc = "crc AS (SELECT list(v ORDER BY i) AS t FROM (WITH RECURSIVE r AS (SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS n FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM r WHERE n < 8) SELECT i, v FROM r WHERE n = 8))"
+    keys = "keys AS (SELECT DISTINCT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations), hashed AS (SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM keys, crc)"
+    rows = rows.replace("crc32(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) % 20 AS k FROM conversations", "h % 20 AS k FROM conversations JOIN hashed ON key = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    faults = f"d AS (SELECT *, row_number() OVER () AS id FROM d0, LATERAL (SELECT unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END))) WHERE k <> 0), o AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS i, row_number() OVER w AS n, lag(substr(role, 1, 1)) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, id) AS seen, rtrim(text, {space}) AS solid FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, id)), e AS (SELECT *, CASE WHEN solid = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o)"
+    insert = f"least(f.s2, {add('f.s0', 3, 'I', user)}, {add('f.s1', 3, 'I', user)}, {add('f.s3', 3, 'I', user)})"
+    closed = f"(SELECT conv_id, n, s0, s1, s2, least(s3, {add('s2', 3, 'I', assistant)}) AS s3 FROM (SELECT conv_id, n, s0, s1, {insert} AS s2, s3 FROM f))"
+    to_user = f"least(f.s0, f.s1, f.s3)"
+    keep = lambda ok, s: f"CASE WHEN {ok} THEN {add(s, 't', 'K', own)} END"
+    stay = lambda s: add(s, 4, "D")
+    live = "e.fault NOT IN ('b', 'd')"
+    role = lambda s, name: f"CASE WHEN {live} THEN {add(s, '3 + t', 'R', new(name))} END"
+    step = f"SELECT e.conv_id, e.n, {stay('f.s0')} AS s0, least({stay('f.s1')}, {keep(live + chr(32) + 'AND e.i = ' + chr(39) + 's' + chr(39), 'f.s0')}) AS s1, least({stay('f.s2')}, {keep(live + ' AND e.i = ' + chr(39) + 'u' + chr(39), 'f.su')}, {role('f.su', 'user')}) AS s2, least({stay('f.s3')}, {keep(live + ' AND e.i = ' + chr(39) + 'a' + chr(39), 'f.s2')}, {role('f.s2', 'assistant')}) AS s3 FROM (SELECT *, {to_user} AS su FROM {closed} f) f JOIN (SELECT *, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS t FROM e) e ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.n = f.n + 1"
+    none = "{'c': 1000000000000, 'a': '', 't': ''}"
+    zero = "{'c': 0, 'a': '', 't': ''}"
+    kind = "::STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    run = f"f AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, {zero}{kind} AS s0, {none}{kind} AS s1, {none}{kind} AS s2, {none}{kind} AS s3 FROM conversations UNION ALL {step})"
+    counts = "g AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id)"
+    ends = f"z AS (SELECT x.conv_id, least(s0, s3) AS s, g.* EXCLUDE (conv_id) FROM {closed} x LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id WHERE x.n = coalesce(g.rows, 0))"
+    return f"WITH RECURSIVE {crc}, {keys}, d0 AS ({rows}), {faults}, {run}, {counts}, {ends} SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, s.c AS cost, s.a AS audit, sha256(substr(s.t, 1, greatest(length(s.t) - 1, 0))) AS repaired_sha256 FROM z"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose rows it can express; the others have models, random draws or hashes in their
     rows and are tested against brute force, exact round trips or held-out rows."""
-    return {"op3_warc": _WARC, "op11_codes": _codes_sql()}
+    return {"op3_warc": _WARC, "op11_codes": _codes_sql(), "op13_turns": _turns_sql()}
