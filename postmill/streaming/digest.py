@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -101,6 +103,54 @@ def rate_limited(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, recipie
     return out if matches else out.drop("n")
 
 
+LIMITED = "recipient long, at long, result string, retry_after long"
+
+
+class _Limiter(StatefulProcessor):
+    """State of a recipient: when mail was last sent, until the cooldown after it is over."""
+
+    def __init__(self, gap: int, configured: bool):
+        self.gap, self.configured = gap, configured
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = [(f["at"].to_numpy(), f["delivered"].fillna(False).to_numpy(bool)) for f in rows]
+        at, ok = (np.concatenate(x) for x in zip(*frames))
+        before = last = self.last.get()[0] if self.last.exists() else None
+        result, retry = [], []
+        order = np.lexsort((ok, at))
+        for now, sent in zip(at[order].tolist(), ok[order].tolist()):
+            wait = 0 if last is None else last + self.gap - now
+            result.append("rate_limited" if wait > 0 else "smtp_not_configured" if not self.configured else "sent" if sent else "send_failed")
+            retry.append(-(-wait // 1000) if wait > 0 else None)
+            last = now if result[-1] == "sent" else last
+        if last != before:
+            if before is not None and before + self.gap in self.handle.listTimers():
+                self.handle.deleteTimer(before + self.gap)
+            self.handle.registerTimer(last + self.gap)
+            self.last.update((last,))
+        yield pd.DataFrame({"recipient": [key[0]] * len(at), "at": at[order].tolist(), "result": result, "retry_after": retry}, dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[0] + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()  # requests to come are later than the cooldown
+        yield pd.DataFrame({"recipient": [], "at": [], "result": [], "retry_after": []}, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, configured: bool = True, late: str = "1 second", schema: str = LIMITED) -> DataFrame:
+    """``rate_limited`` over a stream of requests (recipient, at in milliseconds, delivered), which come in order but
+    for ``late``. State is a number for each recipient to whom mail was sent within the cooldown; a timer
+    removes it after that. ``schema`` names the recipient's type."""
+    timed = requests.withColumn("_at", F.timestamp_millis("at")).withWatermark("_at", late)
+    return timed.groupBy("recipient").transformWithStateInPandas(_Limiter(int(minutes * 60_000), configured), schema, "append", "EventTime")
+
+
 def alarm_times(profiles: DataFrame, start: str, end: str) -> DataFrame:
     """Rows (id, runs_at): the scans of enabled profiles (id, interval in minutes, enabled) between two times,
     the first one period after the start."""

@@ -54,6 +54,10 @@ class MatchLoop:
         known = [v for v in self._versions() if before is None or v < before]
         return self.spark.read.parquet(f"{self.folder}/version={known[-1]}") if known else None
 
+    def matches(self) -> DataFrame:
+        """All matches of all batches so far, with their ``batch_id``."""
+        return self.spark.read.parquet(f"{self.folder}/matches=*")
+
     def new_matches(self, jobs: DataFrame, history: DataFrame | None) -> DataFrame:
         """What a batch adds. Scans skip the platform gate and keep every score; the threshold then only
         decides what is notified."""

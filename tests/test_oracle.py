@@ -3,7 +3,7 @@
 import pytest
 
 import oracle
-from postmill.plans import catalog
+from postmill.plans import catalog, replays  # noqa: F401
 
 
 @pytest.fixture(scope="module")
