@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, text
 from ..functions.dialect import blank_to_null
+from ..sources.tables import written
 
 # Caps of history, re-scored matches and notifications.
 HISTORY_CAP, RESCORED, NOTIFIED = 200, 10, 5
@@ -109,22 +110,47 @@ def digest_rows(matches: DataFrame) -> DataFrame:
     return matches.select("title", "company", "url", "score", "matched_skills", "missing_skills")
 
 
-def digest(matches: DataFrame, recipient: str, order: str = "ord") -> DataFrame:
-    """Rows (recipient, n, top_score, subject, body). A recipient's matches make one message, as a mail
-    does; the body lists them best first."""
+def _digest_line() -> Column:
+    """A match as a row of a digest's table."""
     score = F.col("score")
     colour = F.when(score >= 80, "#10B981").when(score >= 60, "#F59E0B").otherwise("#EF4444")  # fixed values
     listed = lambda c: F.coalesce(blank_to_null(F.array_join(c, ", ")), F.lit("N/A"))
     cell = lambda c: F.concat(F.lit("<td>"), text.escape_html(c), F.lit("</td>"))
     link = F.concat(F.lit('<td><a href="'), text.escape_html(F.coalesce(blank_to_null(F.col("url")), F.lit("#"))), F.lit('">'), text.escape_html(F.coalesce(blank_to_null(F.col("title")), F.lit("Untitled"))), F.lit("</a> "), text.escape_html(F.col("company")), F.lit("</td>"))
     badge = F.concat(F.lit('<td style="color:'), colour, F.lit('">'), formats.number_text(score), F.lit("%</td>"))
-    row = F.concat(F.lit("<tr>"), link, badge, cell(listed(F.col("matched_skills"))), cell(listed(F.col("missing_skills"))), F.lit("</tr>"))
-    lines = matches.select(recipient, "score", F.struct((-score).alias("s"), F.col(order).alias("o"), row.alias("row")).alias("line"))
+    return F.concat(F.lit("<tr>"), link, badge, cell(listed(F.col("matched_skills"))), cell(listed(F.col("missing_skills"))), F.lit("</tr>"))
+
+
+def digest(matches: DataFrame, recipient: str, order: str = "ord") -> DataFrame:
+    """Rows (recipient, n, top_score, subject, body). A recipient's matches make one message, as a mail
+    does; the body lists them best first. ``digest_parts`` takes any number of matches."""
+    lines = matches.select(recipient, "score", F.struct((-F.col("score")).alias("s"), F.col(order).alias("o"), _digest_line().alias("row")).alias("line"))
     out = lines.groupBy(recipient).agg(F.count("*").alias("n"), F.max("score").alias("top_score"), F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["row"]), "").alias("rows"))
     count = formats.plural(F.col("n"), "new match", "new matches")
     return out.select(recipient, "n", "top_score", F.concat(count, F.lit(" (top score: "), formats.number_text(F.col("top_score")), F.lit("%)")).alias("subject"), F.concat(F.lit("<p>"), count, F.lit(" found</p><table>"), "rows", F.lit("</table>")).alias("body"))
 
 
+def digest_parts(matches: DataFrame, recipient: str, order: str = "ord", size: int = 1 << 20) -> DataFrame:
+    """Rows (recipient, part, n, body): the table rows of ``digest`` in parts of about ``size`` bytes; a recipient's
+    parts from 0 on, joined, are all its rows, best first. A part holds the lines that begin within its stretch
+    of bytes, so it is longer by less than a line; a longer line leaves parts out.
+
+    Lines are sorted over all recipients by ranges, so one recipient's lines lie in as many tasks as they need; a
+    line begins at the bytes of the ranges before it and of the lines before it in its own."""
+    lines = matches.select(recipient, (-F.col("score")).alias("_s"), F.col(order).alias("_o"), _digest_line().alias("_row"))
+    by = [F.col(recipient).asc(), F.col("_s").asc(), F.col("_o").asc()]
+    lines = lines.repartitionByRange(*by).select("*", F.octet_length("_row").cast("long").alias("_size"), F.spark_partition_id().alias("_range"))
+    lines = written(lines, "digest-lines")
+    before = lambda w: F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = lines.groupBy(F.col(recipient).alias("_r"), F.col("_range").alias("_k")).agg(F.sum("_size").alias("_size"))
+    sums = sums.select("_r", "_k", before(Window.partitionBy("_r").orderBy("_k")).alias("_ahead"))  # a row a range
+    within = lines.withColumn("_within", before(Window.partitionBy(recipient, "_range").orderBy("_s", "_o", "_row")))
+    placed = within.join(sums, F.col(recipient).eqNullSafe(F.col("_r")) & (F.col("_range") == F.col("_k")))
+    part = F.floor((F.col("_ahead") + F.col("_within")) / size).cast("long")
+    met = placed.groupBy(recipient, part.alias("part")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("_s", "_o", "_row"))).alias("_lines"))
+    return met.select(recipient, "part", "n", F.array_join(F.transform("_lines", lambda x: x["_row"]), "").alias("body"))
+
+
 def latest_status(updates: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
     """The last status written for each key."""
     return updates.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias(status))

@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 SCHEMA = "id long, job_title string, company string, url string, score double, platform string, matched_skills string, missing_skills string, matched_at string, created_at string"
 # Default and largest page.
 PAGE, MOST = 100, 500
 
 
-def with_defaults(items: DataFrame, now: str) -> DataFrame:
-    """Rows to insert with their defaults; a NaN score is 0, skills become JSON text."""
+def with_defaults(items: DataFrame, now: str, order: list[str] = []) -> DataFrame:
+    """Rows to insert with their defaults; a NaN score is 0, skills become JSON text. Columns of ``order`` are
+    kept as _by0, _by1, ..."""
     have = set(items.columns)
     col = lambda c, t: F.col(c) if c in have else F.lit(None).cast(t)
     blank = lambda c: F.coalesce(col(c, "string"), F.lit("")).alias(c)
     skills = lambda c: F.coalesce(F.to_json(col(c, "array<string>")), F.lit("[]")).alias(c)
     score = F.nanvl(F.coalesce(col("score", "double"), F.lit(0.0)), F.lit(0.0)).alias("score")
     at = F.coalesce(F.nullif(col("matched_at", "string"), F.lit("")), F.lit(now)).alias("matched_at")
-    return items.select(blank("job_title"), blank("company"), blank("url"), score, blank("platform"), skills("matched_skills"), skills("missing_skills"), at, F.lit(now).alias("created_at"))
+    return items.select(blank("job_title"), blank("company"), blank("url"), score, blank("platform"), skills("matched_skills"), skills("missing_skills"), at, F.lit(now).alias("created_at"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(order)])
 
 
 def lossy_projection(matches: DataFrame) -> DataFrame:
@@ -29,12 +32,28 @@ def lossy_projection(matches: DataFrame) -> DataFrame:
     return matches.select(F.col("title").alias("job_title"), blank("company"), blank("url"), "score", blank("platform"), "matched_at")
 
 
-def insert(items: DataFrame, path: str, now: str) -> None:
-    """Appends the rows with new ids: unique and rising, not gapless. The table's own commit makes the
-    batch one transaction."""
+def numbered(rows: DataFrame, order: list, start: int = 1, name: str = "id") -> DataFrame:
+    """Rows with the numbers ``start``, ``start`` + 1, ... by ``order``, without gaps and without one task for all: rows
+    are written in ranges of the order, each range's rows counted, and each row's place within its range is
+    added to the rows before that range (a row a range)."""
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The lower bits of this id are the place within the task.
+    place = F.monotonically_increasing_id()
+    staged = written(sorted_.select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_place")), "numbered")
+    counts = staged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    return staged.join(F.broadcast(before), "_part").withColumn(name, F.lit(start) + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def insert(items: DataFrame, path: str, now: str, order: list[str] | None = None) -> None:
+    """Appends the rows with new ids: the next ones, without gaps, by ``order`` (columns of the items; without it by
+    what the rows hold). The table's own commit makes the batch one transaction. One writer at a time: the ids
+    follow the largest one committed."""
     spark = items.sparkSession
     before = read(spark, path).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    with_defaults(items, now).withColumn("id", F.lit(before + 1) + F.monotonically_increasing_id()).select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(path)
+    full = with_defaults(items, now, order or [])
+    by = [f"_by{i}" for i in range(len(order))] if order else full.columns
+    numbered(full, [F.col(c) for c in by], before + 1).select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +98,51 @@ def page(rows: DataFrame, limit=None, offset=None, min_score=None, platform: str
     return out.limit(limit) if limit >= 0 else out
 
 
+class PagedTable:
+    """A history written in ranges of its order, newest first, ties by the larger id: a page far behind is read from the
+    range that holds it, instead of sorting all rows before it. ``index``: rows (part, n, before) of the
+    unfiltered table, a row a range. A filter's counts take one pass over its columns."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def write(cls, rows: DataFrame, path: str, ranges: int | None = None) -> PagedTable:
+        order = [F.desc("matched_at"), F.desc("id")]
+        cut = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+        cut.withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{path}/rows")
+        table = cls(rows.sparkSession, path)
+        table._counts(table.rows()).write.parquet(f"{path}/index")
+        return table
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    @staticmethod
+    def _counts(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("part").agg(F.count("*").alias("n"))
+        return counts.select("part", "n", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+
+    def page(self, limit=None, offset=None, min_score=None, platform: str | None = None) -> DataFrame:
+        """The rows of ``page``."""
+        limit, offset, least = page_arguments(limit, offset, min_score)
+        rows = self.rows()
+        filtered = min_score is not None or platform
+        if min_score is not None:
+            rows = rows.filter(F.col("score") >= least)
+        if platform:
+            rows = rows.filter(F.col("platform") == platform)
+        index = self._counts(rows) if filtered else self.spark.read.parquet(f"{self.path}/index")
+        offset = max(offset, 0)
+        wanted = index.filter(F.col("before") + F.col("n") > offset)
+        wanted = wanted.filter(F.col("before") < offset + limit) if limit >= 0 else wanted
+        parts = wanted.orderBy("part").collect()  # the ranges of one page
+        out = rows.filter(F.col("part").isin([r["part"] for r in parts])).drop("part").orderBy(F.desc("matched_at"), F.desc("id"))
+        skip = offset - parts[0]["before"] if parts else 0
+        out = out.offset(skip) if skip > 0 else out
+        return out.limit(limit) if limit >= 0 else out
+
+
 def total(rows: DataFrame) -> DataFrame:
     """Number of all rows, whatever a page filters."""
     return rows.agg(F.count("*").alias("total"))

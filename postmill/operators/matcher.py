@@ -125,5 +125,19 @@ def match_many(jobs: DataFrame, profiles: DataFrame, k: int, job_key: str = "job
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def shared_token_counts(docs: DataFrame, profiles: DataFrame, key: str, profile_key: str, tokens: str = "tokens") -> DataFrame:
+    """Rows (profile_key, n): how many documents share a token with each profile (those with none are left out). Keys
+    of documents are whole numbers; a repeated key counts once, a null one not at all.
+
+    Documents with a token are bits: one bitmap for each token that profiles hold and each 32768 keys, built where the
+    documents are read. A profile's bitmaps are joined by OR, so nothing is made, moved or grouped by pair."""
+    asked = profiles.select(profile_key, F.explode(F.array_distinct(tokens)).alias("x"))
+    held = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.explode_outer(tokens).alias("x"))
+    held = held.join(asked.select("x").distinct(), "x", "left_semi")
+    maps = held.groupBy("x", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    ored = maps.join(asked, "x").groupBy(profile_key, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return ored.groupBy(profile_key).agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
 def default_dictionary() -> list[str]:
     return list(SKILLS)

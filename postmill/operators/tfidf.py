@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def _terms(docs: DataFrame, *columns: Column | str, tokens: Column) -> DataFrame:
     """The columns with each token as ``term``. Outer: Spark would infer a filter on the size of the array from
@@ -50,6 +52,67 @@ def cosine_sparse(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFra
     return dots.join(norm(a, a_key, "na"), a_key).join(norm(b, b_key, "nb"), b_key).select(a_key, b_key, F.when(F.col("na") * F.col("nb") == 0, 0.0).otherwise(F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
 
 
+def _norms(vectors: DataFrame, key: str) -> DataFrame:
+    return vectors.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
+
+
+class TopCosine:
+    """The ``k`` vectors of ``a`` nearest each of ``b`` by cosine, both in long form (key, term, weight): rows (b_key,
+    a_key, cosine, rank), ties to the smaller a_key; cosines are cut to six decimals, and those of 0 don't count.
+
+    Exact, and without comparing all that share a term. A term can add no more to a pair than the query's weight
+    times the term's largest weight in ``a``. The ``k`` vectors of largest weight in each of a query's ``seeds``
+    strongest terms, scored in full, give a cosine that the query's k-th best reaches at least. Its weakest terms, whose
+    bounds together stay below that, can't lift a vector into the result alone: only vectors that hold one of
+    the others are ``candidates``, and of these only those are scored in full that could still get there
+    with all the weak terms. Frequent terms are weak ones, so their long lists are met by few queries if any.
+
+    ``compared``: the candidates' number, for comparison with that of pairs that share a term."""
+
+    EDGE = 2e-6  # cosines are cut to six decimals, and sums differ in their last bits
+
+    def __init__(self, a: DataFrame, b: DataFrame, a_key: str, b_key: str, k: int, seeds: int = 3):
+        unit = lambda v, key, name, out: v.filter("weight <> 0").join(_norms(v, key), key).select(F.col(key).alias(name), "term", (F.col("weight") / F.col("_norm")).alias(out))
+        lists = written(unit(a, a_key, "a", "wa"), "cosine-lists")
+        most = lists.groupBy("term").agg(F.max(F.abs("wa")).alias("most"))
+        asked = unit(b, b_key, "b", "wb").join(most, "term").withColumn("bound", F.abs("wb") * F.col("most"))
+        asked = written(asked.select("b", "term", "wb", "bound"), "cosine-queries")
+        by_bound = Window.partitionBy("b").orderBy(F.desc("bound"), "term")
+        strong = asked.withColumn("_n", F.row_number().over(by_bound)).filter(F.col("_n") <= seeds).select("b", "term")
+        # The longest lists keep k rows in every task before anything moves.
+        tops = lists.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(F.desc(F.abs("wa")), "a"))).filter(F.col("_n") <= k).select("term", "a")
+        seeded = strong.join(tops, "term").select("b", "a").distinct()
+        scored = self._scored(seeded, lists, asked)
+        nth = scored.withColumn("_n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cosine")))).filter(F.col("_n") == k).select("b", (F.col("cosine") - self.EDGE).alias("least"))
+        least = written(nth, "cosine-least")
+        weakest = Window.partitionBy("b").orderBy("bound", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+        marked = asked.join(least, "b", "left").withColumn("below", F.sum("bound").over(weakest)).withColumn("weak", F.coalesce(F.col("below") < F.col("least"), F.lit(False)))
+        rest = marked.groupBy("b").agg(F.coalesce(F.sum(F.when(F.col("weak"), F.col("bound"))), F.lit(0.0)).alias("rest"), F.first("least").alias("least"))
+        part = marked.filter("not weak").select("b", "term", "wb").join(lists, "term").groupBy("b", "a").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"))
+        self.candidates = written(part, "cosine-candidates")
+        could = self.candidates.join(rest, "b").filter(F.col("least").isNull() | (F.col("part") + F.col("rest") >= F.col("least")))
+        # What the weak terms add, for the few that could get there.
+        weak = marked.filter("weak").select("b", "term", "wb")
+        pairs = could.select("b", "a", "part")
+        more = pairs.join(weak, "b").join(lists, ["a", "term"]).groupBy("b", "a").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
+        whole = pairs.join(more, ["b", "a"], "left").withColumn("cosine", self._cut(F.col("part") + F.coalesce("more", F.lit(0.0)))).filter("cosine <> 0")
+        rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cosine"), F.asc("a")))
+        best = whole.withColumn("rank", rank).filter(F.col("rank") <= k)
+        self.result = best.select(F.col("b").alias(b_key), F.col("a").alias(a_key), "cosine", F.col("rank").cast("long").alias("rank"))
+
+    @staticmethod
+    def _cut(x: Column) -> Column:
+        return (F.floor(x * 1e6 + 0.5) / 1e6).cast("double")
+
+    def _scored(self, pairs: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFrame:
+        both = pairs.join(asked.select("b", "term", "wb"), "b").join(lists, ["a", "term"])
+        return both.groupBy("b", "a").agg(self._cut(F.sum(F.col("wa") * F.col("wb"))).alias("cosine"))
+
+    @property
+    def compared(self) -> int:
+        return self.candidates.count()
+
+
 def cosine_dense(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; 0 where either is all zeros."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)

@@ -143,10 +143,10 @@ def platform_gate(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {Q.token_cte('benchmark', 'item_id', 'text', 'bt')}, a AS (SELECT DISTINCT doc_id, unnest(tokens) AS x FROM tok), b AS (SELECT DISTINCT item_id, unnest(tokens) AS x FROM bt) SELECT item_id, count(DISTINCT doc_id)::BIGINT AS n, count(DISTINCT doc_id) * 100.0::DOUBLE AS total FROM a JOIN b USING (x) GROUP BY item_id")
 def pair_score_closed(spark, sf_dir):
-    docs = texts(spark, sf_dir).select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("x"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.explode_outer(T.tokens(F.col("text"))).alias("x"))
-    pairs = docs.join(items, "x").groupBy("item_id", "doc_id").agg(F.lit(100.0).alias("score"))
-    return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    docs = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"))
+    # A pair with a shared token scores 100, any other 0.
+    return M.shared_token_counts(docs, items, "doc_id", "item_id").select("item_id", "n", (F.col("n") * 100.0).alias("total"))
 
 
 @query(f"WITH {TOKENS}, {Q.token_cte('(SELECT item_id, text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))', 'item_id', 'text', 'bt')}, p AS (SELECT doc_id, len(list_intersect(tok.tokens, bt.tokens)) AS s, len(tok.tokens) AS a, len(bt.tokens) AS b, ln(2.0::DOUBLE / 3) AS low FROM tok, bt) SELECT doc_id, CASE WHEN s > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS closed, CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE floor(s * (low / a) * (low / b) / (sqrt(s * pow(low / a, 2)) * sqrt(s * pow(low / b, 2))) * 100 * 100 + 0.5) / 100 END AS generic FROM p")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import matcher as M
+from ..sources.tables import work_folder
 from ..streaming import digest as D
 from ..streaming import match_stream as L
 from ..streaming import pages as P
 from ..streaming import scans as S
-from ..streaming.replay import replay, replayed, work_folder
+from ..streaming.replay import replay, replayed
 from .catalog import CATALOG, DICTIONARY, PROFILE, SCORED, jobs, query, read
 
 DAY = 86_400_000

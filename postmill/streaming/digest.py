@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -162,9 +162,30 @@ def alarm_times(profiles: DataFrame, start: str, end: str) -> DataFrame:
     return on.filter(first <= F.lit(end).cast("timestamp")).select("id", F.explode(F.sequence(first, F.lit(end).cast("timestamp"), step)).alias("runs_at"))
 
 
+def alarm_history(versions: DataFrame, end: str) -> DataFrame:
+    """Rows (owner, id, runs_at): all scans until ``end`` of profiles that change. ``versions``: rows (owner, at, id,
+    interval in minutes, enabled, deleted), a profile as saved at a time. Each save of an owner sets all its alarms
+    anew: a profile that is enabled then runs one period after the save and so on, up to the owner's next
+    save. A profile is what its last version up to a save says; of versions at one time the largest counts.
+
+    Versions become ranges of time, and saves meet the ranges that hold them by owner."""
+    from ..functions.formats import alarm_period
+
+    last = F.lit(end).cast("timestamp")
+    state = F.max(F.struct("deleted", "enabled", "interval")).alias("v")
+    known = versions.filter(F.col("at") <= last).groupBy("owner", "id", "at").agg(state)
+    until = F.lead("at").over(Window.partitionBy("owner", "id").orderBy("at"))
+    ranges = known.select("owner", "id", "v.*", F.col("at").alias("since"), until.alias("until")).filter(F.col("enabled") & ~F.coalesce("deleted", F.lit(False)))
+    saves = known.select("owner", "at").distinct()
+    saves = saves.select(F.col("owner").alias("o"), "at", F.lead("at").over(Window.partitionBy("owner").orderBy("at")).alias("next"))
+    met = ranges.join(saves, F.col("owner").eqNullSafe(F.col("o")) & (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    step = F.make_dt_interval(mins=alarm_period(F.col("interval")).cast("int"))
+    first, bound = F.col("at") + step, F.coalesce(F.col("next"), last)
+    runs = met.filter(first <= bound).select("owner", "id", "next", F.explode(F.sequence(first, bound, step)).alias("runs_at"))
+    return runs.filter(F.col("next").isNull() | (F.col("runs_at") < F.col("next"))).drop("next")
+
+
 def changes(visits: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Visits at which the value differs from the one before: when a page has been left for another."""
-    from pyspark.sql import Window
-
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
     return visits.withColumn("before", before).filter(~F.col(value).eqNullSafe(F.col("before"))).drop("before")

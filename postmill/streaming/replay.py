@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-_OWN: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which all machines of a cluster share. Where that is
-    unset, in a temporary folder, but only on a local master."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        path = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="postmill-")
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from ..sources.tables import work_folder
 
 def state_on_disk(spark: SparkSession) -> None:
     """Has this session's new streams keep their state in RocksDB, which timers and lists need."""
