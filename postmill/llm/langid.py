@@ -31,6 +31,7 @@ _REACH = max(WIDTHS)
 _FOLD = _LOWER.copy()
 _FOLD[_SPACE] = 32
 _STRETCH = 32
+_DEALT = 16
 
 
 @dataclass
@@ -174,9 +175,11 @@ class LanguageNetwork:
     def __init__(self, labelled: DataFrame, text: str = "text", lang: str = "lang", texts: int = TEXTS, all_texts: int = ALL_TEXTS):
         rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
         rows = rows.withColumn("h", F.xxhash64("text", F.lit(SEED)))
-        # Hashes first: texts move only when they are chosen.
-        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-        chosen = rows.select("lang", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= texts).orderBy("nth", "lang").limit(all_texts)
+        # Hashes first: texts move only when they are chosen. A frequent language's hashes are dealt over ``_DEALT``
+        # tasks, of which each passes on ``texts`` at most, whatever the table's size.
+        first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))).filter(F.col("nth") <= texts)
+        dealt = first(rows.select("lang", "h").distinct().withColumn("_deal", F.pmod("h", F.lit(_DEALT))), "_deal").drop("nth")
+        chosen = first(dealt).orderBy("nth", "lang").limit(all_texts)
         chosen = written(chosen.select("lang", "h"), "language-texts")  # bounded by ``all_texts``
         sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first(_windows(F.col("text"))).alias("w"))
         got = sorted(((r["lang"], bytes(w)) for r in sample.collect() for w in set(map(bytes, r["w"]))), key=lambda x: (x[0].encode(), x[1]))
