@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, text
 from ..functions.dialect import blank_to_null
-from ..sources.tables import written
+from ..sources.tables import numbered, written
 
 # Caps of history, re-scored matches and notifications.
 HISTORY_CAP, RESCORED, NOTIFIED = 200, 10, 5
@@ -44,21 +44,10 @@ def rank_matches(matches: DataFrame, order: str = "ord", partition: list[str] |
     return matches.withColumn("rank", F.row_number().over(Window.partitionBy(*(partition or [F.lit(0)])).orderBy(F.desc("score"), F.asc(order))))
 
 
-def ranked(matches: DataFrame, order: str = "ord", parts: int = 256) -> DataFrame:
-    """Adds ``rank`` like ``rank_matches``, for any number of rows: a score's rows are cut into ``parts``
-    stretches of ``order`` (a number), and each stretch is ranked in a task of its own from the number of
-    rows before it. Scores have two decimals, so there are few. The rows are worked out once: all
-    steps read the same exchange."""
-    dealt = matches.repartition(F.col(order))
-    span = dealt.groupBy("score").agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count("*").alias("_n"))
-    ahead = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*(by[:-1])).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    span = span.select(F.col("score").alias("_score"), "_low", "_high", ahead(F.desc("score")).alias("_start"))  # a row a score
-    part = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(order) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (parts - 1))).otherwise(0)
-    placed = dealt.join(span, F.col("score").eqNullSafe(F.col("_score"))).withColumn("_part", part)
-    starts = placed.groupBy("score", "_part").agg(F.count("*").alias("_n")).withColumn("_before", ahead("score", "_part")).drop("_n")
-    within = F.row_number().over(Window.partitionBy("score", "_part").orderBy(order))
-    out = placed.withColumn("_within", within).join(starts, ["score", "_part"])
-    return out.select(*matches.columns, (F.col("_start") + F.col("_before") + F.col("_within")).alias("rank"))
+def ranked(matches: DataFrame, order: str = "ord") -> DataFrame:
+    """Adds ``rank`` like ``rank_matches``, for any number of rows and any order: rows are cut into ranges of score and
+    order by what they hold, and each range is numbered in a task of its own."""
+    return numbered(matches, [F.desc("score"), F.asc(order)], name="rank")
 
 
 def blend(matches: DataFrame, replies: DataFrame, weight: float | None = None, order: str = "ord", top: int = RESCORED) -> DataFrame:
@@ -169,9 +158,10 @@ def detail_and_cards(detail: DataFrame, cards: DataFrame, order: str = "ord") ->
     return both.withColumn("place", F.struct("part", order)).drop("part")
 
 
-def card_view(matches: DataFrame, now: Column) -> DataFrame:
-    """What a result card shows; missing fields have stand-ins, lists are cut."""
+def card_view(matches: DataFrame, now: Column, *keep: str) -> DataFrame:
+    """What a result card shows, beside the columns of ``keep``; missing fields have stand-ins, lists are cut."""
     return matches.select(
+        *keep,
         F.coalesce(blank_to_null(F.col("title")), F.lit("Untitled")).alias("title"),
         F.coalesce(blank_to_null(F.col("company")), F.lit("Unknown Company")).alias("company"),
         F.concat(F.coalesce(blank_to_null(F.col("platform")), F.lit("unknown")), F.when(F.col("model_score").isNotNull(), " + LLM").otherwise("")).alias("platform"),

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import numbered
 
 SCHEMA = "id long, job_title string, company string, url string, score double, platform string, matched_skills string, missing_skills string, matched_at string, created_at string"
 # Default and largest page.
@@ -32,25 +32,11 @@ def lossy_projection(matches: DataFrame) -> DataFrame:
     return matches.select(F.col("title").alias("job_title"), blank("company"), blank("url"), "score", blank("platform"), "matched_at")
 
 
-def numbered(rows: DataFrame, order: list, start: int = 1, name: str = "id") -> DataFrame:
-    """Rows with the numbers ``start``, ``start`` + 1, ... by ``order``, without gaps and without one task for all: rows
-    are written in ranges of the order, each range's rows counted, and each row's place within its range is
-    added to the rows before that range (a row a range)."""
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The lower bits of this id are the place within the task.
-    place = F.monotonically_increasing_id()
-    staged = written(sorted_.select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_place")), "numbered")
-    counts = staged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
-    return staged.join(F.broadcast(before), "_part").withColumn(name, F.lit(start) + F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
-
-
 def insert(items: DataFrame, path: str, now: str, order: list[str] | None = None) -> None:
     """Appends the rows with new ids: the next ones, without gaps, by ``order`` (columns of the items; without it by
     what the rows hold). The table's own commit makes the batch one transaction. One writer at a time: the ids
-    follow the largest one committed."""
-    spark = items.sparkSession
-    before = read(spark, path).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    follow the largest one ever committed, also after ``clear``."""
+    before = _last_id(items.sparkSession, path)
     full = with_defaults(items, now, order or [])
     by = [f"_by{i}" for i in range(len(order))] if order else full.columns
     numbered(full, [F.col(c) for c in by], before + 1).select(*[c.split()[0] for c in SCHEMA.split(", ")]).write.mode("append").parquet(path)
@@ -64,8 +50,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def _last_id(spark: SparkSession, path: str) -> int:
+    """The largest id that the table has given, which ``clear`` leaves as the name of an empty folder."""
+    largest = read(spark, path).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_last")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = [int(f.getPath().getName()) for f in system.listStatus(place)] if system.exists(place) else []
+    return max([largest, *left])
+
+
 def clear(spark: SparkSession, path: str) -> None:
+    """Deletes all rows; ids go on."""
+    last = _last_id(spark, path)
     spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_last/{last}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
 
 
 def decoded(rows: DataFrame) -> DataFrame:

@@ -407,10 +407,13 @@ def pdf_string(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.decode_pdf_string(F.concat("p_name", F.lit("\\(a\\)\\n\\tb\\\\"))).alias("text"))
 
 
-@query(f"SELECT title, company, 'unknown' AS platform, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'low' END AS category, 'a|b|c|d|e' AS matched, 'x|y|z' AS missing, '2h ago' AS age FROM {EVENTS}")
+@query(f"SELECT ord, CASE WHEN ord % 4 = 0 THEN 'Untitled' ELSE title END AS title, CASE WHEN ord % 5 < 2 THEN 'Unknown Company' ELSE company END AS company, CASE ord % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'indeed' ELSE 'unknown' END || CASE WHEN ord % 2 = 0 THEN ' + LLM' ELSE '' END AS platform, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'low' END AS category, array_to_string(list_transform(range(least(ord % 9, 5)), lambda i: 's' || i), '|') AS matched, array_to_string(list_transform(range(least(ord % 7, 3)), lambda i: 'm' || i), '|') AS missing, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' ELSE m // 1440 || 'd ago' END AS age FROM (SELECT *, (ord * 37 % 300000) // 60 AS m FROM {EVENTS})")
 def card_view(spark, sf_dir):
-    rows = _scored_events(spark, sf_dir).select("*", F.lit("").alias("platform"), F.lit(None).cast("double").alias("model_score"), F.lit(1000).alias("matched_at"), F.array(*map(F.lit, "abcdefg")).alias("matched_skills"), F.array(*map(F.lit, "xyzw")).alias("missing_skills"))
-    out = B.card_view(rows, F.lit(1000 + 7300))
+    k = F.col("ord")
+    some = lambda n, letter: F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(F.lit(letter), i.cast("string"))))
+    rows = _scored_events(spark, sf_dir)
+    rows = rows.withColumns({"title": F.when(k % 8 == 0, "").when(k % 4 != 0, F.col("title")), "company": F.when(k % 5 == 0, "").when(k % 5 != 1, F.col("company")), "platform": F.when(k % 3 == 0, "").when(k % 3 == 1, "indeed"), "model_score": F.when(k % 2 == 0, F.lit(50.0)), "matched_at": 2_000_000 - k * 37 % 300_000, "matched_skills": some(k % 9, "s"), "missing_skills": some(k % 7, "m")})
+    out = B.card_view(rows, F.lit(2_000_000), "ord")
     return out.withColumns({"matched": joined("matched"), "missing": joined("missing")})
 
 

@@ -3,7 +3,7 @@
 import pytest
 
 import oracle
-from postmill.plans import catalog, replays, stored  # noqa: F401
+from postmill.plans import catalog, replays, service, stored  # noqa: F401
 
 
 @pytest.fixture(scope="module")

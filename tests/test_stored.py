@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
-from postmill.operators import batch, dictionary, history, matcher, tfidf
+from postmill.operators import batch, dictionary, history, matcher, settings, tfidf
 from postmill.sources.tables import KeyedTable
 from postmill.streaming import digest
 
@@ -137,3 +137,26 @@ def test_alarms_of_changing_profiles(spark):
     df = spark.createDataFrame(rows, "owner string, t string, id string, interval long, enabled boolean, deleted boolean").withColumn("at", F.to_timestamp("t", "yyyy-MM-dd HH:mm"))
     got = sorted((r["owner"], r["id"], str(r["runs_at"])[11:16]) for r in digest.alarm_history(df, "2024-01-01 07:00:00").collect())
     assert got == sorted([("o", "a", t) for t in ("01:00", "02:00", "03:30", "06:45", "07:00")] + [("o", "b", t) for t in ("03:30", "05:30")] + [("x", "a", t) for t in ("06:35", "06:50")])
+
+
+def test_cleared_history(spark, tmp_path):
+    """Ids go on after a clear, twice too, and after one of an empty table."""
+    path = str(tmp_path / "c")
+    items = spark.range(3).select(F.format_string("j%d", "id").alias("job_title"))
+    for _ in range(2):
+        history.insert(items, path, "now", ["job_title"])
+        history.clear(spark, path)
+    history.clear(spark, path)
+    assert history.read(spark, path).count() == 0
+    history.insert(items, path, "now", ["job_title"])
+    assert [r["id"] for r in history.read(spark, path).orderBy("id").collect()] == [7, 8, 9]
+
+
+def test_stored_settings(spark):
+    rows = [("a", "settings", '{"platforms": {"x": true}, "emailEnabled": null}'), ("a", "threshold", "0"), ("a", "scanStatus", '{"p1": {"state": "idle"}}'), ("a", "searchProfiles", '[{"id": "p1", "interval": 30, "enabled": true}, {"id": "p2", "workType": "remote"}]'), ("b", "settings", None), ("b", "threshold", "high"), ("c", "other", "1")]
+    stored = spark.createDataFrame(rows, "owner string, key string, value string")
+    got = {r["owner"]: r for r in settings.read_settings(stored).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"]["threshold"] == 0 and got["b"]["threshold"] == got["c"]["threshold"] == 50
+    assert got["a"]["platforms"] == {"x": True} and got["a"]["emailEnabled"] is False and got["c"]["platforms"] == {p: True for p in settings.PLATFORMS}
+    assert got["a"]["scan_status"] == {"p1": '{"state":"idle"}'} and got["b"]["scan_status"] == {} and got["b"]["resume_text"] == ""
+    assert [(r["place"], r["id"], r["interval"], r["workType"]) for r in settings.read_profiles(stored).orderBy("place").collect()] == [(0, "p1", 30, None), (1, "p2", None, "remote")]
