@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Directions (even), confidence of the test, vectors in a leaf and in a shard.
-DIRECTIONS, CONFIDENCE, LEAF, SHARD = 8, 0.99, 64, 8192
+#: Directions (even; never more than a vector has components), confidence of the test, vectors in a leaf and in a shard. More directions tell near from far
+#: better; the confidence is about the share of true neighbours that the test lets through.
+DIRECTIONS, CONFIDENCE, LEAF, SHARD = 32, 0.95, 64, 8192
 
 
 def chi_square(x: float, freedom: int) -> float:
@@ -85,18 +86,26 @@ class Tree:
 class Shard:
     """The vectors of a shard, projected and indexed once."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int, seed: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int, seed: int, confidence: float = CONFIDENCE):
+        directions = min(directions, max(2, vectors.shape[1] // 2 * 2))
+        self.limit = chi_square_at(confidence, directions)
         self.project = np.random.default_rng(seed).standard_normal((vectors.shape[1], directions))
         self.ids, self.vectors, self.tree = ids, vectors, Tree(vectors @ self.project)
-
-    def nearest(self, query_id: int, q: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """(vectors, distances) of the query's ``k`` nearest found; ``limit`` is the chi-square test's."""
-        best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for bound, rows in self.tree.leaves(q @ self.project):
-            # Stop when a vector as near as the k-th best would have had a smaller projection, with
-            # the confidence asked for; at distance 0 only a projection of 0 can tie.
-            if len(best_d) == k and bound > limit * best_d[-1] ** 2 * (1 + 1e-12):
-                break
+        self.verified = 0
+
+    def nearest(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, distances) of the query's ``k`` nearest found."""
+        best_d, best_i, place = np.zeros(0), np.zeros(0, np.int64), q @ self.project
+        for bound, rows in self.tree.leaves(place):
+            # Stop when a vector as near as the k-th best would have had a smaller projection, with the
+            # confidence asked for; at distance 0 only a projection of 0 can tie. Within a leaf the same test
+            # holds for each vector.
+            if len(best_d) == k:
+                most = self.limit * best_d[-1] ** 2 * (1 + 1e-12)
+                if bound > most:
+                    break
+                rows = rows[((self.tree.points[rows] - place) ** 2).sum(axis=1) <= most]
+            self.verified += len(rows)
             diff = self.vectors[rows] - q
             d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
             ok = self.ids[rows] != query_id
@@ -132,7 +141,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, directions: int =
     asked = rows.filter(queries).groupBy("vec_id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "dim", F.lit(1).alias("role"), "vec_id", "v")
     dealt = data.union(asked).repartition("shard").sortWithinPartitions("shard", "dim", "role", "vec_id", "v")
-    limit = chi_square_at(confidence, directions)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, parts, held = None, [], None
@@ -152,10 +160,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, directions: int =
                 if held is None and parts:
                     every, v_every = (np.concatenate(x) for x in zip(*parts))
                     first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-                    held, parts = Shard(every[first], v_every[first], directions, seed), []
+                    held, parts = Shard(every[first], v_every[first], directions, seed, confidence), []
                 if held is not None:
                     for query, q in zip(ids.tolist(), v):
-                        found.append((query, *held.nearest(query, q, k, limit)))
+                        found.append((query, *held.nearest(query, q, k)))
             n = [len(f[1]) for f in found]
             vec, score = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, t) for j, t in ((1, np.int64), (2, float)))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([f[0] for f in found], np.int64), n)), pa.array(vec.astype(np.int64)), pa.array(score)], ["query_id", "vec_id", "score"])

@@ -186,3 +186,17 @@ def test_words():
     assert list(w.count) == [2, 0, 2, 0, 2] and list(w.doc) == [0, 0, 2, 2, 4, 4]
     same = common.Words(pa.array(["AbC, (abc)"]), lower=True, strip=True)
     assert same.hash[0] == same.hash[1]
+
+
+def test_projections_leave_vectors_out():
+    """In clusters few vectors are verified; what is found is all but complete."""
+    rng = np.random.default_rng(8)
+    middles = rng.standard_normal((60, 64))
+    v = np.concatenate([m + 0.2 * rng.standard_normal((60, 64)) for m in middles])
+    shard, hit = ann.Shard(np.arange(len(v)), v, ann.DIRECTIONS, 17), 0
+    for q in range(0, len(v), 40):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len(set(np.argsort(d, kind="stable")[:10]) & set(shard.nearest(q, v[q], 10)[0]))
+    asked = len(range(0, len(v), 40))
+    assert hit >= 0.95 * 10 * asked and shard.verified < 0.05 * asked * len(v)
