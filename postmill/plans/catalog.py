@@ -149,11 +149,12 @@ def pair_score_closed(spark, sf_dir):
     return M.shared_token_counts(docs, items, "doc_id", "item_id").select("item_id", "n", (F.col("n") * 100.0).alias("total"))
 
 
-@query(f"WITH {TOKENS}, {Q.token_cte('(SELECT item_id, text FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))', 'item_id', 'text', 'bt')}, p AS (SELECT doc_id, len(list_intersect(tok.tokens, bt.tokens)) AS s, len(tok.tokens) AS a, len(bt.tokens) AS b, ln(2.0::DOUBLE / 3) AS low FROM tok, bt) SELECT doc_id, CASE WHEN s > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS closed, CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE floor(s * (low / a) * (low / b) / (sqrt(s * pow(low / a, 2)) * sqrt(s * pow(low / b, 2))) * 100 * 100 + 0.5) / 100 END AS generic FROM p")
+@query(f"WITH {TOKENS}, pairs AS (SELECT a.doc_id AS p, a.tokens AS a, b.tokens AS b FROM tok a JOIN tok b ON b.doc_id = a.doc_id + 1), x AS (SELECT p, 'a' AS side, unnest(a) AS term, len(a) AS n FROM pairs UNION ALL SELECT p, 'b', unnest(b), len(b) FROM pairs), d AS (SELECT p, term, ln(2.0::DOUBLE / (1 + count(*))) AS idf FROM x GROUP BY ALL), w AS (SELECT p, side, term, 1.0::DOUBLE / n * idf AS w FROM x JOIN d USING (p, term)), dots AS (SELECT u.p, sum(u.w * v.w) AS dot FROM w u JOIN w v ON u.p = v.p AND u.term = v.term AND u.side = 'a' AND v.side = 'b' GROUP BY u.p), norms AS (SELECT p, sqrt(sum(w * w) FILTER (side = 'a')) * sqrt(sum(w * w) FILTER (side = 'b')) AS nn FROM w GROUP BY p) SELECT pairs.p AS doc_id, CASE WHEN len(list_intersect(a, b)) > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS closed, CASE WHEN coalesce(nn, 0) = 0 THEN 0.0::DOUBLE ELSE floor(coalesce(dot, 0) / nn * 100 * 100 + 0.5) / 100 END AS generic FROM pairs LEFT JOIN dots ON dots.p = pairs.p LEFT JOIN norms ON norms.p = pairs.p")
 def pair_score_generic(spark, sf_dir):
-    first = read(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(T.tokens(F.col("text")).alias("b"))
-    both = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("a")).crossJoin(F.broadcast(first))  # one row
-    return both.select("doc_id", I.pair_score(F.col("a"), F.col("b")).alias("closed"), I.pair_score_generic(F.col("a"), F.col("b")).alias("generic"))
+    """Each document with the next one; the SQL goes by the term weights of the two."""
+    docs = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("a"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return docs.join(after, "doc_id").select("doc_id", I.pair_score(F.col("a"), F.col("b")).alias("closed"), I.pair_score_generic(F.col("a"), F.col("b")).alias("generic"))
 
 
 @query(f"WITH {SCORED} SELECT doc_id AS ord, score, tfidf_score, skill_score, array_to_string(matched, '|') AS matched, array_to_string(missing, '|') AS missing, len(mine)::BIGINT AS profile_skill_count, len(job)::BIGINT AS job_skill_count FROM scored")
