@@ -37,6 +37,15 @@ def rate_limit_stream(spark, sf_dir):
     return out.withColumnRenamed("recipient", "user_id")
 
 
+@query(CATALOG["digest_cooldown"][1])
+def digest_cooldown_stream(spark, sf_dir):
+    """``digest_cooldown`` as a stream, restarted after every batch."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("recipient"), "at", F.col("event_id").alias("item"))
+    kind = rows.schema["recipient"].dataType.simpleString()
+    out = replayed(rows, F.expr(SPELL), lambda s: D.cooldown_stream(s, 24 * 60, f"recipient {kind}, sent_at long, n long, items array<long>"))
+    return out.select(F.col("recipient").alias("user_id"), "sent_at", "n")
+
+
 MESSAGES = f"{EVENTS}, msg AS (SELECT max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS scan, user_id AS profile, ms, event_id AS ord, CASE event_type WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'jobs' ELSE 'progress' END AS kind, event_id % 6 AS pass, event_id % 20 AS jobs FROM ev)"
 STATUSES = f"WITH {MESSAGES}, st AS (SELECT scan, profile, ms AS began, ord AS o FROM msg WHERE kind = 'start'), an AS (SELECT scan, min({{'ms': msg.ms, 'ord': ord, 'jobs': jobs}}) AS a FROM msg JOIN st USING (scan) WHERE kind = 'jobs' AND msg.ms < began + {DAY} GROUP BY scan), sc AS (SELECT st.*, a, CASE WHEN a IS NOT NULL THEN a.ms WHEN began + {DAY} <= (SELECT max(ms) - 1000 FROM ev) THEN began + {DAY} END AS ended FROM st LEFT JOIN an USING (scan)) SELECT scan, profile, began AS \"at\", 'scanning' AS state, 'loading' AS step, 10::BIGINT AS progress, NULL::BIGINT AS jobs_found, NULL::BIGINT AS elapsed FROM sc UNION ALL SELECT scan, profile, ended, 'idle', NULL, 100, coalesce(a.jobs, 0), floor((ended - began) / 1000.0::DOUBLE + 0.5)::BIGINT FROM sc WHERE ended IS NOT NULL UNION ALL SELECT scan, sc.profile, msg.ms, 'scanning', 'extracting', least(85, 10 + floor(pass / 5.0::DOUBLE * 75 + 0.5))::BIGINT, NULL, NULL FROM msg JOIN sc USING (scan) WHERE kind = 'progress' AND msg.ms < began + {DAY} AND (a IS NULL OR ord < a.ord)"
 

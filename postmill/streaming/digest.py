@@ -11,34 +11,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from .replay import state_on_disk
+
 # Fixed value: minutes between two digests to a recipient.
 COOLDOWN_MINUTES = 30
 SENT = "recipient string, sent_at long, n long, items array<long>"
 
 
-def cooldown_stream(events: DataFrame, minutes: float = COOLDOWN_MINUTES) -> DataFrame:
+class _Cooldown(StatefulProcessor):
+    """State of a recipient: when a digest was last sent, and a list of what waits, to which items are added without
+    reading it."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at long")
+        self.pending = handle.getListState("pending", "item long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = [(f["at"].to_numpy(np.int64), f["item"].to_numpy(np.int64)) for f in rows]
+        at, item = (np.concatenate(x) for x in zip(*frames))
+        order = np.lexsort((item, at))
+        before = last = self.last.get()[0] if self.last.exists() else None
+        held, new, out = True, [], []
+        for now, x in zip(at[order].tolist(), item[order].tolist()):
+            new.append(x)
+            if last is None or now - last >= self.gap:
+                items = [i for (i,) in self.pending.get()] + new if held else new
+                out.append((key[0], now, len(items), items))
+                held, new, last = False, [], now
+        if not held:
+            self.pending.clear()
+        if new:
+            self.pending.appendList([(x,) for x in new])
+        if last != before:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=["recipient", "sent_at", "n", "items"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def cooldown_stream(events: DataFrame, minutes: float = COOLDOWN_MINUTES, schema: str = SENT) -> DataFrame:
     """Digests (recipient, sent_at, n, items) of a stream of events (recipient, at in milliseconds, item).
 
     An event at least the cooldown after the last digest sends what is pending and itself; others wait.
-    Nothing is sent without an event. State is the time of the last digest and what is pending."""
-    gap = int(minutes * 60_000)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, pending = state.get if state.exists else (None, [])
-        pending, out = list(pending), []
-        rows = pd.concat(list(batches)).sort_values(["at", "item"])
-        for at, item in zip(rows["at"], rows["item"]):
-            pending.append(int(item))
-            if last is None or at - last >= gap:
-                out.append((key[0], int(at), len(pending), pending))
-                last, pending = int(at), []
-        state.update((last, pending))
-        yield pd.DataFrame(out, columns=["recipient", "sent_at", "n", "items"])
-
-    return events.groupBy("recipient").applyInPandasWithState(step, SENT, "last long, pending array<long>", "append", GroupStateTimeout.NoTimeout)
+    Nothing is sent without an event. State is the time of the last digest and the list of what is pending,
+    both on disk. ``schema`` names the recipient's type."""
+    state_on_disk(events.sparkSession)
+    return events.groupBy("recipient").transformWithStateInPandas(_Cooldown(int(minutes * 60_000)), schema, "append", "None")
 
 
 def _scanned(rows: DataFrame, order: list[str], step: Callable, schema: str) -> DataFrame:
