@@ -46,8 +46,9 @@ def rank_matches(matches: DataFrame, order: str = "ord", partition: list[str] |
 
 def ranked(matches: DataFrame, order: str = "ord") -> DataFrame:
     """Adds ``rank`` like ``rank_matches``, for any number of rows and any order: rows are cut into ranges of score and
-    order by what they hold, and each range is numbered in a task of its own."""
-    return numbered(matches, [F.desc("score"), F.asc(order)], name="rank")
+    order by what they hold, and each range is numbered in a task of its own. Rows are written first, as the
+    ranges come from a sample, for which they would be worked out once more."""
+    return numbered(written(matches, "ranked"), [F.desc("score"), F.asc(order)], name="rank")
 
 
 def blend(matches: DataFrame, replies: DataFrame, weight: float | None = None, order: str = "ord", top: int = RESCORED) -> DataFrame:

@@ -81,7 +81,8 @@ class TopCosine:
         strong = asked.withColumn("_n", F.row_number().over(by_bound)).filter(F.col("_n") <= seeds).select("b", "term")
         # The longest lists keep k rows in every task before anything moves.
         tops = lists.withColumn("_n", F.row_number().over(Window.partitionBy("term").orderBy(F.desc(F.abs("wa")), "a"))).filter(F.col("_n") <= k).select("term", "a")
-        seeded = strong.join(tops, "term").select("b", "a").distinct()
+        # Pairs are written where lists follow: few documents then choose from the lists by a broadcast, many by key.
+        seeded = written(strong.join(tops, "term").select("b", "a").distinct(), "cosine-seeds")
         scored = self._scored(seeded, lists, asked)
         nth = scored.withColumn("_n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cosine")))).filter(F.col("_n") == k).select("b", (F.col("cosine") - self.EDGE).alias("least"))
         least = written(nth, "cosine-least")
@@ -93,8 +94,8 @@ class TopCosine:
         could = self.candidates.join(rest, "b").filter(F.col("least").isNull() | (F.col("part") + F.col("rest") >= F.col("least")))
         # What the weak terms add, for the few that could get there.
         weak = marked.filter("weak").select("b", "term", "wb")
-        pairs = could.select("b", "a", "part")
-        more = pairs.join(weak, "b").join(lists, ["a", "term"]).groupBy("b", "a").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
+        pairs = written(could.select("b", "a", "part"), "cosine-pairs")
+        more = pairs.join(weak, "b").join(self._of(pairs, lists), ["a", "term"]).groupBy("b", "a").agg(F.sum(F.col("wa") * F.col("wb")).alias("more"))
         whole = pairs.join(more, ["b", "a"], "left").withColumn("cosine", self._cut(F.col("part") + F.coalesce("more", F.lit(0.0)))).filter("cosine <> 0")
         rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("cosine"), F.asc("a")))
         best = whole.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -105,9 +106,13 @@ class TopCosine:
         return (F.floor(x * 1e6 + 0.5) / 1e6).cast("double")
 
     def _scored(self, pairs: DataFrame, lists: DataFrame, asked: DataFrame) -> DataFrame:
-        both = pairs.join(asked.select("b", "term", "wb"), "b").join(lists, ["a", "term"])
+        both = pairs.join(asked.select("b", "term", "wb"), "b").join(self._of(pairs, lists), ["a", "term"])
         return both.groupBy("b", "a").agg(self._cut(F.sum(F.col("wa") * F.col("wb"))).alias("cosine"))
 
+    @staticmethod
+    def _of(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+        return lists.join(pairs.select("a").distinct(), "a", "left_semi")
+
     @property
     def compared(self) -> int:
         return self.candidates.count()

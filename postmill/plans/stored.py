@@ -10,7 +10,7 @@ from ..operators import batch as B
 from ..operators import dictionary as X
 from ..operators import history as H
 from ..operators import tfidf as I
-from ..sources.tables import KeyedTable, work_folder
+from ..sources.tables import KeyedTable, work_folder, written
 from ..streaming import digest as D
 from ..streaming.replay import replay
 from . import duck as Q
@@ -45,7 +45,7 @@ def cosine_topk(spark, sf_dir):
     """The five nearest documents of each benchmark item."""
     docs = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
     items = read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    tf = I.term_frequency(docs, "doc_id", "t")
+    tf = written(I.term_frequency(docs, "doc_id", "t"), "term-frequency")
     idf = I.inverse_document_frequency(docs, "t", tf)
     return I.TopCosine(I.tfidf_vectors(docs, "doc_id", "t", idf, tf), I.tfidf_vectors(items, "item_id", "t", idf), "doc_id", "item_id", 5).result
 
