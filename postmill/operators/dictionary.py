@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import small, written
 
 WORD = "[0-9a-z_]+"
 
@@ -50,24 +51,25 @@ def grams(lower: Column, shape: tuple[int, bool, bool]) -> Column:
 def skills_by_table(texts: DataFrame, dictionary: DataFrame, key: str, text: str = "text", phrases: bool = True) -> DataFrame:
     """Rows (key, skills): the terms of ``dictionary`` (pos, term: lower-case) that each text holds, by pos, then
     phrases, as ``text.skills`` gives them. Keys are unique. Null is an empty text. A text's distinct stretches meet the terms by
-    an equi-join, which Spark broadcasts or shuffles by the dictionary's size."""
-    known = shapes(dictionary.select("pos", "term").filter("term <> ''"))
+    an equi-join, broadcast or shuffled by the dictionary's size; it is written, so that this is known before any
+    stretch moves. Only hits, and a row for each text, go on from there."""
+    known = written(shapes(dictionary.select("pos", "term").filter("term <> ''")), "dictionary")
     # As many rows as there are shapes, of which each adds an expression to the plan.
     used = sorted(tuple(r) for r in known.select("words", "lead", "trail").distinct().collect())
     low = F.lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     rows = texts.select(F.col(f"`{key}`").alias("key"), F.explode(F.array(F.struct(low.alias("low")))).alias("x")).select("key", "x.low")
     own = T.phrase_skills(F.col("low")) if phrases else F.array().cast("array<string>")
-    # The shape's number tells apart equal stretches that stand in different places.
-    of_shape = lambda i, s: F.transform(grams(F.col("low"), s), lambda g: F.struct(F.lit(i).alias("shape"), g.alias("term")))
-    found = F.concat(*[of_shape(i, s) for i, s in enumerate(used)]) if used else F.array().cast("array<struct<shape:int,term:string>>")
-    # Worked out before the explode: what stands beside one is evaluated for each of its rows.
-    rows = rows.select("key", F.explode(F.array(F.struct(own.alias("own"), found.alias("found")))).alias("x"))
-    rows = rows.select("key", "x.own", F.explode_outer("x.found").alias("g")).select("key", "own", "g.shape", "g.term")
+    none = F.lit(None).cast("array<string>")
+    # The shape's number tells apart equal stretches that stand in different places; -1 is the text itself.
+    one = lambda i, term, own: F.struct(F.lit(i).alias("shape"), term.alias("term"), own.alias("own"))
+    of_shape = lambda i, s: F.transform(grams(F.col("low"), s), lambda g: one(i, g, none))
+    found = F.concat(F.array(one(-1, F.lit(None).cast("string"), own)), *[of_shape(i, s) for i, s in enumerate(used)])
+    rows = rows.select("key", F.explode(found).alias("g")).select("key", "g.*")
     number = F.lit(None).cast("int")
     for i, (n, lead, trail) in enumerate(used):
         number = F.when((F.col("words") == n) & (F.col("lead") == lead) & (F.col("trail") == trail), F.lit(i)).otherwise(number)
-    terms = known.select("pos", number.alias("shape"), "term")
-    met = rows.join(terms, ["shape", "term"], "left")
+    terms = small(known).select("pos", number.alias("shape"), "term")
+    met = rows.join(terms, ["shape", "term"], "left").filter("shape = -1 or pos is not null")
     hit = F.when(F.col("pos").isNotNull(), F.struct("pos", "term"))
-    out = met.groupBy("key").agg(F.first("own").alias("own"), F.sort_array(F.collect_list(hit)).alias("hits"))
+    out = met.groupBy("key").agg(F.first("own", ignorenulls=True).alias("own"), F.sort_array(F.collect_list(hit)).alias("hits"))
     return out.select(F.col("key").alias(key), F.array_distinct(F.concat(F.transform("hits", lambda h: h["term"]), "own")).alias("skills"))

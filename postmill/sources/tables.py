@@ -33,6 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a written table up to which ``small`` has joins broadcast it, whatever the session's threshold.
+SMALL_FILES = 16 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, with the hint to broadcast it if its files are small: what it meets then stays where it is. A
+    larger one is left to Spark's size checks."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(table) if size <= SMALL_FILES else table
+
+
 def numbered(rows: DataFrame, order: list, start: int = 1, name: str = "id") -> DataFrame:
     """Rows with the numbers ``start``, ``start`` + 1, ... by ``order``, without gaps and without one task for all: rows
     are written in ranges of the order, each range's rows counted, and each row's place within its range is

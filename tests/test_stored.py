@@ -41,6 +41,21 @@ def test_large_dictionary(spark):
         assert set(r["skills"]) == {f"t{n}" for k in range(40) if (n := (r["id"] * 977 + k * 31) % 200_000) < 100_000}
 
 
+def test_only_hits_move(spark):
+    """A dictionary that Spark can't estimate is written, so a small one is broadcast and the stretches stay where they are."""
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+    terms = spark.createDataFrame(list(enumerate(TERMS)), "pos int, term string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dictionary.skills_by_table(texts, terms, "id")
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # Below the aggregate nothing but hits and a row for each text.
+    assert out.count() == len(TEXTS) and re.search(r"Filter \(\(shape#\d+ = -1\) OR isnotnull\(pos#\d+\)\)", plan)
+
+
 def test_pruned_top_list(spark):
     """The exact best, ties by key, from less than a tenth of the pairs that share a term."""
     rng = random.Random(3)
