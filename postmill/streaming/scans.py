@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions.formats import elapsed_seconds, scan_progress
+from .buckets import BUCKETS, Bucket, as_text, bucketed, cast_to
 
 # Milliseconds that a scan may take, and progress when its page loads.
 TIMEOUT_MS, LOADING = 20_000, 10
@@ -44,53 +45,51 @@ def scan_statuses(messages: DataFrame, until: int, timeout: int = TIMEOUT_MS) ->
     return opened.unionByName(during).unionByName(done)
 
 
-class _Scan(StatefulProcessor):
-    """State of a scan: when it was started, for whom, and whether it is over. An open scan has a timer for its
-    timeout; one that is over is forgotten at that time, as nothing of it could count any more."""
+class _Scan(Bucket):
+    """State of a scan: when it was started, for whom, and whether it is over. It is forgotten at its timeout, as
+    nothing of it could count any more; one that is open then ends."""
 
     def __init__(self, timeout: int):
         self.timeout = timeout
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.scan = handle.getValueState("scan", "at long, profile long, over boolean")
+    def due(self, scan) -> int:
+        return scan[0] + self.timeout
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = ["at", "ord", "kind", "profile", "step", "nth", "max_passes", "jobs"]
+        names = ["at", "ord", "key_", "kind", "profile", "step", "nth", "max_passes", "jobs"]
         messages = sorted((m for frame in rows for m in zip(*(frame[c].tolist() for c in names))), key=lambda m: m[:2])
-        at, profile, over = self.scan.get() if self.scan.exists() else (None, None, False)
-        before, out = (at, over), []
-        for now, _, kind, who, step, n, most, jobs in messages:
+        known, timer = self.load()
+        changed, out = False, []
+        for now, _, scan, kind, who, step, n, most, jobs in messages:
+            at, profile, over = known.get(scan, (None, None, False))
             if at is None:
                 if kind == "start":
-                    at, profile = int(now), None if pd.isna(who) else int(who)
-                    out.append((key[0], profile, at, "scanning", "loading", LOADING, None, None))
+                    at, profile = int(now), None if pd.isna(who) else who
+                    known[scan], changed = (at, profile, False), True
+                    out.append((scan, profile, at, "scanning", "loading", LOADING, None, None))
             elif over or now >= at + self.timeout:
                 continue
             elif kind == "progress":
-                done = min(85, 10 + int(n / most * 75 + 0.5))
-                out.append((key[0], profile, int(now), "scanning", step, done, None, None))
+                done = min(85, 10 + int(int(n) / int(most) * 75 + 0.5))
+                out.append((scan, profile, int(now), "scanning", step, done, None, None))
             elif kind == "jobs":
-                over = True
-                out.append((key[0], profile, int(now), "idle", None, 100, 0 if pd.isna(jobs) else int(jobs), int((now - at) / 1000 + 0.5)))
-        if (at, over) != before:
-            if before[0] is None:
-                self.handle.registerTimer(at + self.timeout)
-            self.scan.update((at, profile, over))
+                known[scan], changed = (at, profile, True), True
+                out.append((scan, profile, int(now), "idle", None, 100, 0 if pd.isna(jobs) else int(jobs), int((now - at) / 1000 + 0.5)))
+        if changed:
+            self.save(known, timer)
         yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, profile, over = self.scan.get()
-        self.scan.clear()
-        out = [] if over else [(key[0], profile, at + self.timeout, "idle", None, 100, 0, int(self.timeout / 1000 + 0.5))]
+        ended = self.expired(timerValues, expiredTimerInfo)
+        out = [(scan, profile, at + self.timeout, "idle", None, 100, 0, int(self.timeout / 1000 + 0.5)) for scan, (at, profile, over) in ended if not over]
         yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
 
-    def close(self) -> None:
-        pass
 
-
-def scan_stream(messages: DataFrame, timeout: int = TIMEOUT_MS, late: str = "1 second") -> DataFrame:
+def scan_stream(messages: DataFrame, timeout: int = TIMEOUT_MS, late: str = "1 second", buckets: int = BUCKETS) -> DataFrame:
     """The same over a stream of messages. Time is that of the messages: a timeout is known once messages later
-    than it by ``late`` have come. State is one row for a scan whose timeout lies ahead."""
-    timed = messages.withColumn("_at", F.timestamp_millis("at")).withWatermark("_at", late)
-    return timed.groupBy("scan").transformWithStateInPandas(_Scan(timeout), STATUS, "append", "EventTime")
+    than it by ``late`` have come. State is a scan whose timeout lies ahead, by buckets of scans."""
+    exact = messages.select(*cast_to(as_text(messages.schema, ("at", "ord"))))
+    timed = exact.withColumn("_at", F.timestamp_millis("at")).withWatermark("_at", late)
+    schema = StructType.fromDDL(STATUS)
+    out = bucketed(timed, ["scan"], buckets).transformWithStateInPandas(_Scan(timeout), as_text(schema, tuple(_COLUMNS[2:])), "append", "EventTime")
+    return out.select(*cast_to(schema))

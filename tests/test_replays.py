@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import batch
 from postmill.streaming import digest, pages, scans
-from postmill.streaming.replay import replayed
+from postmill.streaming.replay import replay, replayed, state_on_disk
 
 MESSAGES = "scan long, profile long, at long, ord long, kind string, step string, nth long, max_passes long, jobs long"
 S = 1000
@@ -74,6 +74,32 @@ def test_first_seen_in_any_cut(spark, one_partition, horizon, cut):
     assert (list(got - want), list(want - got)) == ([], [])
 
 
+@pytest.mark.parametrize("query", ["first", "scan", "limit", "cooldown"])
+def test_state_is_held_by_buckets(spark, one_partition, tmp_path, query):
+    """Many keys, null and large ones among them, in three rows of state, however many there are."""
+    key = F.when(F.col("id") % 41 == 0, F.lit(None)).otherwise(F.col("id") % 200 + (1 << 60))
+    df = spark.range(300).select(key.alias("k"), (BASE + F.col("id") * S).alias("at"), F.col("id").alias("ord"))
+    mail = df.select(F.col("k").alias("recipient"), "at", F.col("ord").alias("item"), F.lit(True).alias("delivered"))
+    scan = df.select(F.col("k").alias("scan"), F.col("k").alias("profile"), "at", "ord", F.lit("start").alias("kind"), F.lit("").alias("step"), *[F.lit(None).cast("long").alias(c) for c in ("nth", "max_passes", "jobs")])
+    rows, run, want = {
+        "first": (df, lambda s: pages.first_seen_stream(s, ["k"], buckets=3), batch.first_seen(df, ["k"], "ord")),
+        "scan": (scan, lambda s: scans.scan_stream(s, 10_000 * S, buckets=3), scans.scan_statuses(scan.filter("scan is not null"), 0, 10_000 * S).unionByName(scans.scan_statuses(scan.filter("scan is null").withColumn("scan", F.lit(0)), 0, 10_000 * S).withColumn("scan", F.lit(None)))),
+        "limit": (mail, lambda s: digest.rate_limit_stream(s, schema="recipient long, at long, result string, retry_after long", buckets=3), digest.rate_limited(mail)),
+        "cooldown": (mail, lambda s: digest.cooldown_stream(s, schema="recipient long, sent_at long, n long, items array<long>", buckets=3).drop("items"), digest.cooldown_batch(mail)),
+    }[query]
+    state_on_disk(spark)
+    queries = []
+
+    def start(stream):
+        queries.append(run(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+        return queries[-1]
+
+    replay(rows, F.floor(F.col("at") / (BASE * 2)), start, str(tmp_path / "in"))
+    assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == rows_of(want)
+    state = spark.read.format("statestore").option("stateVarName", "held").load(str(tmp_path / "c"))
+    assert 0 < state.count() <= 3
+
+
 def test_details_once_a_burst(spark):
     """Changes at most 500 ms apart are one; what stands last counts; a key of a page is reported once."""
     rows = [("p", 0, 1, "A", "u1", ""), ("p", 499, 2, "A", "u1", "text"), ("p", 499, 0, "Z", "u1", ""), ("p", 1000, 3, "B", "", "text"), ("p", 2000, 4, "A", "u1", "more"), ("p", 3000, 5, "B", None, "again"), ("q", 0, 6, "A", "u1", "text"), ("p", 4000, 7, "C", "u3", None)]
