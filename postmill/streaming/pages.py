@@ -10,9 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.dialect import blank_to_null
+from .buckets import BUCKETS, Bucket, as_text, bucketed, cast_to
 
 # Fixed value: milliseconds without a change after which a page is read.
 SETTLED_MS = 500
@@ -48,54 +48,48 @@ def first_seen_within(rows: DataFrame, keys: list[str], at: str = "at", order: s
     return _sessions(rows, keys, at, horizon_ms, F.min_by, order).select(*keys, "_row.*").select(*rows.columns)
 
 
-class _First(StatefulProcessor):
+class _First(Bucket):
     """State of a key: when it was last seen, until the horizon after that."""
 
     def __init__(self, names: list[str], at: str, order: str, horizon: int | None):
         self.names, self.at, self.order, self.horizon = names, at, order, horizon
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "at long")
+        if horizon is not None:
+            self.due = lambda last: last + horizon
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.seen.get()[0] if self.seen.exists() else None
-        times, kept = [], []
+        held, kept, n = [], [], 0
         for frame in rows:
             frame = frame.sort_values([self.at, self.order])
-            at = frame[self.at].to_numpy(np.int64)
             # A row can only be a first one if nothing of its own frame stands closely before it.
-            near = np.diff(at) <= self.horizon if self.horizon is not None else np.ones(len(at) - 1, bool)
-            kept.append(frame[np.concatenate([[True], ~near])])
-            times.append(at)
-        at, rows_ = np.sort(np.concatenate(times)), pd.concat(kept).sort_values([self.at, self.order])
-        mine = rows_[self.at].to_numpy(np.int64)
-        place = np.searchsorted(at, mine, side="left")
-        before = np.where(place > 0, at[np.maximum(place - 1, 0)], np.iinfo(np.int64).min if last is None else last)
-        gone = mine - before > self.horizon if self.horizon is not None else before == np.iinfo(np.int64).min
-        first = ((before == np.iinfo(np.int64).min) | gone) & np.concatenate([[True], np.diff(mine) > 0])
-        latest = int(at[-1]) if last is None else max(last, int(at[-1]))
-        if latest != last:
-            if self.horizon is not None:
-                if last is not None and last + self.horizon in self.handle.listTimers():
-                    self.handle.deleteTimer(last + self.horizon)
-                self.handle.registerTimer(latest + self.horizon)
-            self.seen.update((latest,))
-        yield rows_[first][self.names].astype(object)
+            times = frame.groupby("key_", dropna=False)[self.at]
+            may = (times.cumcount() == 0).to_numpy() if self.horizon is None else ~(times.diff() <= self.horizon).to_numpy()
+            kept.append(frame[may][self.names])
+            place = np.where(may, np.cumsum(may) - 1 + n, -1)
+            held += zip(frame[self.at].tolist(), frame[self.order].tolist(), frame["key_"].tolist(), place.tolist())
+            n += int(may.sum())
+        known, timer = self.load()
+        seen, first = {}, []
+        for at, _, own, place in sorted(held, key=lambda r: r[:2]):
+            before = seen[own] if own in seen else known.get(own)
+            if place >= 0 and (before is None or self.horizon is not None and at - before > self.horizon):
+                first.append(place)
+            seen[own] = at
+        later = {k: at for k, at in seen.items() if at > known.get(k, at - 1)}
+        if later:
+            self.save(known | later, timer)
+        yield pd.concat(kept).iloc[first].astype(object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and self.seen.get()[0] + self.horizon <= expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
+        self.expired(timerValues, expiredTimerInfo)
         yield pd.DataFrame({n: [] for n in self.names}, dtype=object)
 
-    def close(self) -> None:
-        pass
-
 
-def first_seen_stream(rows: DataFrame, keys: list[str], at: str = "at", order: str = "ord", horizon_ms: int | None = None, late: str = "1 second") -> DataFrame:
+def first_seen_stream(rows: DataFrame, keys: list[str], at: str = "at", order: str = "ord", horizon_ms: int | None = None, late: str = "1 second", buckets: int = BUCKETS) -> DataFrame:
     """First sightings of keys in a stream whose rows come in order of ``at`` (milliseconds) but for ``late``: the rows
     of ``first_seen_within``, or without a horizon of ``batch.first_seen``, however the stream is cut. State is a
-    number for each key seen within the horizon; without one for each key. A key's rows in a micro-batch are
-    not held, but for what can be a first one and their times."""
-    timed = rows.withColumn("_at", F.timestamp_millis(at)).withWatermark("_at", late)
-    return timed.groupBy(*keys).transformWithStateInPandas(_First(rows.columns, at, order, horizon_ms), rows.schema, "append", "EventTime")
+    number for each key seen within the horizon, without one for each key, by buckets of keys. A bucket's rows in a
+    micro-batch are not held, but for what can be a first one and their times."""
+    schema = as_text(rows.schema, (at, order))
+    timed = rows.select(*cast_to(schema)).withColumn("_at", F.timestamp_millis(at)).withWatermark("_at", late)
+    out = bucketed(timed, keys, buckets).transformWithStateInPandas(_First(rows.columns, at, order, horizon_ms), schema, "append", "EventTime")
+    return out.select(*cast_to(rows.schema))
