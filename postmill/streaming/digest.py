@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from .buckets import BUCKETS, Bucket, bucketed, cast_to
 from .replay import state_on_disk
 
 # Fixed value: minutes between two digests to a recipient.
@@ -20,49 +19,41 @@ COOLDOWN_MINUTES = 30
 SENT = "recipient string, sent_at long, n long, items array<long>"
 
 
-class _Cooldown(StatefulProcessor):
-    """State of a recipient: when a digest was last sent, and a list of what waits, to which items are added without
-    reading it."""
+class _Cooldown(Bucket):
+    """State of a recipient: when a digest was last sent, and what waits."""
 
     def __init__(self, gap: int):
         self.gap = gap
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long")
-        self.pending = handle.getListState("pending", "item long")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [(f["at"].to_numpy(np.int64), f["item"].to_numpy(np.int64)) for f in rows]
-        at, item = (np.concatenate(x) for x in zip(*frames))
-        order = np.lexsort((item, at))
-        before = last = self.last.get()[0] if self.last.exists() else None
-        held, new, out = True, [], []
-        for now, x in zip(at[order].tolist(), item[order].tolist()):
-            new.append(x)
+        events = sorted((e for f in rows for e in zip(f["at"].tolist(), f["item"].tolist(), f["key_"].tolist())), key=lambda e: e[:2])
+        known, _ = self.load()
+        out = []
+        for now, item, who in events:
+            last, waits = known.setdefault(who, (None, []))
+            waits.append(item)
             if last is None or now - last >= self.gap:
-                items = [i for (i,) in self.pending.get()] + new if held else new
-                out.append((key[0], now, len(items), items))
-                held, new, last = False, [], now
-        if not held:
-            self.pending.clear()
-        if new:
-            self.pending.appendList([(x,) for x in new])
-        if last != before:
-            self.last.update((last,))
+                out.append((who, now, len(waits), waits))
+                known[who] = (now, [])
+        self.save(known, None)
         yield pd.DataFrame(out, columns=["recipient", "sent_at", "n", "items"], dtype=object)
 
-    def close(self) -> None:
-        pass
+
+def _as_recipients(rows: DataFrame, processor: Bucket, schema: str, mode: str, buckets: int) -> DataFrame:
+    """``processor`` over buckets of recipients, whose type ``schema`` names."""
+    whole = StructType.fromDDL(schema)
+    text = StructType([StructField("recipient", StringType()), *whole.fields[1:]])
+    return bucketed(rows, ["recipient"], buckets).transformWithStateInPandas(processor, text, "append", mode).select(*cast_to(whole))
 
 
-def cooldown_stream(events: DataFrame, minutes: float = COOLDOWN_MINUTES, schema: str = SENT) -> DataFrame:
+def cooldown_stream(events: DataFrame, minutes: float = COOLDOWN_MINUTES, schema: str = SENT, buckets: int = BUCKETS) -> DataFrame:
     """Digests (recipient, sent_at, n, items) of a stream of events (recipient, at in milliseconds, item).
 
     An event at least the cooldown after the last digest sends what is pending and itself; others wait.
     Nothing is sent without an event. State is the time of the last digest and the list of what is pending,
-    both on disk. ``schema`` names the recipient's type."""
+    by buckets of recipients on disk. ``schema`` names the recipient's type."""
     state_on_disk(events.sparkSession)
-    return events.groupBy("recipient").transformWithStateInPandas(_Cooldown(int(minutes * 60_000)), schema, "append", "None")
+    return _as_recipients(events, _Cooldown(int(minutes * 60_000)), schema, "None", buckets)
 
 
 def _scanned(rows: DataFrame, order: list[str], step: Callable, schema: str) -> DataFrame:
@@ -130,49 +121,41 @@ def rate_limited(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, recipie
 LIMITED = "recipient long, at long, result string, retry_after long"
 
 
-class _Limiter(StatefulProcessor):
+class _Limiter(Bucket):
     """State of a recipient: when mail was last sent, until the cooldown after it is over."""
 
     def __init__(self, gap: int, configured: bool):
         self.gap, self.configured = gap, configured
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+    def due(self, last: int) -> int:
+        return last + self.gap
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [(f["at"].to_numpy(), f["delivered"].fillna(False).to_numpy(bool)) for f in rows]
-        at, ok = (np.concatenate(x) for x in zip(*frames))
-        before = last = self.last.get()[0] if self.last.exists() else None
-        result, retry = [], []
-        order = np.lexsort((ok, at))
-        for now, sent in zip(at[order].tolist(), ok[order].tolist()):
+        asked = sorted((r for f in rows for r in zip(f["at"].tolist(), f["delivered"].fillna(False).astype(bool).tolist(), f["key_"].tolist())), key=lambda r: r[:2])
+        known, timer = self.load()
+        changed, out = False, []
+        for now, ok, who in asked:
+            last = known.get(who)
             wait = 0 if last is None else last + self.gap - now
-            result.append("rate_limited" if wait > 0 else "smtp_not_configured" if not self.configured else "sent" if sent else "send_failed")
-            retry.append(-(-wait // 1000) if wait > 0 else None)
-            last = now if result[-1] == "sent" else last
-        if last != before:
-            if before is not None and before + self.gap in self.handle.listTimers():
-                self.handle.deleteTimer(before + self.gap)
-            self.handle.registerTimer(last + self.gap)
-            self.last.update((last,))
-        yield pd.DataFrame({"recipient": [key[0]] * len(at), "at": at[order].tolist(), "result": result, "retry_after": retry}, dtype=object)
+            result = "rate_limited" if wait > 0 else "smtp_not_configured" if not self.configured else "sent" if ok else "send_failed"
+            out.append((who, now, result, -(-wait // 1000) if wait > 0 else None))
+            if result == "sent":
+                known[who], changed = now, True
+        if changed:
+            self.save(known, timer)
+        yield pd.DataFrame(out, columns=["recipient", "at", "result", "retry_after"], dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self.last.get()[0] + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()  # requests to come are later than the cooldown
+        self.expired(timerValues, expiredTimerInfo)  # requests to come are later than the cooldown
         yield pd.DataFrame({"recipient": [], "at": [], "result": [], "retry_after": []}, dtype=object)
 
-    def close(self) -> None:
-        pass
-
 
-def rate_limit_stream(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, configured: bool = True, late: str = "1 second", schema: str = LIMITED) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, minutes: float = COOLDOWN_MINUTES, configured: bool = True, late: str = "1 second", schema: str = LIMITED, buckets: int = BUCKETS) -> DataFrame:
     """``rate_limited`` over a stream of requests (recipient, at in milliseconds, delivered), which come in order but
-    for ``late``. State is a number for each recipient to whom mail was sent within the cooldown; a timer
-    removes it after that. ``schema`` names the recipient's type."""
+    for ``late``. State is a number for each recipient to whom mail was sent within the cooldown, by buckets of
+    recipients; a timer removes it after that. ``schema`` names the recipient's type."""
     timed = requests.withColumn("_at", F.timestamp_millis("at")).withWatermark("_at", late)
-    return timed.groupBy("recipient").transformWithStateInPandas(_Limiter(int(minutes * 60_000), configured), schema, "append", "EventTime")
+    return _as_recipients(timed, _Limiter(int(minutes * 60_000), configured), schema, "EventTime", buckets)
 
 
 def alarm_times(profiles: DataFrame, start: str, end: str) -> DataFrame:
