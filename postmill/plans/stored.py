@@ -10,7 +10,7 @@ from ..operators import batch as B
 from ..operators import dictionary as X
 from ..operators import history as H
 from ..operators import tfidf as I
-from ..sources.tables import KeyedTable, work_folder, written
+from ..sources.tables import KeyedTable, small, work_folder, written
 from ..streaming import digest as D
 from ..streaming.replay import replay
 from . import duck as Q
@@ -43,11 +43,11 @@ def skills_large_dictionary(spark, sf_dir):
 @query(f"WITH {VECTORS}, {Q.token_cte('benchmark', 'item_id', 'text', 'bt')}, bx AS (SELECT item_id, unnest(tokens) AS term, len(tokens) AS n FROM bt), b AS (SELECT item_id, term, 1.0::DOUBLE / n * coalesce(idf, 0) AS weight FROM bx LEFT JOIN d USING (term)), nv AS (SELECT doc_id, sqrt(sum(weight * weight)) AS na FROM v GROUP BY doc_id), nb AS (SELECT item_id, sqrt(sum(weight * weight)) AS nb FROM b GROUP BY item_id), dots AS (SELECT doc_id, item_id, sum(v.weight * b.weight) AS dot FROM v JOIN b USING (term) WHERE v.weight <> 0 AND b.weight <> 0 GROUP BY ALL), c AS (SELECT doc_id, item_id, floor(dot / (na * nb) * 1e6 + 0.5) / 1e6 AS cosine FROM dots JOIN nv USING (doc_id) JOIN nb USING (item_id)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, doc_id)::BIGINT AS rank FROM c WHERE cosine <> 0) WHERE rank <= 5")
 def cosine_topk(spark, sf_dir):
     """The five nearest documents of each benchmark item."""
-    docs = texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    tf = written(I.term_frequency(docs, "doc_id", "t"), "term-frequency")
-    idf = I.inverse_document_frequency(docs, "t", tf)
-    return I.TopCosine(I.tfidf_vectors(docs, "doc_id", "t", idf, tf), I.tfidf_vectors(items, "item_id", "t", idf), "doc_id", "item_id", 5).result
+    docs = I.prepared(texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "t")
+    items = I.prepared(read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t")), "item_id", "t")
+    tf = I.term_frequency(docs, "doc_id", "t")
+    idf = small(written(I.inverse_document_frequency(docs, "t", tf), "idf"))
+    return I.TopCosine(I.tfidf_vectors(docs, "doc_id", "t", idf, tf), small(written(I.tfidf_vectors(items, "item_id", "t", idf), "items")), "doc_id", "item_id", 5).result
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, max(event_id)::BIGINT AS event_id FROM events GROUP BY user_id")

@@ -56,6 +56,20 @@ def test_only_hits_move(spark):
     assert out.count() == len(TEXTS) and re.search(r"Filter \(\(shape#\d+ = -1\) OR isnotnull\(pos#\d+\)\)", plan)
 
 
+def test_terms_are_counted_in_their_rows(spark):
+    """Repeated, null and no tokens; no exchange below the vectors but those of document frequencies."""
+    docs = spark.createDataFrame([(1, ["b", "a", "b", None]), (2, ["a", "c"]), (3, []), (4, None), (5, ["b"] * 5)], "d long, t array<string>")
+    tf = tfidf.term_frequency(docs, "d", "t")
+    assert sorted(map(tuple, tf.collect())) == [(1, "a", 0.25), (1, "b", 0.5), (2, "a", 0.5), (2, "c", 0.5), (5, "b", 1.0)]
+    assert "Exchange" not in tf._jdf.queryExecution().sparkPlan().toString() + tf._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tfidf.tfidf_vectors(docs, "d", "t")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning" not in plan
+
+
 def test_pruned_top_list(spark):
     """The exact best, ties by key, from less than a tenth of the pairs that share a term."""
     rng = random.Random(3)
