@@ -44,9 +44,16 @@ def tech_terms(text: Column) -> Column:
     return _lowered(text, _tech_terms)
 
 
+def _any_of(terms: list[str]) -> str:
+    """A pattern for one of the terms. The class of their first characters stands before, so that other places
+    of a text cost one test."""
+    first = "".join(sorted({re.escape(literals(t)[0][0]) for t in terms}))
+    return f"(?=[{first}])(?:" + "|".join(map(bounded, terms)) + ")"
+
+
 def _tech_terms(lower: Column) -> Column:
     none = F.array().cast(_NONE)
-    groups = [F.when(reduce(or_, [_holds(lower, literals(t)) for t in g]), F.regexp_extract_all(lower, F.lit("|".join(map(bounded, g))), F.lit(0))).otherwise(none) for g in TECH_TERMS]
+    groups = [F.when(reduce(or_, [_holds(lower, literals(t)) for t in g]), F.regexp_extract_all(lower, F.lit(_any_of(g)), F.lit(0))).otherwise(none) for g in TECH_TERMS]
     return F.transform(F.concat(*groups), lambda t: F.regexp_replace(t, f"{SPACE}+", "-"))
 
 
