@@ -220,15 +220,15 @@ VECTORS = f"{TOKENS}, x AS (SELECT doc_id, unnest(tokens) AS term, len(tokens) A
 @query(f"WITH {VECTORS} SELECT doc_id, term, floor(weight * 1e6 + 0.5) / 1e6 AS weight FROM v")
 def tfidf_vector(spark, sf_dir):
     docs = I.prepared(texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "t")
-    return I.tfidf_vectors(docs, "doc_id", "t").select("doc_id", "term", micro(F.col("weight")).alias("weight"))
+    return I.tfidf_vectors(docs, "doc_id", "t", tf=I.term_frequency(docs, "doc_id", "t", once=True)).select("doc_id", "term", micro(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {VECTORS}, {Q.token_cte('benchmark', 'item_id', 'text', 'bt')}, bx AS (SELECT item_id, unnest(tokens) AS term, len(tokens) AS n FROM bt), b AS (SELECT item_id, term, 1.0::DOUBLE / n * coalesce(idf, 0) AS weight FROM bx LEFT JOIN d USING (term)), nv AS (SELECT doc_id, sqrt(sum(weight * weight)) AS na FROM v GROUP BY doc_id), nb AS (SELECT item_id, sqrt(sum(weight * weight)) AS nb FROM b GROUP BY item_id), dots AS (SELECT doc_id, item_id, sum(v.weight * b.weight) AS dot FROM v JOIN b USING (term) WHERE v.weight <> 0 AND b.weight <> 0 GROUP BY ALL) SELECT doc_id, item_id, floor(dot / (na * nb) * 1e6 + 0.5) / 1e6 AS cosine FROM dots JOIN nv USING (doc_id) JOIN nb USING (item_id)")
 def cosine_sparse(spark, sf_dir):
     docs = I.prepared(texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "t")
     items = I.prepared(read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t")), "item_id", "t")
-    tf = I.term_frequency(docs, "doc_id", "t")
-    idf = small(written(I.inverse_document_frequency(docs, "t", tf), "idf"))
+    tf = I.term_frequency(docs, "doc_id", "t", once=True)
+    idf = written(I.inverse_document_frequency(docs, "t", tf), "idf")
     out = I.cosine_sparse(I.tfidf_vectors(docs, "doc_id", "t", idf, tf), small(written(I.tfidf_vectors(items, "item_id", "t", idf), "items")), "doc_id", "item_id")
     return out.select("doc_id", "item_id", micro(F.col("cosine")).alias("cosine"))
 

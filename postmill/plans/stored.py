@@ -45,8 +45,8 @@ def cosine_topk(spark, sf_dir):
     """The five nearest documents of each benchmark item."""
     docs = I.prepared(texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t")), "doc_id", "t")
     items = I.prepared(read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t")), "item_id", "t")
-    tf = I.term_frequency(docs, "doc_id", "t")
-    idf = small(written(I.inverse_document_frequency(docs, "t", tf), "idf"))
+    tf = I.term_frequency(docs, "doc_id", "t", once=True)
+    idf = written(I.inverse_document_frequency(docs, "t", tf), "idf")
     return I.TopCosine(I.tfidf_vectors(docs, "doc_id", "t", idf, tf), small(written(I.tfidf_vectors(items, "item_id", "t", idf), "items")), "doc_id", "item_id", 5).result
 
 

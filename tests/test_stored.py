@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,24 @@ def test_terms_are_counted_in_their_rows(spark):
     assert "hashpartitioning" not in plan
 
 
+def test_only_rare_terms_move(spark, monkeypatch):
+    """Of a table of terms too large to broadcast, the frequent ones are; unknown and very long terms weigh what they did."""
+    docs = spark.createDataFrame([(i, ["all", "x" * 99] + [f"h{i % 2}", f"r{i}"]) for i in range(8)] + [(8, []), (9, None), (10, ["all", None])], "d long, t array<string>")
+    tf, whole = tfidf.term_frequency(docs, "d", "t", once=True), tfidf.tfidf_vectors(docs, "d", "t")
+    assert Counter(tf.collect()) == Counter(tfidf.term_frequency(docs, "d", "t").collect())
+    idf = tfidf.written(tfidf.inverse_document_frequency(docs.filter("d <> 3"), "t"), "idf")
+    known = tfidf.tfidf_vectors(docs, "d", "t", idf)
+    assert Counter(whole.collect()) != Counter(known.collect())
+    monkeypatch.setattr("postmill.sources.tables.SMALL_FILES", 0)
+    for frequent in (0, 4, 100):
+        monkeypatch.setattr(tfidf, "FREQUENT", frequent)
+        parts = tfidf.tfidf_vectors(docs, "d", "t", tf=tf)
+        assert Counter(parts.collect()) == Counter(whole.collect())
+        assert Counter(tfidf.tfidf_vectors(docs, "d", "t", idf).collect()) == Counter(known.collect())
+        if frequent:
+            assert re.search(r"BroadcastHashJoin .*LeftAnti", parts._jdf.queryExecution().sparkPlan().toString())
+
+
 def test_pruned_top_list(spark):
     """The exact best, ties by key, from less than a tenth of the pairs that share a term."""
     rng = random.Random(3)
