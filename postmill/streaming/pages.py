@@ -88,8 +88,11 @@ def first_seen_stream(rows: DataFrame, keys: list[str], at: str = "at", order: s
     """First sightings of keys in a stream whose rows come in order of ``at`` (milliseconds) but for ``late``: the rows
     of ``first_seen_within``, or without a horizon of ``batch.first_seen``, however the stream is cut. State is a
     number for each key seen within the horizon, without one for each key, by buckets of keys. A bucket's rows in a
-    micro-batch are not held, but for what can be a first one and their times."""
+    micro-batch are not held, but for what can be a first one and their times. Without a horizon there are no timers,
+    so no watermark, no micro-batches without rows to move it, and no row is too late."""
     schema = as_text(rows.schema, (at, order))
-    timed = rows.select(*cast_to(schema)).withColumn("_at", F.timestamp_millis(at)).withWatermark("_at", late)
-    out = bucketed(timed, keys, buckets).transformWithStateInPandas(_First(rows.columns, at, order, horizon_ms), schema, "append", "EventTime")
+    timed, mode = rows.select(*cast_to(schema)), "None"
+    if horizon_ms is not None:
+        timed, mode = timed.withColumn("_at", F.timestamp_millis(at)).withWatermark("_at", late), "EventTime"
+    out = bucketed(timed, keys, buckets).transformWithStateInPandas(_First(rows.columns, at, order, horizon_ms), schema, "append", mode)
     return out.select(*cast_to(rows.schema))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,25 @@ def state_on_disk(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+#: Partitions of state for each core.
+WAVES = 2
+
+
+@contextmanager
+def state_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Streams started within have at most ``WAVES`` partitions of state a core, which their checkpoints then keep.
+    A partition costs each micro-batch a task with a new Python worker, about half a CPU second however few its rows
+    are, and unlike those of a batch query they aren't merged. Their rows are sorted on disk if need be and a
+    task holds a bucket at a time, so larger partitions need no more memory."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), WAVES * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def replay(rows: DataFrame, batch: Column, start: Callable[[DataFrame], StreamingQuery], folder: str) -> None:
     """Gives the batches of ``rows`` (numbered by ``batch``, a long) to a stream in their order. Rows are written
     once, by batch; a batch's files then move to where the stream reads. ``start`` gets the stream and starts its
@@ -40,7 +60,8 @@ def replayed(rows: DataFrame, batch: Column, transform: Callable[[DataFrame], Da
     def start(stream: DataFrame) -> StreamingQuery:
         out = transform(stream)
         schema[:] = [out.schema]
-        return out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        with state_by_cores(spark):
+            return out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
 
     replay(rows, batch, start, folder)
     return spark.read.schema(schema[0]).parquet(f"{folder}/out") if schema else spark.createDataFrame([], transform(rows.limit(0)).schema)

@@ -100,6 +100,34 @@ def test_state_is_held_by_buckets(spark, one_partition, tmp_path, query):
     assert 0 < state.count() <= 3
 
 
+@pytest.mark.parametrize("query", ["first", "limit"])
+def test_state_partitions_follow_cores(spark, tmp_path, monkeypatch, query):
+    """However many shuffle partitions the session has; without timers no micro-batch comes without rows."""
+    df = spark.range(60).select((F.col("id") % 9).alias("k"), (BASE + F.col("id") * S).alias("at"), F.col("id").alias("ord"))
+    mail = df.select(F.col("k").alias("recipient"), "at", (F.col("ord") % 3 > 0).alias("delivered"))
+    rows, run, want = {"first": (df, lambda s: pages.first_seen_stream(s, ["k"]), batch.first_seen(df, ["k"], "ord")), "limit": (mail, digest.rate_limit_stream, digest.rate_limited(mail))}[query]
+    monkeypatch.setattr("postmill.streaming.replay.work_folder", lambda *_: f"file://{tmp_path}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = replayed(rows, F.floor(F.col("at") / (BASE + 30 * S)), run)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows_of(got) == rows_of(want)
+    partitions = [p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]
+    assert 0 < len(partitions) <= 2 * spark.sparkContext.defaultParallelism
+    batches = [p for p in (tmp_path / "checkpoint/commits").iterdir() if p.name.isdigit()]
+    assert len(batches) == 2 or query == "limit"
+
+
+def test_first_seen_keeps_late_rows(spark, one_partition):
+    """A key without a horizon is seen once, also where its only row comes after later ones."""
+    df = spark.createDataFrame([("a", BASE + 90 * S, 1, 0), ("b", BASE + 5 * S, 2, 1), ("a", BASE, 3, 1)], "k string, at long, ord long, n long")
+    got = replayed(df, F.col("n"), lambda s: pages.first_seen_stream(s, ["k"]))
+    assert sorted((r["k"], r["ord"]) for r in got.collect()) == [("a", 1), ("b", 2)]
+
+
 def test_details_once_a_burst(spark):
     """Changes at most 500 ms apart are one; what stands last counts; a key of a page is reported once."""
     rows = [("p", 0, 1, "A", "u1", ""), ("p", 499, 2, "A", "u1", "text"), ("p", 499, 0, "Z", "u1", ""), ("p", 1000, 3, "B", "", "text"), ("p", 2000, 4, "A", "u1", "more"), ("p", 3000, 5, "B", None, "again"), ("q", 0, 6, "A", "u1", "text"), ("p", 4000, 7, "C", "u3", None)]
